@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from tidebook.functions.clock import kst_date
@@ -42,14 +44,14 @@ def _(v):
 
 
 _INTERVALS = """
-    opens as (select market_code, engine_instance_id, at, min(offset_no) as o from v_assign where type = 'ASSIGNED' group by 1, 2, 3),
-    closes as (select market_code, engine_instance_id, at, offset_no as o from v_assign where type = 'RELEASED'),
-    ends as (select a.*, lead(at) over m as next_at, lead(o) over m as next_o,
-                    c.at as own_at, c.o as own_o
+    opens as (select market_code, engine_instance_id, at_ts, min(offset_no) as o from v_assign where type = 'ASSIGNED' group by 1, 2, 3),
+    closes as (select market_code, engine_instance_id, at_ts, offset_no as o from v_assign where type = 'RELEASED'),
+    ends as (select a.market_code, a.engine_instance_id, a.at_ts, lead(a.at_ts) over m as next_at, lead(a.o) over m as next_o,
+                    c.at_ts as own_at, c.o as own_o
              from opens a asof left join closes c on a.market_code = c.market_code
               and a.engine_instance_id = c.engine_instance_id and a.o < c.o
              window m as (partition by a.market_code order by a.o)),
-    spans as (select market_code, engine_instance_id, at as assigned_at,
+    spans as (select market_code, engine_instance_id, at_ts as assigned_at,
                      case when own_o is not null and (next_o is null or own_o < next_o) then own_at else next_at end as released_at
               from ends)"""
 
@@ -201,7 +203,7 @@ def _tagged_sql():
         return f"""select market_code, 'candle_{unit}' as type, start * 1000 as ts, open, high, low, close, volume,
             null::double as price, null::varchar as side from ({_candle_sql(unit)})"""
     return f"""{candle('second')} union all {candle('minute')}
-        union all select market_code, 'trade_tick', epoch_ms(ts), null, null, null, null, volume, price,
+        union all select market_code, 'trade_tick', epoch_us(ts) // 1000, null, null, null, null, volume, price,
                case ask_bid when 'BID' then 'BUY' when 'ASK' then 'SELL' else ask_bid end from v_tick"""
 
 
@@ -237,7 +239,7 @@ def _(v):
     from v_exec where market_code = 'A' and (v_exec.executed_at, execution_id) < (timestamp '2001-06-01', '5')
     order by v_exec.executed_at desc, execution_id desc limit 50""")
 def _(v):
-    page = series.trade_page(v.v_exec, "A", cursor=(__import__("datetime").datetime(2001, 6, 1), "5"))
+    page = series.trade_page(v.v_exec, "A", cursor=(datetime(2001, 6, 1, tzinfo=timezone.utc), "5"))
     return page.drop("market_code", "mode")
 
 

@@ -315,12 +315,12 @@ def _(v):
                     from v_beat window w as (partition by run_id order by ts)),
     numbered as (select *, sum(b) over (partition by run_id order by ts rows unbounded preceding) as s from marked),
     sessions as (select run_id, s, min(ts) as a, max(ts) as z, count(*) as beats from numbered group by 1, 2),
-    latest as (select run_id, at, status, message from v_outcome qualify row_number() over (partition by run_id order by at desc) = 1),
-    judged as (select s.*, l.at, l.status, l.message, coalesce(l.at >= a and l.at < z + interval 21600 second, false) as rel,
+    latest as (select run_id, at_ts, status, message from v_outcome qualify row_number() over (partition by run_id order by at_ts desc) = 1),
+    judged as (select s.*, l.at_ts, l.status, l.message, coalesce(l.at_ts >= a and l.at_ts < z + interval 21600 second, false) as rel,
                       z + interval 21600 second as expires from sessions s left join latest l on l.run_id = s.run_id)
     select run_id, {iso_sql('a')} as started_at, beats,
            case when rel then status when expires <= timestamp '2024-01-30' then 'FAILED' else 'IN_PROGRESS' end as status,
-           {iso_sql("case when rel then at when expires <= timestamp '2024-01-30' then expires end")} as ended_at,
+           {iso_sql("case when rel then at_ts when expires <= timestamp '2024-01-30' then expires end")} as ended_at,
            case when rel then message when expires <= timestamp '2024-01-30' then '{runs.EXPIRED_NOTE}' end as message
     from judged""")
 def _(v):

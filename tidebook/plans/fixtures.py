@@ -136,7 +136,7 @@ VIEWS = {
         from $events where user_id % 2 = 1""",
     "v_beat": "select user_id as run_id, ts from $events",
     "v_outcome": """
-        select user_id as run_id, ts + interval '20' minute as at,
+        select user_id as run_id, ts + interval '20' minute as at_ts,
                case when event_id % 3 = 0 then 'COMPLETED' when event_id % 3 = 1 then 'STOPPED' else 'FAILED' end as status,
                event_type as message
         from $events where event_type = 'purchase'""",
@@ -164,7 +164,7 @@ VIEWS = {
         from $events""",
     "v_assign": """
         select case when event_id % 4 = 0 then 'RELEASED' else 'ASSIGNED' end as type, event_type as market_code,
-               'engine-' || cast(user_id % 5 as string) as engine_instance_id, ts as at, event_id as offset_no
+               'engine-' || cast(user_id % 5 as string) as engine_instance_id, ts as at_ts, event_id as offset_no
         from $events
         union all
         select 'ASSIGNED', event_type, 'engine-' || cast(user_id % 5 as string), ts, event_id + 30
@@ -189,7 +189,8 @@ VIEWS = {
                cast(event_id % 11 as double) as quantity
         from $events""",
 }
-# Partition and offset are reserved words in places, so views say offset_no; operators read `offset`.
+# Reserved words of the checking engine: the views say offset_no and at_ts.
+RENAMED = {"offset_no": "offset", "at_ts": "at"}
 
 
 def with_views(sql: str, tables: dict[str, str]) -> str:
@@ -197,10 +198,12 @@ def with_views(sql: str, tables: dict[str, str]) -> str:
     used = [name for name in VIEWS if re.search(rf"\b{name}\b", sql)]
     heads = ", ".join(f"{name} as ({VIEWS[name]})" for name in used)
     body = sql.strip()
-    if used and body.startswith("with "):
-        body = f"with {heads}, {body[len('with '):]}"
-    elif used:
-        body = f"with {heads} {body}"
+    for head in ("with recursive ", "with "):
+        if used and body.startswith(head):
+            body = f"{head}{heads}, {body[len(head):]}"
+            break
+    else:
+        body = f"with {heads} {body}" if used else body
     return Template(body).substitute(tables)
 
 
@@ -211,7 +214,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
         names[table] = f"tidebook_{table}"
         read_table(spark, folder, table).createOrReplaceTempView(names[table])
     rows = spark.sql(with_views(f"select * from {name}", names))
-    return rows.withColumnRenamed("offset_no", "offset")
+    return rows.withColumnsRenamed(RENAMED)
 
 
 def oracle_text(sql: str) -> str:

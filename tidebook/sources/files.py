@@ -140,12 +140,11 @@ def _documents(spark, root, schema, kind, market, day) -> DataFrame:
 
 def explode_batch(documents: DataFrame) -> DataFrame:
     """Long candle table of batch documents."""
-    units = ("days", "weeks", "months", "years")
-    tagged = F.flatten(F.array(*[
-        F.transform(F.col(f"candles.{unit}"), lambda c, u=unit: F.struct(F.lit(u).alias("unit"), c.alias("c")))
-        for unit in units
-    ]))
-    rows = documents.select("market", F.explode(tagged).alias("e"))
+    def tagged(unit):
+        return F.transform(F.col(f"candles.{unit}"), lambda c: F.struct(F.lit(unit).alias("unit"), c.alias("c")))
+
+    candles = F.flatten(F.array(*[tagged(unit) for unit in ("days", "weeks", "months", "years")]))
+    rows = documents.select("market", F.explode(candles).alias("e"))
     return rows.select("market", "e.unit", "e.c.*")
 
 
