@@ -82,6 +82,8 @@ def running(
     carried = summaries.select(
         *keys, CHUNK, *[_over(k, F.col(f"__sum_{n}"), across).alias(f"__before_{n}") for n, (k, _) in outputs.items()]
     )
+    # A series within one chunk has nothing to carry; without those rows the side is small.
+    carried = carried.filter(" or ".join(f"__before_{n} is not null" for n in outputs))
     local = staged.withColumns({f"__here_{n}": _over(k, F.col(f"__in_{n}"), inside) for n, (k, _) in outputs.items()})
     joined = local.join(carried, [*keys, CHUNK], "left")
     return joined.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.clock import iso, moment, within
-from tidebook.functions.ticks import on_tick, wire_double
+from tidebook.functions.ticks import on_tick, wire_double, with_ticks
 from tidebook.schemas import MODES, OPEN_STATUSES, SIDES, STATUSES, is_market, market_dim
 
 # Pass line of a load run.
@@ -19,22 +19,18 @@ def default_mode(mode: Column) -> Column:
     return F.when(mode.isin(*MODES), mode).otherwise(F.lit(MODES[0]))
 
 
-def error_code(market: Column, side: Column, price: Column, quantity: Column) -> Column:
-    """First failing rule of an order given as wire texts; null when the order is valid."""
-    p, q = wire_double(price), wire_double(quantity)
-    return (
-        F.when(~is_market(market), "INVALID_MARKET")
-        .when(~F.coalesce(side.isin(*SIDES), F.lit(False)), "INVALID_SIDE")
+def validate_orders(orders: DataFrame) -> DataFrame:
+    """Orders given as wire texts with `error_code`, the first failing rule or null."""
+    parsed = orders.withColumns({"p": wire_double(F.col("price")), "q": wire_double(F.col("quantity"))})
+    p, q = F.col("p"), F.col("q")
+    code = (
+        F.when(~is_market(F.col("market_code")), "INVALID_MARKET")
+        .when(~F.coalesce(F.col("side").isin(*SIDES), F.lit(False)), "INVALID_SIDE")
         .when(p.isNull() | (p <= 0), "INVALID_PRICE")
-        .when(~on_tick(p), "INVALID_PRICE_UNIT")
+        .when(~on_tick(F.col("ratio")), "INVALID_PRICE_UNIT")
         .when(q.isNull() | (q <= 0), "INVALID_QUANTITY")
     )
-
-
-def validate_orders(orders: DataFrame) -> DataFrame:
-    return orders.withColumn(
-        "error_code", error_code(*[F.col(c) for c in ("market_code", "side", "price", "quantity")])
-    )
+    return with_ticks(parsed, "p").withColumn("error_code", code).select(*orders.columns, "error_code")
 
 
 def split_valid(orders: DataFrame) -> tuple[DataFrame, DataFrame]:

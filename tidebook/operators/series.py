@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.clock import bucket, kst_date, kst_day, within
-from tidebook.functions.ticks import price_text, quantity_text
+from tidebook.functions.ticks import quantity_text, with_price_text
 from tidebook.operators.ordered import previous, running, time_chunk
 
 # Price history length, quote spread and size, quote interval.
@@ -198,7 +198,5 @@ def quote_ladder(prices: DataFrame, tie: str, seconds: int = QUOTE_SECONDS) -> D
         F.struct(F.lit("BUY").alias("side"), (F.col("price") * (1 - QUOTE_SPREAD)).alias("quote")),
         F.struct(F.lit("SELL").alias("side"), (F.col("price") * (1 + QUOTE_SPREAD)).alias("quote")),
     ))
-    return last.select("market_code", "interval_start", quotes.alias("q")).select(
-        "market_code", "interval_start", "q.side", price_text(F.col("q.quote")).alias("price"),
-        quantity_text(F.lit(QUOTE_QUANTITY)).alias("quantity"),
-    )
+    sided = last.select("market_code", "interval_start", quotes.alias("q")).select("market_code", "interval_start", "q.*")
+    return with_price_text(sided, "quote", "price").withColumn("quantity", quantity_text(F.lit(QUOTE_QUANTITY))).drop("quote")

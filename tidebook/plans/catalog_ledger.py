@@ -90,10 +90,10 @@ def _(v):
 
 @query("idempotent_orders", """
     with recursive numbered as (select client_request_id as k, ts, event_id from v_request),
-    nxt as (select a.k, a.ts, a.event_id, b.event_id as next_id from numbered a asof left join
-              (select k, ts, min(event_id) as event_id from numbered group by 1, 2) b on a.k = b.k and a.ts + interval 3600 second < b.ts),
-    chain as (select k, min_by(event_id, (ts, event_id)) as event_id from numbered group by 1
-              union select n.k, n.next_id from chain c join nxt n on n.event_id = c.event_id where n.next_id is not null)
+    nxt as (select a.event_id, min_by(b.event_id, (b.ts, b.event_id)) as next_id
+            from numbered a join numbered b on a.k = b.k and b.ts > a.ts + interval 3600 second group by 1),
+    chain as (select min_by(event_id, (ts, event_id)) as event_id from numbered group by k
+              union select n.next_id from chain c join nxt n on n.event_id = c.event_id where n.next_id is not null)
     select r.client_request_id, r.event_id from v_request r join chain c on c.event_id = r.event_id""")
 def _(v):
     requests = v.v_request.select("client_request_id", "ts", "event_id")

@@ -29,7 +29,7 @@ def _decode_sql(view, fields, types):
     texts = " and ".join(f"coalesce(json_type(j, '$.{f}'), 'VARCHAR') = 'VARCHAR'" for f in fields)
     kind = f" and coalesce(json_extract_string(j, '$.type'), '') in {types}" if types else ""
     return f"""
-        select message_id, {picked}, false as rejected
+        select message_id, {picked}
         from (select message_id, case when json_valid(body) then body::json end as j from {view})
         where j is not null and json_type(j) = 'OBJECT' and {texts}{kind}""".replace("$.", "$$.")
 
@@ -41,17 +41,17 @@ _ASSIGN_FIELDS = ("type", "market", "engineInstanceId", "at")
 
 @query("decode_orders", _decode_sql("v_order_raw", _ORDER_FIELDS, "('NEW', 'CANCEL')"))
 def _(v):
-    return decode.decode_orders(v.v_order_raw).filter("not rejected").drop("body")
+    return decode.decode_orders(v.v_order_raw).filter("not rejected").drop("body", "rejected")
 
 
 @query("decode_executions", _decode_sql("v_exec_raw", _EXEC_FIELDS, None))
 def _(v):
-    return decode.decode_executions(v.v_exec_raw).filter("not rejected").drop("body")
+    return decode.decode_executions(v.v_exec_raw).filter("not rejected").drop("body", "rejected")
 
 
 @query("decode_assignments", _decode_sql("v_assign_raw", _ASSIGN_FIELDS, "('ASSIGNED', 'RELEASED')"))
 def _(v):
-    return decode.decode_assignments(v.v_assign_raw).filter("not rejected").drop("body")
+    return decode.decode_assignments(v.v_assign_raw).filter("not rejected").drop("body", "rejected")
 
 
 @query("rejected_messages", """
@@ -110,13 +110,12 @@ _TICKED = f"""(select order_id, price, r.tick, r.decimals from v_price left join
 
 @query("tick_tier", f"select order_id, price, tick, decimals::bigint as decimals from {_TICKED}")
 def _(v):
-    price = F.col("price")
-    return v.v_price.withColumns({"tick": ticks.tick_size(price), "decimals": ticks.tick_decimals(price)})
+    return ticks.with_ticks(v.v_price, "price").drop("ratio")
 
 
 @query("tick_valid", f"select order_id, abs(price / tick - round(price / tick)) < 1e-6 as valid from {_TICKED}")
 def _(v):
-    return v.v_price.select("order_id", ticks.on_tick(F.col("price")).alias("valid"))
+    return ticks.with_ticks(v.v_price, "price").select("order_id", ticks.on_tick(F.col("ratio")).alias("valid"))
 
 
 @query("round_to_tick", f"""
@@ -124,9 +123,8 @@ def _(v):
            '0.12345679' as quantity_text
     from {_TICKED}""")
 def _(v):
-    return v.v_price.select(
-        "order_id", ticks.price_text(F.col("price")).alias("price_text"),
-        ticks.quantity_text(F.lit(0.123456789)).alias("quantity_text"),
+    return ticks.with_price_text(v.v_price, "price").select(
+        "order_id", "price_text", ticks.quantity_text(F.lit(0.123456789)).alias("quantity_text")
     )
 
 

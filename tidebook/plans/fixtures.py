@@ -207,14 +207,17 @@ def with_views(sql: str, tables: dict[str, str]) -> str:
     return Template(body).substitute(tables)
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def register_tables(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Temporary views of the given tables; returns table -> view name."""
+    names = {table: f"tidebook_{table}" for table in TABLES}
+    for table, name in names.items():
+        read_table(spark, folder, table).createOrReplaceTempView(name)
+    return names
+
+
+def view(spark: SparkSession, names: dict[str, str], name: str) -> DataFrame:
     """One fixture view as a DataFrame."""
-    names = {}
-    for table in TABLES:
-        names[table] = f"tidebook_{table}"
-        read_table(spark, folder, table).createOrReplaceTempView(names[table])
-    rows = spark.sql(with_views(f"select * from {name}", names))
-    return rows.withColumnsRenamed(RENAMED)
+    return spark.sql(with_views(f"select * from {name}", names)).withColumnsRenamed(RENAMED)
 
 
 def oracle_text(sql: str) -> str:

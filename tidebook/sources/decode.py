@@ -28,15 +28,20 @@ def _decode(raw: DataFrame, schema: str, types: tuple[str, ...] | None, body: st
     known = "|".join(names)
     parsed = F.from_json(text, schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
     rest = [c for c in raw.columns if c != body]
-    out = raw.select(*rest, body, parsed.alias("m"))
-    # A known field that holds a number, a flag or a nested value is not a text.
-    not_text = text.rlike(rf'"({known})"\s*:\s*[^"\sn]')
-    whole = text.rlike(r"(?s)^\s*\{.*\}\s*$")
-    bad = F.col("m").isNull() | F.col("m._broken").isNotNull() | ~whole | not_text
+    # Generated columns are parsed once per message; a filter on plain struct fields would be
+    # pushed below the projection and parse again for every field it tests.
+    out = raw.select(*rest, body, F.inline_outer(F.array(parsed)))
+    # A known field that holds a number, a flag or a nested value is not a text. The short
+    # pattern spares messages of texts only, which are nearly all, the long one.
+    some_bare = text.rlike(r'"\s*:\s*[^"\s]')
+    not_text = some_bare & text.rlike(rf'"({known})"\s*:\s*[^"\sn]')
+    trimmed = F.trim(text)
+    whole = F.startswith(trimmed, F.lit("{")) & F.endswith(trimmed, F.lit("}"))
+    bad = F.col("_broken").isNotNull() | ~whole | not_text
     if types is not None:
-        bad = bad | ~F.col("m.type").isin(*types)
+        bad = bad | ~F.col("type").isin(*types)
     return out.select(
-        *rest, body, *[F.nullif(F.col(f"m.{n}"), F.lit("")).alias(n) for n in names],
+        *rest, body, *[F.nullif(F.col(n), F.lit("")).alias(n) for n in names],
         F.coalesce(bad, F.lit(True)).alias("rejected"),
     )
 
