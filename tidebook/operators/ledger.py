@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.operators.integrity import fills, with_both_orders
@@ -170,11 +170,17 @@ def trace_orders(orders: DataFrame, executions: DataFrame, order_id=None) -> Dat
         either.alias("order_id"), "buy_order_id", "sell_order_id", "executed_at",
         F.col("quantity").alias("executed_quantity"),
     )
-    traced = orders.join(touched, "order_id", "left")
+    # An inner join with the executions on the left can be split at a hot order; a left join
+    # that keeps the orders cannot. Orders without executions are added back.
+    met = touched.join(orders, "order_id").select(*orders.columns, *[c for c in touched.columns if c != "order_id"])
+    alone = orders.join(touched.select("order_id").distinct(), "order_id", "left_anti").select(orders.columns)
+    traced = met.unionByName(alone, allowMissingColumns=True)
     return traced.orderBy("order_id", "executed_at") if order_id is not None else traced
 
 
-def cancel_outcomes(cancels: DataFrame, orders: DataFrame, executions: DataFrame) -> DataFrame:
+def cancel_outcomes(
+    cancels: DataFrame, orders: DataFrame, executions: DataFrame, slice_seconds: int = 3600
+) -> DataFrame:
     """Answer to every cancel request (order_id, cancel_id, canceled_at).
 
     Fills and cancels of an order are walked in time order; a fill at the same instant
@@ -186,7 +192,7 @@ def cancel_outcomes(cancels: DataFrame, orders: DataFrame, executions: DataFrame
     )
     walk = asked.unionByName(done, allowMissingColumns=True)
     walked = running(
-        walk, ["order_id"], ["at", "asks", "cancel_id"], time_chunk(F.col("at"), 86400),
+        walk, ["order_id"], ["at", "asks", "cancel_id"], time_chunk(F.col("at"), slice_seconds),
         {"filled": ("sum", F.col("done"))},
     ).filter(F.col("asks") == 1).select("order_id", "cancel_id", F.col("at").alias("canceled_at"), "filled")
     known = orders.select("order_id", F.col("quantity").alias("ordered"))

@@ -66,29 +66,21 @@ def value_at_rank(values: DataFrame, column: str, share: float) -> DataFrame:
     v = F.col(column)
     histogram = values.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     histogram = histogram.withColumns({"high": F.shiftright("v", 40), "mid": F.shiftright("v", 20)})
-    # The wanted rank and the place inside the level travel in one row each.
-    target = histogram.agg(F.sum("c").alias("n")).select(
-        F.lit(0).alias("on"), "n", F.greatest(F.floor(F.col("n") * share), F.lit(1)).alias("rank")
-    )
 
-    def narrow(rows, level, found, keep):
-        """The group of `level` that holds the rank, and the rank left inside it."""
-        counted = rows.groupBy(level).agg(F.sum("c").alias("c"))
-        upto = Window.orderBy(level)
-        placed = counted.withColumn("upto", F.sum("c").over(upto)).withColumn("on", F.lit(0))
-        hit = placed.join(F.broadcast(found), "on").filter(F.col("upto") >= F.col("rank"))
-        return hit.groupBy("on").agg(
-            F.min(level).alias(keep), F.max("n").alias("n"),
-            F.min_by(F.col("rank") - F.col("upto") + F.col("c"), level).alias("rank"),
-        )
-
-    high = narrow(histogram, "high", target, "high_hit")
-    in_high = histogram.join(F.broadcast(high.select(F.col("high_hit").alias("high"))), "high", "left_semi")
-    mid = narrow(in_high, "mid", high, "mid_hit")
-    in_mid = histogram.join(F.broadcast(mid.select(F.col("mid_hit").alias("mid"))), "mid", "left_semi")
-    exact = narrow(in_mid, "v", mid, "value")
+    def holding_rank(groups, level):
+        """The one group that holds the rank, and the rank counted from its start."""
+        placed = groups.withColumn("upto", F.sum("c").over(Window.orderBy(level)))
+        hit = placed.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+        return hit.select(level, "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+
+    coarse = histogram.groupBy("high").agg(F.sum("c").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    coarse = coarse.withColumn("rank", F.greatest(F.floor(F.col("n") * share), F.lit(1)))
+    high = F.broadcast(holding_rank(coarse, "high"))  # one row
+    finer = histogram.join(high, "high").groupBy("mid", "n", "rank").agg(F.sum("c").alias("c"))
+    mid = F.broadcast(holding_rank(finer, "mid"))  # one row
+    exact = holding_rank(histogram.join(mid, "mid"), "v")
     return exact.agg(
-        F.coalesce(F.max("value"), F.lit(0)).alias("value"), F.coalesce(F.max("n"), F.lit(0)).alias("samples")
+        F.coalesce(F.max("v"), F.lit(0)).alias("value"), F.coalesce(F.max("n"), F.lit(0)).alias("samples")
     )
 
 
@@ -228,9 +220,11 @@ def restarts_top(samples: DataFrame, series: list[str], by: str, order: str = "t
     )
 
 
-def counter_rate(samples: DataFrame, series: list[str], order: list[str], window_seconds: int = 60) -> DataFrame:
+def counter_rate(
+    samples: DataFrame, series: list[str], order: list[str], window_seconds: int = 60, slice_seconds: int = 600
+) -> DataFrame:
     """Per-second rate over all replicas per window; a falling counter restarted from zero."""
-    steps = previous(samples, series, order, time_chunk(F.col("ts")), {"before": F.col("value")})
+    steps = previous(samples, series, order, time_chunk(F.col("ts"), slice_seconds), {"before": F.col("value")})
     rise = F.when(F.col("value") >= F.col("before"), F.col("value") - F.col("before")).otherwise(F.col("value"))
     counted = steps.filter(F.col("before").isNotNull()).groupBy(bucket(F.col("ts"), window_seconds).alias("bucket"))
     return counted.agg((F.sum(rise) / F.lit(float(window_seconds))).alias("rate")).select(

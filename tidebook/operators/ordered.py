@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 CHUNK = "__chunk"
 
 
-def time_chunk(ts: Column, seconds: int = 3600) -> Column:
+def time_chunk(ts: Column, seconds: int = 600) -> Column:
+    """Time slice of a row. Take narrower slices where one series has more rows per second."""
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
 

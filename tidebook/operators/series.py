@@ -55,6 +55,14 @@ def rollup_candles(candles: DataFrame, unit: str) -> DataFrame:
     )
 
 
+def all_candles(ticks: DataFrame, tie: str = "sequential_id") -> dict[str, DataFrame]:
+    """Candles of every unit, each from the next finer one instead of from the ticks again."""
+    out = {"second": ohlcv(ticks, "second", tie)}
+    for unit, finer in (("minute", "second"), ("day", "minute"), ("week", "day"), ("month", "day"), ("year", "day")):
+        out[unit] = rollup_candles(out[finer], unit)
+    return out
+
+
 def build_stream(seconds: DataFrame, minutes: DataFrame, ticks: DataFrame) -> DataFrame:
     """Tagged union of candles and ticks as one long table."""
     def candle(rows, kind):
@@ -124,10 +132,12 @@ def range_filter(orders: DataFrame, from_ts: int = 0, to_ts: int = 0) -> DataFra
 
 # ---- sequential state --------------------------------------------------------------------
 
-def hysteresis(samples: DataFrame, keys: list[str], order: list[str], high: float, low: float) -> DataFrame:
+def hysteresis(
+    samples: DataFrame, keys: list[str], order: list[str], high: float, low: float, slice_seconds: int = 600
+) -> DataFrame:
     """Flag that rises at `high`, falls at `low` and otherwise keeps its state."""
     mark = F.when(F.col("value") >= high, 1).when(F.col("value") <= low, 0)
-    out = running(samples, keys, order, time_chunk(F.col("ts")), {"mark": ("last", mark)})
+    out = running(samples, keys, order, time_chunk(F.col("ts"), slice_seconds), {"mark": ("last", mark)})
     return out.withColumn("active", F.coalesce(F.col("mark") == 1, F.lit(False))).drop("mark")
 
 
@@ -136,10 +146,10 @@ def max_over_readers(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys, "ts").agg(F.greatest(F.max("value"), F.lit(0)).alias("value"))
 
 
-def market_load(readings: DataFrame, order: list[str]) -> DataFrame:
+def market_load(readings: DataFrame, order: list[str], slice_seconds: int = 600) -> DataFrame:
     """Offsets per second since the previous reading; 0 if first, idle or not later."""
     seen = previous(
-        readings, ["market_code"], order, time_chunk(F.col("ts")),
+        readings, ["market_code"], order, time_chunk(F.col("ts"), slice_seconds),
         {"before_offset": F.col("offset"), "before_ts": F.col("ts")},
     )
     elapsed = (F.unix_micros("ts") - F.unix_micros("before_ts")) / 1e6
@@ -148,13 +158,15 @@ def market_load(readings: DataFrame, order: list[str]) -> DataFrame:
     return seen.withColumn("load", load).drop("before_offset", "before_ts")
 
 
-def gauge_trend(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def gauge_trend(samples: DataFrame, keys: list[str], order: list[str], slice_seconds: int = 600) -> DataFrame:
     """Change of a gauge since its previous poll."""
-    seen = previous(samples, keys, order, time_chunk(F.col("ts")), {"before": F.col("value")})
+    seen = previous(samples, keys, order, time_chunk(F.col("ts"), slice_seconds), {"before": F.col("value")})
     return seen.withColumn("delta", F.col("value") - F.col("before")).drop("before")
 
 
-def asof_delta(samples: DataFrame, keys: list[str], tie: str, seconds: int = 60) -> DataFrame:
+def asof_delta(
+    samples: DataFrame, keys: list[str], tie: str, seconds: int = 60, slice_seconds: int = 600
+) -> DataFrame:
     """Every sample against the newest one taken at least `seconds` earlier.
 
     Each sample also asks a question placed `seconds` before it; walking both in time order
@@ -165,7 +177,9 @@ def asof_delta(samples: DataFrame, keys: list[str], tie: str, seconds: int = 60)
         F.struct((F.col("ts") - F.expr(f"interval {seconds} seconds")).alias("at"), F.lit(1).alias("asks")),
     )).alias("walk")).select("*", "walk.at", "walk.asks").drop("walk")
     known = F.when(F.col("asks") == 0, F.col("value"))
-    answered = running(both, keys, ["at", "asks", tie], time_chunk(F.col("at")), {"before": ("last", known)})
+    answered = running(
+        both, keys, ["at", "asks", tie], time_chunk(F.col("at"), slice_seconds), {"before": ("last", known)}
+    )
     return (
         answered.filter(F.col("asks") == 1).drop("at", "asks")
         .withColumn("delta", F.col("value") - F.col("before"))

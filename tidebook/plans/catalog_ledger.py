@@ -209,11 +209,16 @@ def _(v):
 _BATCH_UNITS = (("days", "day"), ("weeks", "week"), ("months", "month"), ("years", "year"))
 
 
+def _batch_candles(v):
+    candles = series.all_candles(v.v_tick)
+    return {name: candles[unit] for name, unit in _BATCH_UNITS}
+
+
 @query("build_candle_batch", " union all ".join(
     f"select market_code as market, '{name}' as unit, start * 1000 as ts, open, high, low, close, volume from ({_candle_sql(unit)})"
     for name, unit in _BATCH_UNITS))
 def _(v):
-    documents = files.build_candle_batch({name: series.ohlcv(v.v_tick, unit) for name, unit in _BATCH_UNITS})
+    documents = files.build_candle_batch(_batch_candles(v))
     return files.explode_batch(documents)
 
 
@@ -223,7 +228,7 @@ def _(v):
           union all select * from ({_candle_sql('year')})) group by 1""")
 def _(v):
     root = work_folder(v.spark)
-    documents = files.build_candle_batch({name: series.ohlcv(v.v_tick, unit) for name, unit in _BATCH_UNITS})
+    documents = files.build_candle_batch(_batch_candles(v))
     documents = files.with_range(documents, "2024-01-01T00:00:00+09:00", "2024-02-01T00:00:00+09:00")
     files.write_documents(documents, root, "batch", "2024-01-31")
     return files.read_candle_batch(v.spark, root, day="2024-01-31").groupBy("market").agg(
@@ -236,7 +241,8 @@ def _(v):
     from v_tick group by 1, 2""")
 def _(v):
     root = work_folder(v.spark)
-    stream = series.build_stream(series.ohlcv(v.v_tick, "second"), series.ohlcv(v.v_tick, "minute"), v.v_tick)
+    candles = series.all_candles(v.v_tick)
+    stream = series.build_stream(candles["second"], candles["minute"], v.v_tick)
     files.write_stream_rows(stream, root)
     ticks = files.read_stream_rows(v.spark, root).filter(F.col("type") == "trade_tick")
     return ticks.groupBy("market", "trade_date").agg(F.count(F.lit(1)).alias("ticks"), F.sum("volume").alias("volume"))

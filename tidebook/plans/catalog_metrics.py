@@ -6,8 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from tidebook.functions.clock import kst_date
-from tidebook.operators import ledger, metrics, replay, runs, series
+from tidebook.operators import ledger, metrics, replay, series
 from tidebook.plans.catalog_orders import OPEN_SQL, RUN, RUN_SQL
 from tidebook.plans.registry import iso_sql, query
 from tidebook.schemas import MARKET_CODES
@@ -191,10 +190,10 @@ def _candle_sql(unit):
 
 @query("ohlcv", " union all ".join(f"select '{u}' as unit, * from ({_candle_sql(u)})" for u in series.CANDLE_UNITS))
 def _(v):
-    tables = {"second": series.ohlcv(v.v_tick, "second")}
-    out = tables["second"].withColumn("unit", F.lit("second"))
-    for unit in series.CANDLE_UNITS[1:]:
-        out = out.unionByName(series.ohlcv(v.v_tick, unit).withColumn("unit", F.lit(unit)))
+    out = None
+    for unit, candles in series.all_candles(v.v_tick).items():
+        candles = candles.select(F.lit(unit).alias("unit"), *candles.columns)
+        out = candles if out is None else out.unionByName(candles)
     return out
 
 
@@ -208,7 +207,8 @@ def _tagged_sql():
 
 
 def _stream(v):
-    return series.build_stream(series.ohlcv(v.v_tick, "second"), series.ohlcv(v.v_tick, "minute"), v.v_tick)
+    candles = series.all_candles(v.v_tick)
+    return series.build_stream(candles["second"], candles["minute"], v.v_tick)
 
 
 @query("build_stream", _tagged_sql())

@@ -7,14 +7,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime SQL settings the operators rely on: UTC wall clocks, runtime re-planning and
-# splitting of skewed join partitions.
+# Runtime SQL settings the operators rely on: UTC wall clocks, runtime re-planning, splitting
+# of skewed join partitions, and streaming state kept outside the heap.
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

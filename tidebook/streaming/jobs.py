@@ -6,12 +6,14 @@ alike. Every job takes its own checkpoint folder below the shared work folder.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidebook.operators.integrity import fills
-from tidebook.operators.ledger import ORDER_FIELDS, fold, insert_orders
+from tidebook.operators.ledger import ORDER_FIELDS, fold
 
 # Batch limits, trigger intervals and the idempotency lifetime.
 ARCHIVE_INTERVAL = "30 seconds"
@@ -46,25 +48,28 @@ def archive_stream(messages: DataFrame, path: str, checkpoint: str, drain: bool
     return _trigger(writer.option("checkpointLocation", checkpoint), ARCHIVE_INTERVAL, drain).start()
 
 
+def unique_orders(orders: DataFrame) -> DataFrame:
+    """NEW orders once per order id and once per client request id.
+
+    The seen ids live in the state store, so a micro-batch costs its own rows and never a
+    scan of the stored table. Requests without an id never collide.
+    """
+    request = F.coalesce(F.concat(F.lit("r:"), "client_request_id"), F.concat(F.lit("o:"), "order_id"))
+    once = orders.filter(F.col("type") == "NEW").dropDuplicates(["order_id"])
+    return once.withColumn("request_key", request).dropDuplicates(["request_key"]).drop("request_key")
+
+
 def ingest_stream(orders: DataFrame, table: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
-    """Append NEW orders to the order table, once each.
+    """Append new orders to the order table, once each.
 
     The rows of a batch go to a folder named by its batch number and replace it when the
     batch is repeated, so a lost executor or a restart never stores a row twice. The offsets
     are committed after the write.
     """
-    schema = orders.schema
-
     def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        stored = spark.read.schema(f"{fields}, batch bigint").option("basePath", table).parquet(table)
-        fresh = insert_orders(batch, stored.filter(F.col("batch") < number))
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    spark = orders.sparkSession
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{table}/batch=-1")
-    writer = orders.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    writer = unique_orders(orders).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return _trigger(writer, INGEST_INTERVAL, drain).start()
 
 
@@ -95,6 +100,11 @@ def newest_version(spark: SparkSession, table: str, keys: list[str]) -> DataFram
     return newest.select(*keys, "row.*")
 
 
+def compact_versions(spark: SparkSession, table: str, keys: list[str], into: str) -> None:
+    """Write the current rows of a versioned table as version 0 of a new one."""
+    newest_version(spark, table, keys).write.mode("overwrite").parquet(f"{into}/version=0")
+
+
 def idempotent_stream(requests: DataFrame, key: str = "client_request_id", ts: str = "ts") -> DataFrame:
     """First request per key within the idempotency lifetime."""
     return requests.withWatermark(ts, REQUEST_LIFETIME).dropDuplicatesWithinWatermark([key])
@@ -120,8 +130,6 @@ def session_stream(beats: DataFrame, lateness: str = "2 minutes") -> DataFrame:
 
 def lag_samples(query: StreamingQuery, reader: str) -> list[tuple[str, str, int, int]]:
     """(reader, partition, latest, committed) offsets from the newest progress of a query."""
-    import json
-
     progress = query.lastProgress
     rows = []
     for source in (progress or {}).get("sources", []):
