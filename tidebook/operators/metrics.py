@@ -65,7 +65,11 @@ def value_at_rank(values: DataFrame, column: str, share: float) -> DataFrame:
     """
     v = F.col(column)
     histogram = values.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    histogram = histogram.withColumns({"high": F.shiftright("v", 40), "mid": F.shiftright("v", 20)})
+    # Never-null level columns keep the joins below from adding null filters of their own, so
+    # all three levels read one shuffled histogram.
+    histogram = histogram.withColumns(
+        {name: F.coalesce(F.shiftright("v", bits), F.lit(0)) for name, bits in (("high", 40), ("mid", 20))}
+    )
 
     def holding_rank(groups, level):
         """The one group that holds the rank, and the rank counted from its start."""

@@ -121,7 +121,7 @@ def cleanup_cancels(orders: DataFrame, now) -> DataFrame:
 
 
 def fill_share(orders: DataFrame, mode: str, start, end) -> DataFrame:
-    """Per market: fill percent and buy/sell percents, rounded half up, 0 when empty."""
+    """Per market: filled, unfilled, buy and sell percents, rounded half up, 0 when empty."""
     def percent(part, whole):
         return F.when(F.col(whole) > 0, F.floor(F.col(part) / F.col(whole) * 100 + 0.5)).otherwise(F.lit(0))
 
@@ -134,6 +134,7 @@ def fill_share(orders: DataFrame, mode: str, start, end) -> DataFrame:
     return counted.select(
         "market_code", "accepted", "filled",
         percent("filled", "accepted").alias("fill_percent"),
+        percent("unfilled", "accepted").alias("unfilled_percent"),
         percent("buy", "sided").alias("buy_percent"),
         percent("sell", "sided").alias("sell_percent"),
     )

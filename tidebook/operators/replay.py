@@ -34,24 +34,25 @@ def replay_preview(recorded: DataFrame, markets_total: int = len(MARKET_CODES))
     )
 
 
-def replay_schedule(recorded: DataFrame, speed: float, position: str = "position", chunk_rows: int = 1 << 20) -> DataFrame:
+def schedule_by(recorded: DataFrame, speed: float, order: list[str], chunk: Column) -> DataFrame:
     """Planned submit time of every recorded order, in seconds after the start of its market.
 
-    Records are replayed in file order. A gap waits gap/speed; a record older than its
-    predecessor does not wait, so the plan is a running sum and not a plain difference.
+    A gap waits gap/speed; a record older than its predecessor does not wait, so the plan is a
+    running sum and not a plain difference. `chunk` must never fall while `order` rises.
     """
-    chunk = number_chunk(F.col(position), chunk_rows)
-    seen = previous(recorded, ["market_code"], [position], chunk, {"before": F.col("ts")})
+    seen = previous(recorded, ["market_code"], order, chunk, {"before": F.col("ts")})
     gap = F.greatest(F.coalesce(F.col("ts") - F.col("before"), F.lit(0)), F.lit(0))
-    planned = running(
-        seen.withColumn("gap", gap), ["market_code"], [position], number_chunk(F.col(position), chunk_rows),
-        {"waited_ms": ("sum", F.col("gap"))},
-    )
+    planned = running(seen.withColumn("gap", gap), ["market_code"], order, chunk, {"waited_ms": ("sum", F.col("gap"))})
     return planned.withColumn("planned_seconds", F.col("waited_ms") / 1000 / F.lit(float(speed))).drop(
         "before", "gap", "waited_ms"
     )
 
 
+def replay_schedule(recorded: DataFrame, speed: float, position: str = "position", chunk_rows: int = 1 << 20) -> DataFrame:
+    """Schedule of records replayed in file order, `position` being the place in the file."""
+    return schedule_by(recorded, speed, [position], number_chunk(F.col(position), chunk_rows))
+
+
 def replay_duration(schedule: DataFrame) -> DataFrame:
     return schedule.groupBy("market_code").agg(F.max("planned_seconds").alias("duration_seconds"))
 

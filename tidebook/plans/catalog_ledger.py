@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.operators import book, ledger, series
+from tidebook.plans import flows
 from tidebook.plans.catalog_metrics import _candle_sql
 from tidebook.plans.catalog_orders import MARKETS_SQL
 from tidebook.plans.registry import iso_sql, query
@@ -51,6 +52,41 @@ def _(v):
     return ledger.order_ledger(v.v_ledger_event, v.v_fill, "offset", FILL_ORDER)
 
 
+_NEW_MESSAGE = "json_valid(body) and json_extract_string(body, '$$.type') = 'NEW' and coalesce(json_type(body, '$$.price'), '') = 'VARCHAR'"
+_EXEC_MESSAGE = "json_valid(body) and body like '{%' and coalesce(json_type(body, '$$.quantity'), 'VARCHAR') = 'VARCHAR'"
+
+
+@query("ledger_from_messages", f"""
+    with opened as (select body->>'$$.orderId' as order_id, body->>'$$.market' as market_code, (body->>'$$.quantity')::decimal(24,8) as quantity
+                    from (select case when {_NEW_MESSAGE} then body::json end as body from v_order_raw) where body is not null),
+    done as (select body->>'$$.buyOrderId' as b, body->>'$$.sellOrderId' as s, (body->>'$$.quantity')::decimal(24,8) as q,
+                    (body->>'$$.price')::decimal(24,8) as p, message_id
+             from (select message_id, case when {_EXEC_MESSAGE} then body::json end as body from v_exec_raw) where body is not null
+             qualify row_number() over (partition by b, s order by message_id, p, q) = 1),
+    filled as (select order_id, sum(q) as filled from (select b as order_id, q from done union all select s, q from done) group by 1)
+    select o.order_id, market_code, (quantity - coalesce(filled, 0))::double as remaining_quantity,
+           case when quantity <= coalesce(filled, 0) then 'FILLED' when filled > 0 then 'PARTIALLY_FILLED' else 'ACCEPTED' end as status
+    from opened o left join filled f on f.order_id = o.order_id""")
+def _(v):
+    orders = v.v_order_raw.withColumnRenamed("message_id", "offset")
+    executions = v.v_exec_raw.withColumnRenamed("message_id", "offset")
+    return flows.ledger_from_messages(orders, executions, known_markets=False).select(
+        "order_id", "market_code", "remaining_quantity", "status"
+    )
+
+
+@query("replay_plan", """
+    with days as (select *, make_timestamp(ts * 1000) + interval 9 hour as kst from v_record where market_code in ('KRW-BTC', 'KRW-LA', 'KRW-SLX', 'KRW-WLD', 'KRW-AI')),
+    chosen as (select * from days where strftime(kst, '%Y-%m-%d') = '2023-11-15')
+    select market_code as market_code, order_id, (ts - min(ts) over (partition by market_code)) / 1000 / 500.0::double as planned_seconds from chosen""")
+def _(v):
+    root = work_folder(v.spark)
+    rows = v.v_record.select(F.col("market_code").alias("market"), "ts", "side", "price", "quantity", "order_id")
+    files.write_order_records(rows, root, reset=True)
+    plan = flows.replay_plan(v.spark, root, "2023-11-15", speed=500, shard=(1, 4))
+    return plan.select("market_code", "order_id", "planned_seconds")
+
+
 @query("dedup_executions", f"""
     select buy_order_id, sell_order_id, price::double as price, quantity::double as quantity, {iso_sql('executed_at')} as executed_at
     from {_fills_once()} where not exists (select 1 from v_exec x where x.mode = 'REPLAY'

@@ -196,6 +196,7 @@ def _(v):
 @query("fill_share", f"""
     select market_code, count(*) as accepted, count(*) filter (where status = 'FILLED') as filled,
            floor(count(*) filter (where status = 'FILLED') / count(*) * 100 + 0.5)::bigint as fill_percent,
+           floor(count(*) filter (where {OPEN_SQL}) / count(*) * 100 + 0.5)::bigint as unfilled_percent,
            floor(count(*) filter (where side = 'BUY') / count(*) * 100 + 0.5)::bigint as buy_percent,
            floor(count(*) filter (where side = 'SELL') / count(*) * 100 + 0.5)::bigint as sell_percent
     from v_order where {RUN_SQL} group by 1""")

@@ -89,8 +89,8 @@ VIEWS = {
         select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string)
                  || '-' || cast(l_suppkey as string) as message_id,
                case when l_partkey % 41 = 0 then '[]' when l_partkey % 37 = 0 then '{"market":"A","quantity":3}'
-                    else '{"market":"' || l_returnflag || '","buyOrderId":"' || cast(l_orderkey as string)
-                         || '","sellOrderId":"' || cast(l_orderkey + l_linenumber as string) || '","price":"'
+                    else '{"market":"' || l_returnflag || '","buyOrderId":"ord_' || cast(l_orderkey as string)
+                         || '","sellOrderId":"ord_' || cast(l_orderkey + l_linenumber as string) || '","price":"'
                          || cast(l_extendedprice as string) || '","quantity":"' || cast(l_quantity as string) || '"}' end as body
         from $lineitem""",
     "v_assign_raw": """

@@ -39,6 +39,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     return prepare(spark)
 
 
+_LOCAL_ROOT: list[str] = []
+
+
 def work_folder(spark: SparkSession) -> str:
     """A fresh path below the shared folder named by spark.checkpoint.dir.
 
@@ -48,8 +51,9 @@ def work_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tidebook-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL_ROOT:
+            _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="tidebook-"))
+        root = _LOCAL_ROOT[0]
     return f"{root.rstrip('/')}/tidebook/{uuid.uuid4().hex}"
 
 
