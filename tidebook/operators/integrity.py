@@ -63,41 +63,58 @@ def sequence_reversals(orders, executions, mode=None, start=None, end=None) -> D
     return paired.agg(F.count_if(early).alias("sequence_reversals"))
 
 
-def filled_totals(orders: DataFrame, mode=None, start=None, end=None) -> DataFrame:
-    """Filled quantity of both sides; they agree up to 1e-6 in a sound ledger."""
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Put one-row results side by side, as an aggregate over their union."""
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part, allowMissingColumns=True)
+    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+
+
+def _run_totals(orders: DataFrame, mode, start, end) -> DataFrame:
+    """Accepted orders and filled quantity per side, from one scan."""
     done = F.col("quantity") - F.col("remaining_quantity")
 
     def total(side):
         return F.coalesce(F.sum(F.when(F.col("side") == side, done)), F.lit(0).cast("decimal(34,8)"))
 
-    totals = of_run(orders, mode, start, end).agg(
-        total("BUY").alias("buy_filled"), total("SELL").alias("sell_filled")
+    return of_run(orders, mode, start, end).agg(
+        F.count(F.lit(1)).alias("accepted"), total("BUY").alias("buy_filled"), total("SELL").alias("sell_filled")
     )
-    return totals.withColumn("balanced", F.abs(F.col("buy_filled") - F.col("sell_filled")) <= F.lit(1e-6))
 
 
-def one_row(*parts: DataFrame) -> DataFrame:
-    """Put one-row results side by side, as an aggregate over their union."""
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part, allowMissingColumns=True)
-    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+def _balanced():
+    return F.abs(F.col("buy_filled") - F.col("sell_filled")) <= F.lit(1e-6)
 
 
-def order_loss(orders: DataFrame, planned: DataFrame | None, mode: str, start, end) -> DataFrame:
+def _loss():
     """Planned minus accepted orders, never negative; null without a plan."""
+    return F.when(F.col("planned").isNotNull(), F.greatest(F.lit(0), F.col("planned") - F.col("accepted")))
+
+
+def _planned(recorded: DataFrame | None, like: DataFrame) -> DataFrame:
+    if recorded is None:
+        return like.sparkSession.createDataFrame([(None,)], "planned bigint")
+    return recorded.agg(F.count(F.lit(1)).alias("planned"))
+
+
+def filled_totals(orders: DataFrame, mode=None, start=None, end=None) -> DataFrame:
+    """Filled quantity of both sides; they agree up to 1e-6 in a sound ledger."""
+    return _run_totals(orders, mode, start, end).drop("accepted").withColumn("balanced", _balanced())
+
+
+def order_loss(orders: DataFrame, recorded: DataFrame | None, mode: str, start, end) -> DataFrame:
+    """Orders of the plan (the recorded ones) that were not accepted; null without a plan."""
     accepted = of_run(orders, mode, start, end).agg(F.count(F.lit(1)).alias("accepted"))
-    if planned is None:
-        return accepted.withColumns({"planned": F.lit(None).cast("bigint"), "order_loss": F.lit(None).cast("bigint")})
-    both = one_row(accepted, planned.agg(F.count(F.lit(1)).alias("planned")))
-    return both.withColumn("order_loss", F.greatest(F.lit(0), F.col("planned") - F.col("accepted")))
+    return one_row(accepted, _planned(recorded, orders)).withColumn("order_loss", _loss())
 
 
 def integrity(orders, executions, mode=None, start=None, end=None, planned: DataFrame | None = None) -> DataFrame:
-    """All checks in one row: four independent aggregates of one plan."""
-    return one_row(
+    """All checks in one row: independent aggregates of one plan, side by side."""
+    checks = one_row(
         overfilled(orders, executions, mode, start, end),
         sequence_reversals(orders, executions, mode, start, end),
-        filled_totals(orders, mode, start, end),
-        order_loss(orders, planned, mode, start, end).select("order_loss"),
+        _run_totals(orders, mode, start, end),
+        _planned(planned, orders),
     )
+    return checks.withColumns({"balanced": _balanced(), "order_loss": _loss()}).drop("accepted", "planned")

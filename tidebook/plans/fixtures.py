@@ -207,17 +207,14 @@ def with_views(sql: str, tables: dict[str, str]) -> str:
     return Template(body).substitute(tables)
 
 
-def register_tables(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Temporary views of the given tables; returns table -> view name."""
+def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One fixture view as a DataFrame; only the tables it reads are opened."""
     names = {table: f"tidebook_{table}" for table in TABLES}
-    for table, name in names.items():
-        read_table(spark, folder, table).createOrReplaceTempView(name)
-    return names
-
-
-def view(spark: SparkSession, names: dict[str, str], name: str) -> DataFrame:
-    """One fixture view as a DataFrame."""
-    return spark.sql(with_views(f"select * from {name}", names)).withColumnsRenamed(RENAMED)
+    sql = with_views(f"select * from {name}", names)
+    for table, alias in names.items():
+        if re.search(rf"\b{alias}\b", sql):
+            read_table(spark, folder, table).createOrReplaceTempView(alias)
+    return spark.sql(sql).withColumnsRenamed(RENAMED)
 
 
 def oracle_text(sql: str) -> str:

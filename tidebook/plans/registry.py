@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.clock import iso
-from tidebook.plans.fixtures import oracle_text, register_tables, view
+from tidebook.plans.fixtures import oracle_text, view
 from tidebook.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,14 +20,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._names = register_tables(spark, folder)
         self._views: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if not name.startswith("v_"):
             raise AttributeError(name)
         if name not in self._views:
-            self._views[name] = view(self.spark, self._names, name)
+            self._views[name] = view(self.spark, self.folder, name)
         return self._views[name]
 
 
