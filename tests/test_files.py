@@ -35,6 +35,16 @@ def test_first_flush_replaces_later_ones_append(spark, tmp_path):
     assert "PartitionFilters: [isnotnull" in plan
 
 
+def test_flushes_of_a_run(spark, tmp_path):
+    root = str(tmp_path / "orders")
+    a, b = "KRW-BTC", "KRW-ETH"
+    files.write_order_records(rows(spark, (a, KST_MIDNIGHT, "old-a"), (b, KST_MIDNIGHT, "old-b")), root, reset=True)
+    flushed = files.flush_order_records(rows(spark, (a, KST_MIDNIGHT + 1, "a1")), root, set())
+    assert flushed == {a} and ids(files.read_order_records(spark, root)) == ["a1", "old-b"]
+    flushed = files.flush_order_records(rows(spark, (a, KST_MIDNIGHT + 2, "a2"), (b, KST_MIDNIGHT, "b1")), root, flushed)
+    assert flushed == {a, b} and ids(files.read_order_records(spark, root)) == ["a1", "a2", "b1"]
+
+
 def test_order_documents_and_dates(spark, tmp_path):
     def put(market, name, body):
         (tmp_path / market).mkdir(exist_ok=True)

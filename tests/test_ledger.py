@@ -122,6 +122,8 @@ def test_live_counts_and_sessions_streams(spark):
     jobs.upsert_stream(jobs.live_counts(source(), "ts", "n"), f"{root}/counts", f"{root}/c1", drain=True).awaitTermination()
     counts = {r.minute: r.n for r in jobs.newest_version(spark, f"{root}/counts", ["minute"]).collect()}
     assert [counts[k] for k in sorted(counts)] == [2, 3, 1, 1, 1]
+    jobs.upsert_stream(jobs.live_totals(source(), "run_id", "n"), f"{root}/totals", f"{root}/c3", drain=True).awaitTermination()
+    assert [tuple(r) for r in jobs.newest_version(spark, f"{root}/totals", ["run_id"]).collect()] == [("r", 8)]
     sessions = jobs.session_stream(source()).writeStream.format("parquet").option("path", f"{root}/s").option("checkpointLocation", f"{root}/c2")
     sessions.trigger(availableNow=True).start().awaitTermination()
     closed = spark.read.parquet(f"{root}/s").orderBy("started_at").collect()

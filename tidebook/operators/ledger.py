@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.operators.integrity import fills, with_both_orders
 from tidebook.operators.ordered import number_chunk, previous, running, time_chunk
-from tidebook.schemas import AMOUNT, MODES, SIDES
+from tidebook.schemas import MODES, SIDES
 from tidebook.session import cut
 
 ORDER_FIELDS = (
@@ -19,11 +19,12 @@ REQUEST_WINDOW = 3600
 # ---- executions --------------------------------------------------------------------------
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key. Copies collapse in the map task, before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), at).alias("row"))
-    return picked.select(*keys, "row.*").select(*rows.columns)
+    """First row per key.
+
+    The rank limit is applied in the map task as well, so copies collapse before the shuffle.
+    """
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__rank", first).filter(F.col("__rank") == 1).drop("__rank")
 
 
 def dedup_executions(executions: DataFrame, order: list[str], stored: DataFrame | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def fold(events: DataFrame, filled: DataFrame, order: str = "offset") -> DataFra
         F.when(is_new, fresh).alias("fresh"), F.when(is_new, F.col(order)).alias("new_at"),
         F.when(is_cancel, F.col("canceled_at")).alias("canceled"), F.when(is_cancel, F.col(order)).alias("cancel_at"),
     )
-    done = filled.select("order_id", F.col("quantity").cast(AMOUNT).alias("done"))
+    done = filled.select("order_id", F.col("quantity").cast("decimal(34,8)").alias("done"))
     state = stated.unionByName(done, allowMissingColumns=True).groupBy("order_id").agg(
         F.min_by("fresh", "new_at").alias("o"), F.min_by("canceled", "cancel_at").alias("canceled"),
         F.coalesce(F.sum("done"), F.lit(0)).cast("decimal(34,8)").alias("filled"),
@@ -82,7 +83,10 @@ def fold(events: DataFrame, filled: DataFrame, order: str = "offset") -> DataFra
 
 def order_ledger(events: DataFrame, executions: DataFrame, order: str = "offset", execution_order: list[str] = ("offset",)) -> DataFrame:
     """The ledger as rows of orders, whatever the arrival order across the topics."""
-    return fold(events, fills(dedup_executions(executions, list(execution_order))), order)
+    # Summing the fills on their own first is a pure hash aggregation; the fold then meets one
+    # row per traded order.
+    once = fills(dedup_executions(executions, list(execution_order)))
+    return fold(events, once.groupBy("order_id").agg(F.sum("quantity").alias("quantity")), order)
 
 
 # ---- order intake ------------------------------------------------------------------------

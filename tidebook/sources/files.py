@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.clock import FILE_STAMP, KST_HOURS, kst_date
-from tidebook.schemas import CANDLE_BATCH_FILE, MARKET_CODES, ORDER_RECORD, ORDER_RECORD_FILE, STREAM_FILE
+from tidebook.schemas import CANDLE_BATCH_FILE, MARKET_CODES, ORDER_RECORD, ORDER_RECORD_FILE, STREAM_FILE, is_market
 
 # Name endings of the document files, <start>_<end>_<kind>.json per market folder.
 ORDERS_SUFFIX = "_orders.json"
@@ -31,7 +31,7 @@ def _or_empty(read, spark: SparkSession, schema: str) -> DataFrame:
 def write_order_records(records: DataFrame, root: str, reset: bool) -> None:
     """Write one flush of recorded orders, sorted by time within each market and KST day.
 
-    The first flush of a run (`reset`) replaces the days it touches, later ones append.
+    With `reset` the days it touches are replaced, market by market, otherwise rows are added.
     Rows are spread by range over (market, ts), so one busy market fills many files.
     """
     rows = records.withColumn("trade_date", kst_date(F.timestamp_millis("ts")))
@@ -42,6 +42,21 @@ def write_order_records(records: DataFrame, root: str, reset: bool) -> None:
     )
 
 
+def flush_order_records(records: DataFrame, root: str, flushed: set[str]) -> set[str]:
+    """One flush of a run: the first one of each market replaces its days, later ones append.
+
+    `flushed` names the markets this run has written before; the new set is returned. The
+    set is bounded by the market dimension.
+    """
+    seen = {row.market for row in records.select("market").distinct().filter(is_market(F.col("market"))).collect()}
+    known = F.col("market").isin(sorted(flushed)) if flushed else F.lit(False)
+    if seen - flushed:
+        write_order_records(records.filter(is_market(F.col("market")) & ~known), root, reset=True)
+    if seen & flushed:
+        write_order_records(records.filter(known), root, reset=False)
+    return flushed | seen
+
+
 def read_order_records(spark: SparkSession, root: str, market: str | None = None, day: str | date | None = None) -> DataFrame:
     """Recorded orders; market and day prune whole folders."""
     rows = _or_empty(lambda: spark.read.schema(ORDER_RECORD).parquet(root), spark, ORDER_RECORD)

@@ -118,6 +118,11 @@ def live_counts(rows: DataFrame, ts: str, name: str, lateness: str = "10 minutes
     )
 
 
+def live_totals(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Running totals per `by`; use update mode. The state is one counter per group."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias(name))
+
+
 def session_stream(beats: DataFrame, lateness: str = "2 minutes") -> DataFrame:
     """Heartbeat sessions per run; a session closes when the run stays silent."""
     window = F.session_window("ts", HEARTBEAT_LIFETIME)
