@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidebook.operators import series
-from tidebook.sources import files
+from tidebook.sources import files, tables
 
 RECORD = "market string, ts bigint, side string, price string, quantity string, order_id string"
 DAY_MS = 86_400_000
@@ -84,3 +84,12 @@ def test_coverage(spark):
     out = {r.market_code: (r.batch_exists, r.stream_exists, r.all_exist) for r in files.dataset_coverage(wanted, files.stored_days(paths)).collect()}
     assert len(out) == 20
     assert out["KRW-BTC"] == (True, True, True) and out["KRW-XRP"] == (True, False, False) and out["KRW-ETH"] == (False, False, False)
+
+
+def test_dated_tables_open_only_their_days(spark, tmp_path):
+    root, schema = str(tmp_path / "ledger"), "order_id string, submitted_at timestamp"
+    rows_ = spark.sql("select cast(id as string) as order_id, timestamp '2026-08-01' + make_interval(0, 0, 0, 0, cast(id as int)) as submitted_at from range(72)")
+    tables.write_dated(rows_, root, "submitted_at")
+    part = tables.read_dated(spark, root, schema, "submitted_at", "2026-08-02T06:00:00", "2026-08-03")
+    assert sorted(int(r.order_id) for r in part.collect()) == list(range(30, 48))
+    assert "utc_date" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]

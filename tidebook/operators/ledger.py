@@ -27,11 +27,21 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__rank", first).filter(F.col("__rank") == 1).drop("__rank")
 
 
+def unseen(rows: DataFrame, stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is not stored yet; `batch` holds the keys of all rows.
+
+    The stored table is first cut down to the keys of the batch. Where the batch is small
+    enough for Spark to broadcast it, the stored table is scanned but never shuffled.
+    """
+    hits = stored.select(*keys).join(batch.select(*keys), keys, "left_semi")
+    return rows.join(hits, keys, "left_anti")
+
+
 def dedup_executions(executions: DataFrame, order: list[str], stored: DataFrame | None = None) -> DataFrame:
     """Executions not stored yet, one per (buy, sell) pair."""
     pair = ["buy_order_id", "sell_order_id"]
     fresh = first_by(executions, pair, order)
-    return fresh if stored is None else fresh.join(stored.select(*pair), pair, "left_anti")
+    return fresh if stored is None else unseen(fresh, stored, executions, pair)
 
 
 def resolve_mode(executions: DataFrame, orders: DataFrame) -> DataFrame:
@@ -107,8 +117,8 @@ def insert_orders(batch: DataFrame, stored: DataFrame, order: str = "offset") ->
     # Requests without an id never collide.
     keyed = first_by(per_order.filter(F.col("client_request_id").isNotNull()), ["client_request_id"], [order])
     unkeyed = per_order.filter(F.col("client_request_id").isNull())
-    fresh = keyed.unionByName(unkeyed).join(stored.select("order_id"), "order_id", "left_anti")
-    return fresh.join(stored.select("client_request_id"), "client_request_id", "left_anti").select(*batch.columns)
+    fresh = unseen(keyed.unionByName(unkeyed), stored, batch, ["order_id"])
+    return unseen(fresh, stored, batch, ["client_request_id"]).select(*batch.columns)
 
 
 def accepted_requests(requests: DataFrame, key: str, id_column: str, seconds: int = REQUEST_WINDOW) -> DataFrame:

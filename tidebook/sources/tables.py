@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidebook.functions.clock import moment, within
 
 TABLES = {
     "orders": (
@@ -30,3 +33,28 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         .option("pathGlobFilter", f"{name}.parquet")
         .parquet(folder)
     )
+
+
+# ---- dated tables ------------------------------------------------------------------------
+
+def write_dated(rows: DataFrame, root: str, ts: str, mode: str = "append") -> None:
+    """Write ledger rows below utc_date=<day>, in time order within a file.
+
+    Range partitions over (day, time) split a busy day into many files with narrow time
+    ranges, so min/max statistics prune inside the day as well.
+    """
+    dated = rows.withColumn("utc_date", F.to_date(ts))
+    (
+        dated.repartitionByRange("utc_date", ts).sortWithinPartitions("utc_date", ts)
+        .write.partitionBy("utc_date").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(root)
+    )
+
+
+def read_dated(spark: SparkSession, root: str, schema: str, ts: str, start=None, end=None) -> DataFrame:
+    """Rows of [start, end); other days are not opened."""
+    rows = spark.read.schema(f"{schema}, utc_date date").parquet(root)
+    if start is not None:
+        rows = rows.filter(F.col("utc_date") >= F.lit(moment(start).date()))
+    if end is not None:
+        rows = rows.filter(F.col("utc_date") <= F.lit(moment(end).date()))
+    return rows.filter(within(F.col(ts), start, end)).drop("utc_date")
