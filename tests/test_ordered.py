@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidebook.operators.ordered import number_chunk, previous, running
+from tidebook.operators import series
+from tidebook.operators.ordered import SLICE, number_chunk, previous, running, time_slices
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +44,21 @@ def test_previous(rows):
     w = Window.partitionBy("k").orderBy("n")
     expected = rows.select("*", F.lag("v").over(w).alias("p"), F.lag("n").over(w).alias("pn"))
     assert sorted(out.collect(), key=lambda r: r.n) == sorted(expected.collect(), key=lambda r: r.n)
+
+
+def test_crowded_slices_are_cut_in_order(rows):
+    timed = rows.withColumn("ts", F.timestamp_millis(F.col("n") * 50))
+    sliced = time_slices(timed, ["k"], "ts", seconds=20, limit=40)
+    per_slice = sliced.groupBy("k", SLICE).count()
+    assert per_slice.agg(F.max("count")).first()[0] <= 40
+    back = Window.partitionBy("k").orderBy("n")
+    falls = sliced.withColumn("fell", F.col(SLICE) < F.lag(SLICE).over(back)).filter("fell")
+    assert falls.count() == 0
+
+
+def test_crowded_slices_keep_results(rows):
+    samples = rows.filter("v is not null").withColumnRenamed("v", "value").withColumn("ts", F.timestamp_millis(F.col("n") * 50))
+    plain = series.hysteresis(samples, ["k"], ["ts", "n"], 30, -30).orderBy("n").collect()
+    assert series.hysteresis(samples, ["k"], ["ts", "n"], 30, -30, slice_seconds=20, slice_rows=25).orderBy("n").collect() == plain
+    wide = series.asof_delta(samples, ["k"], "n", seconds=3).orderBy("n").collect()
+    assert series.asof_delta(samples, ["k"], "n", seconds=3, slice_seconds=20, slice_rows=25).orderBy("n").collect() == wide

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.operators.integrity import fills, with_both_orders
-from tidebook.operators.ordered import number_chunk, previous, running, time_chunk
+from tidebook.operators.ordered import SLICE, number_chunk, previous, running, time_chunk, time_slices
 from tidebook.schemas import MODES, SIDES
 from tidebook.session import cut
 
@@ -130,7 +130,8 @@ def accepted_requests(requests: DataFrame, key: str, id_column: str, seconds: in
     windows takes log2(n) rounds of joins on the row id.
     """
     spark = requests.sparkSession
-    seen = previous(requests, [key], ["ts", id_column], time_chunk(F.col("ts"), seconds), {"before": F.col("ts")})
+    sliced = time_slices(requests, [key], "ts", seconds)
+    seen = previous(sliced, [key], ["ts", id_column], F.col(SLICE), {"before": F.col("ts")}).drop(SLICE)
     pause = F.col("ts") > F.col("before") + F.expr(f"interval {seconds} seconds")
     flagged = seen.withColumn("starts", F.col("before").isNull() | pause).drop("before")
 
@@ -140,7 +141,7 @@ def accepted_requests(requests: DataFrame, key: str, id_column: str, seconds: in
     )).alias("w")).select("*", "w.at", "w.asks").drop("w")
     target = F.when(F.col("asks") == 0, F.struct(F.col(id_column).alias("id"), "starts"))
     ahead = running(
-        walk, [key], ["at", "asks", id_column], time_chunk(F.col("at"), seconds),
+        time_slices(walk, [key], "at", seconds), [key], ["at", "asks", id_column], F.col(SLICE),
         {"next": ("last", target)}, backward=True,
     )
     # A jump onto the start of a burst brings nothing new.

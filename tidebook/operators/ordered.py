@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
+SLICE = "__slice"
+
+# A slice with more rows than this is cut further.
+SLICE_ROWS = 4_000_000
 
 
 def time_chunk(ts: Column, seconds: int = 600) -> Column:
@@ -20,6 +24,26 @@ def time_chunk(ts: Column, seconds: int = 600) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
 
+def time_slices(df: DataFrame, keys: list[str], ts: str, seconds: int = 600, limit: int = SLICE_ROWS) -> DataFrame:
+    """Add the chunk column SLICE: time slices, with crowded ones cut into finer slices.
+
+    Rows are counted per series and slice first, merged map-side. A slice with more than
+    `limit` rows is cut into 16 times as many parts as it has limits. The list of crowded
+    slices has at most rows / limit entries, so it is broadcast.
+    """
+    base = time_chunk(F.col(ts), seconds)
+    counted = df.groupBy(*keys, base.alias("__base")).agg(F.count(F.lit(1)).alias("__rows"))
+    crowded = counted.filter(F.col("__rows") > limit).select(
+        *keys, "__base", (F.ceil(F.col("__rows") / limit) * 16).alias("__parts")
+    )
+    marked = df.withColumn("__base", base).join(F.broadcast(crowded), [*keys, "__base"], "left")
+    width = F.lit(seconds * 1_000_000)
+    inside = F.unix_micros(ts) - F.col("__base") * width
+    part = F.floor(inside * F.col("__parts") / width)
+    chunk = F.col("__base") * F.lit(1 << 24) + F.coalesce(part, F.lit(0))
+    return marked.withColumn(SLICE, chunk).select(*df.columns, SLICE)
+
+
 def number_chunk(value: Column, width: int) -> Column:
     return F.floor(value / F.lit(width))
 

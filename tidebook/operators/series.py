@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.clock import bucket, kst_date, kst_day, within
 from tidebook.functions.ticks import quantity_text, with_price_text
-from tidebook.operators.ordered import previous, running, time_chunk
+from tidebook.operators.ordered import SLICE, SLICE_ROWS, previous, running, time_slices
 
 # Price history length, quote spread and size, quote interval.
 HISTORY = 30
@@ -133,12 +133,13 @@ def range_filter(orders: DataFrame, from_ts: int = 0, to_ts: int = 0) -> DataFra
 # ---- sequential state --------------------------------------------------------------------
 
 def hysteresis(
-    samples: DataFrame, keys: list[str], order: list[str], high: float, low: float, slice_seconds: int = 600
+    samples: DataFrame, keys: list[str], order: list[str], high: float, low: float, slice_seconds: int = 600, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Flag that rises at `high`, falls at `low` and otherwise keeps its state."""
     mark = F.when(F.col("value") >= high, 1).when(F.col("value") <= low, 0)
-    out = running(samples, keys, order, time_chunk(F.col("ts"), slice_seconds), {"mark": ("last", mark)})
-    return out.withColumn("active", F.coalesce(F.col("mark") == 1, F.lit(False))).drop("mark")
+    sliced = time_slices(samples, keys, "ts", slice_seconds, slice_rows)
+    out = running(sliced, keys, order, F.col(SLICE), {"mark": ("last", mark)})
+    return out.withColumn("active", F.coalesce(F.col("mark") == 1, F.lit(False))).drop("mark", SLICE)
 
 
 def max_over_readers(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,26 +147,27 @@ def max_over_readers(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.groupBy(*keys, "ts").agg(F.greatest(F.max("value"), F.lit(0)).alias("value"))
 
 
-def market_load(readings: DataFrame, order: list[str], slice_seconds: int = 600) -> DataFrame:
+def market_load(readings: DataFrame, order: list[str], slice_seconds: int = 600, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Offsets per second since the previous reading; 0 if first, idle or not later."""
     seen = previous(
-        readings, ["market_code"], order, time_chunk(F.col("ts"), slice_seconds),
+        time_slices(readings, ["market_code"], "ts", slice_seconds, slice_rows), ["market_code"], order, F.col(SLICE),
         {"before_offset": F.col("offset"), "before_ts": F.col("ts")},
     )
     elapsed = (F.unix_micros("ts") - F.unix_micros("before_ts")) / 1e6
     moved = F.col("offset") - F.col("before_offset")
     load = F.when((elapsed > 0) & (moved > 0), moved / elapsed).otherwise(0.0)
-    return seen.withColumn("load", load).drop("before_offset", "before_ts")
+    return seen.withColumn("load", load).drop("before_offset", "before_ts", SLICE)
 
 
-def gauge_trend(samples: DataFrame, keys: list[str], order: list[str], slice_seconds: int = 600) -> DataFrame:
+def gauge_trend(samples: DataFrame, keys: list[str], order: list[str], slice_seconds: int = 600, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Change of a gauge since its previous poll."""
-    seen = previous(samples, keys, order, time_chunk(F.col("ts"), slice_seconds), {"before": F.col("value")})
-    return seen.withColumn("delta", F.col("value") - F.col("before")).drop("before")
+    sliced = time_slices(samples, keys, "ts", slice_seconds, slice_rows)
+    seen = previous(sliced, keys, order, F.col(SLICE), {"before": F.col("value")})
+    return seen.withColumn("delta", F.col("value") - F.col("before")).drop("before", SLICE)
 
 
 def asof_delta(
-    samples: DataFrame, keys: list[str], tie: str, seconds: int = 60, slice_seconds: int = 600
+    samples: DataFrame, keys: list[str], tie: str, seconds: int = 60, slice_seconds: int = 600, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Every sample against the newest one taken at least `seconds` earlier.
 
@@ -177,11 +179,10 @@ def asof_delta(
         F.struct((F.col("ts") - F.expr(f"interval {seconds} seconds")).alias("at"), F.lit(1).alias("asks")),
     )).alias("walk")).select("*", "walk.at", "walk.asks").drop("walk")
     known = F.when(F.col("asks") == 0, F.col("value"))
-    answered = running(
-        both, keys, ["at", "asks", tie], time_chunk(F.col("at"), slice_seconds), {"before": ("last", known)}
-    )
+    sliced = time_slices(both, keys, "at", slice_seconds, slice_rows)
+    answered = running(sliced, keys, ["at", "asks", tie], F.col(SLICE), {"before": ("last", known)})
     return (
-        answered.filter(F.col("asks") == 1).drop("at", "asks")
+        answered.filter(F.col("asks") == 1).drop("at", "asks", SLICE)
         .withColumn("delta", F.col("value") - F.col("before"))
     )
 
