@@ -5,8 +5,6 @@ from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
-
 from tidebook.operators import book, ledger
 from tidebook.session import work_folder
 from tidebook.streaming import jobs

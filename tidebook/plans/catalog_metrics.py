@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from tidebook.operators import ledger, metrics, replay, series
-from tidebook.plans.catalog_orders import OPEN_SQL, RUN, RUN_SQL
+from tidebook.plans.catalog_orders import OPEN_SQL
 from tidebook.plans.registry import iso_sql, query
 from tidebook.schemas import MARKET_CODES
 

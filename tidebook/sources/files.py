@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.functions.clock import FILE_STAMP, KST_HOURS, kst_date
+from tidebook.functions.clock import FILE_STAMP, kst_date
 from tidebook.schemas import CANDLE_BATCH_FILE, MARKET_CODES, ORDER_RECORD, ORDER_RECORD_FILE, STREAM_FILE, is_market
 
 # Name endings of the document files, <start>_<end>_<kind>.json per market folder.
