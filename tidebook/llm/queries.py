@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import fingerprint, mixing, packing, token_counts, toxicity
+from tidebook.llm import fingerprint, lines, minhash, mixing, packing, token_counts, toxicity
 from tidebook.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op2_b_bit_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_copies(read(spark, folder, "documents"))
+
+
+@query
+def op4_line_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(read(spark, folder, "documents"))
+
+
 @query
 def op3_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, folder, "documents"))
