@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebook.llm import fingerprint, lines, minhash, mixing, packing, token_counts, toxicity
+from tidebook.llm import fingerprint, language_model, lines, minhash, mixing, neighbours, packing, token_counts, toxicity, warc
 from tidebook.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,15 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit of a replica of all pages' records that lost a character in about one record of a hundred."""
+    pages = read(spark, folder, "pages")
+    return warc.audit(warc.records(pages), warc.records(warc.fading_replica(pages))).select(
+        "volume", "position", "record_id", "offset", "n_bytes", "digest", "replica_digest", "state"
+    )
+
+
 @query
 def op2_b_bit_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_copies(read(spark, folder, "documents"))
@@ -54,3 +64,13 @@ def op9_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.prefix_counts(read(spark, folder, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (counted["n_tokens"] > token_counts.TOKEN_LIMIT).alias("over_limit"))
+
+
+@query
+def op7_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(read(spark, folder, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(100)) == 0)
+
+
+@query
+def op8_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.scored(read(spark, folder, "documents"))
