@@ -234,22 +234,20 @@ def _all_earlier(rows: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Possible earlier partners of the open (key, token), out of all rows of the word, in blocks."""
     sizes = rows.join(open_rows.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     here = cut(rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), rows.sparkSession)
+    names = ["n", "place", "bits", "doc_id", "line_no"]
     asking = here.join(open_rows.select("key", "token"), ["key", "token"], "left_semi").select(
-        *[F.col(c).alias(c) for c in here.columns if c != "block"], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        F.col("token"), F.col("key").alias("later"), *[F.col(c).alias(f"l_{c}") for c in names],
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[bytes, bytes]] = []
-        if len(left) and len(right):
-            n, place, bits = left["n"].to_numpy(np.int64), left["place"].to_numpy(np.int64), left["bits"].to_numpy(np.int64).view(np.uint64)
-            doc, line, keys = left["doc_id"].to_numpy(), left["line_no"].to_numpy(), left["key"].to_numpy()
-            for r in right.itertuples(index=False):
-                ok = _possible(n, r.n, place, r.place, bits, np.int64(r.bits).view(np.uint64))
-                ok &= (doc < r.doc_id) | ((doc == r.doc_id) & ((line < r.line_no) | ((line == r.line_no) & (keys < r.key).astype(bool))))
-                found += [(r.key, k) for k in keys[ok]]
-        return pd.DataFrame(found, columns=["key", "with"]).drop_duplicates()
-
-    return here.groupBy("token", "block").cogroup(asking.groupBy("token", "block")).applyInPandas(meet, "key binary, with binary").distinct()
+    # The same bounds as in _possible, inside the join.
+    need = F.expr("(3 * (n + l_n) + 6) div 7")
+    bounds = (
+        (4 * F.least("n", "l_n") >= 3 * F.greatest("n", "l_n"))
+        & (F.least(F.col("n") - F.col("place"), F.col("l_n") - F.col("l_place")) >= need)
+        & (F.expr("(n + l_n - bit_count(bits ^ l_bits)) div 2") >= need)
+        & (F.struct("doc_id", "line_no", "key") < F.struct(F.col("l_doc_id"), F.col("l_line_no"), F.col("later")))
+    )
+    return here.join(asking, ["token", "block"]).filter(bounds).select(F.col("later").alias("key"), F.col("key").alias("with")).distinct()
 
 
 def _chosen_lines(docs: DataFrame, ranks: bytes, wanted: DataFrame) -> DataFrame:

@@ -173,14 +173,16 @@ def compare(pairs: DataFrame, sets_of) -> DataFrame:
     places = cut(asked.union(own), spark)
     sets = cut(sets_of(places.select("key").distinct()), spark)
 
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        head = group["key"] == group["with"]
-        base = np.frombuffer(group.loc[head, "members"].iloc[0], np.uint64)
-        rest = group[~head]
-        kept = [_similar(np.frombuffer(m, np.uint64), base) for m in rest["members"]]
-        return rest.loc[kept, ["key", "with"]]
-
-    return cut(places.join(sets, "key").groupBy("with", "block").applyInPandas(verify, "key binary, with binary"), spark)
+    held = places.join(sets, "key")
+    base = held.filter(F.col("key") == F.col("with")).select("with", "block", F.col("members").alias("base"))
+    met = held.filter(F.col("key") != F.col("with")).join(base, ["with", "block"]).select("key", "with", "members", "base")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (map(lambda m: np.frombuffer(m, np.uint64), batch.column(i).to_pylist()) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([_similar(a, b) for a, b in zip(*sides, strict=True)], pa.bool_()))
+
+    return cut(met.mapInArrow(verify, "key binary, with binary"), spark)
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
