@@ -9,8 +9,9 @@ threshold are confirmed on the full sets. A pair at the threshold shares no band
 
 Documents with the same set are one class from the start. In each bucket every class first meets the
 smallest one, and links so found give components. Only buckets that then hold several components are
-looked at again: classes outside the main component meet all others, in blocks of bounded size, so no
-link between components is lost and groups of copies are never expanded into pairs.
+looked at again: classes outside the main component meet all others, in blocks of bounded size, first for the
+best pair of each two components, then, where these did not link, for all pairs. So no link between
+components is lost and groups of copies are not expanded into pairs.
 
 Nulls and empty texts have no set and are linked with nothing. Rows with a null id are linked with
 nothing, too, and kept. Rows of one id are one document for the links. Extra columns do not matter.
@@ -167,6 +168,7 @@ def compare(pairs: DataFrame, sets_of) -> DataFrame:
     `sets_of(keys)` gives (key, members) for a table of keys.
     """
     spark = pairs.sparkSession
+    kind = pairs.schema["key"].dataType.simpleString()
     per = pairs.groupBy("with").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
     asked = pairs.join(per, "with").select("key", "with", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
     own = per.select(F.col("with").alias("key"), "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -182,7 +184,7 @@ def compare(pairs: DataFrame, sets_of) -> DataFrame:
             sides = (map(lambda m: np.frombuffer(m, np.uint64), batch.column(i).to_pylist()) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array([_similar(a, b) for a, b in zip(*sides, strict=True)], pa.bool_()))
 
-    return cut(met.mapInArrow(verify, "key binary, with binary"), spark)
+    return cut(met.mapInArrow(verify, f"key {kind}, with {kind}"), spark)
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -207,8 +209,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame, spark) -> DataFrame:
     return cut(near.select("key", "with", "packed", "packed_with").mapInArrow(run, "key binary, with binary"), spark)
 
 
-def _across(members: DataFrame, classes: DataFrame, component_of: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket, lie in different components and are estimated similar."""
+def _across(members: DataFrame, classes: DataFrame, component_of: DataFrame, best: bool) -> DataFrame:
+    """Pairs of classes that share a bucket, lie in different components and are estimated similar.
+
+    best: of each two components that meet in a block only the pair with the highest estimate.
+    """
     placed = members.join(component_of, "key").withColumn("main", F.col("key") == F.col("leader"))
     mixed = placed.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
@@ -224,14 +229,23 @@ def _across(members: DataFrame, classes: DataFrame, component_of: DataFrame) ->
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[bytes, bytes]] = []
+        tops: dict[tuple[int, int], tuple[float, bytes, bytes]] = {}
         if len(left) and len(right):
             a = np.frombuffer(b"".join(left["packed"]), np.uint64).reshape(len(left), -1)
             n, comp, keys = left["n_shingles"].to_numpy(), left["component"].to_numpy(), left["key"].to_numpy()
             for key, c, size, bits in zip(right["key"], right["component"], right["n_shingles"], right["packed"], strict=True):
                 fit = (comp != c) & (DENOMINATOR * np.minimum(n, size) >= NUMERATOR * np.maximum(n, size))
                 at = np.flatnonzero(fit)
-                hit = at[estimate(a[at], np.frombuffer(bits, np.uint64)) >= NUMERATOR / DENOMINATOR - SLACK]
-                found += [(min(key, k), max(key, k)) for k in keys[hit]]
+                value = estimate(a[at], np.frombuffer(bits, np.uint64))
+                near = value >= NUMERATOR / DENOMINATOR - SLACK
+                hit = at[near]
+                if best:
+                    for i, v in zip(hit, value[near], strict=True):
+                        pair = (min(c, comp[i]), max(c, comp[i]))
+                        tops[pair] = max(tops.get(pair, (0.0, b"", b"")), (v, min(key, keys[i]), max(key, keys[i])))
+                else:
+                    found += [(min(key, k), max(key, k)) for k in keys[hit]]
+        found += [(a, b) for _, a, b in tops.values()]
         return pd.DataFrame(found, columns=["key", "with"]).drop_duplicates()
 
     return (
@@ -273,8 +287,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return reps.join(node, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
 
     seen = stars.select(F.least("key", "with").alias("key"), F.greatest("key", "with").alias("with"))
-    across = cut(_across(members, classes, cut(with_component(linked(first)), spark)).join(seen, ["key", "with"], "left_anti"), spark)
-    final = with_component(linked(first.union(_confirmed(docs, across, classes))))
+    found = first
+    for best in (True, False):
+        across = cut(_across(members, classes, cut(with_component(linked(found)), spark), best).join(seen, ["key", "with"], "left_anti"), spark)
+        found = found.union(_confirmed(docs, across, classes))
+        seen = seen.union(across)
+    final = with_component(linked(found))
     rows = signed.select("doc_id", "n_shingles", "key").join(final, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select(
