@@ -176,16 +176,13 @@ def _nearest(rows: DataFrame) -> DataFrame:
     Rows arrive sorted by (token, n); a batch keeps the last WINDOW rows for the next one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("token", "n", "place", "bits", "doc_id", "line_no")
-        tail, tail_keys = None, np.empty(0, object)
+        names = ("token", "n", "place", "bits", "key")
+        tail, old = None, 0
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            keys = np.array(batch.column("key").to_pylist(), object)
-            old = len(tail_keys)
             col = {c: np.concatenate([tail[c], new[c]]) if old else new[c] for c in names}
-            keys = np.concatenate([tail_keys, keys]) if old else keys
             col["bits"] = col["bits"].view(np.uint64)
-            size = len(keys)
+            keys, size = col["key"], len(col["key"])
             n, place = col["n"].astype(np.int64), col["place"].astype(np.int64)
             best = np.full(size, 255, np.int64)
             chosen = np.full(size, -1, np.int64)
@@ -199,10 +196,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
                 high = low + d
                 ok = _possible(n[low], n[high], place[low], place[high], col["bits"][low], col["bits"][high])
                 low, high = low[ok], high[ok]
-                early = (col["doc_id"][low] < col["doc_id"][high]) | (
-                    (col["doc_id"][low] == col["doc_id"][high])
-                    & ((col["line_no"][low] < col["line_no"][high]) | ((col["line_no"][low] == col["line_no"][high]) & (keys[low] < keys[high]).astype(bool)))
-                )
+                early = keys[low] < keys[high]
                 apart = np.bitwise_count(col["bits"][low] ^ col["bits"][high]).astype(np.int64)
                 for later, earlier, mask in ((high, low, early), (low, high, ~early)):
                     at, to, gap = later[mask], earlier[mask], apart[mask]
@@ -217,7 +211,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
             told = np.flatnonzero((chosen >= 0) | far)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys[told].tolist(), pa.binary()), pa.array([keys[c] if c >= 0 else None for c in chosen[told]], pa.binary()),
+                    pa.array(keys[told]), pa.array(keys[chosen[told]], mask=chosen[told] < 0),
                     pa.array(((found > 1) | far)[told]), pa.array(col["token"][told].astype(np.int32)),
                 ],
                 names=["key", "with", "open", "token"],
@@ -225,16 +219,16 @@ def _nearest(rows: DataFrame) -> DataFrame:
             keep = max(0, size - WINDOW)
             tail = {c: v[keep:] for c, v in col.items()}
             tail["bits"] = tail["bits"].view(np.int64)
-            tail_keys = keys[keep:]
+            old = size - keep
 
-    return rows.mapInArrow(run, "key binary, with binary, open boolean, token int")
+    return rows.mapInArrow(run, "key bigint, with bigint, open boolean, token int")
 
 
 def _all_earlier(rows: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Possible earlier partners of the open (key, token), out of all rows of the word, in blocks."""
     sizes = rows.join(open_rows.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     here = cut(rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), rows.sparkSession)
-    names = ["n", "place", "bits", "doc_id", "line_no"]
+    names = ["n", "place", "bits"]
     asking = here.join(open_rows.select("key", "token"), ["key", "token"], "left_semi").select(
         F.col("token"), F.col("key").alias("later"), *[F.col(c).alias(f"l_{c}") for c in names],
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
@@ -245,7 +239,7 @@ def _all_earlier(rows: DataFrame, open_rows: DataFrame) -> DataFrame:
         (4 * F.least("n", "l_n") >= 3 * F.greatest("n", "l_n"))
         & (F.least(F.col("n") - F.col("place"), F.col("l_n") - F.col("l_place")) >= need)
         & (F.expr("(n + l_n - bit_count(bits ^ l_bits)) div 2") >= need)
-        & (F.struct("doc_id", "line_no", "key") < F.struct(F.col("l_doc_id"), F.col("l_line_no"), F.col("later")))
+        & (F.col("key") < F.col("later"))
     )
     return here.join(asking, ["token", "block"]).filter(bounds).select(F.col("later").alias("key"), F.col("key").alias("with")).distinct()
 
@@ -274,22 +268,27 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     ranks = rarity(docs)
     table = cut(line_table(docs, ranks), spark)
     doc = F.coalesce("doc_id", F.lit(LAST))
-    classes = cut(
-        table.groupBy("key").agg(F.min(F.struct(doc.alias("doc_id"), "line_no", "n", "bits", "prefix")).alias("r")).select("key", "r.*"), spark
-    )
-    rows = classes.select("doc_id", "line_no", "key", "n", "bits", F.posexplode("prefix").alias("place", "token"))
+    firsts = table.groupBy("key").agg(F.min(F.struct(doc.alias("doc_id"), "line_no")).alias("r")).select("key", "r.*")
+    # Range partitions follow each other, so these numbers are in the order of the lines.
+    order = ["doc_id", "line_no", "key"]
+    classes = cut(firsts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("uid", F.monotonically_increasing_id()), spark)
+    at_first = table.withColumn("doc_id", doc).join(classes, order).select("uid", "n", "bits", "prefix")
+    rows = at_first.select(F.col("uid").alias("key"), "n", "bits", F.posexplode("prefix").alias("place", "token"))
     first = cut(_nearest(rows.repartition("token").sortWithinPartitions("token", "n")), spark)
-    home = classes.select("key", "doc_id")
-    sets = lambda keys: _chosen_lines(docs, ranks, keys.join(home, "key"))
+
+    def sets(keys: DataFrame) -> DataFrame:
+        wanted = cut(keys.withColumnRenamed("key", "uid").join(classes, "uid").select("uid", "key", "doc_id"), spark)
+        return _chosen_lines(docs, ranks, wanted).join(wanted.select("uid", "key"), "key").select(F.col("uid").alias("key"), "members")
+
     matched = compare(first.filter(F.col("with").isNotNull()).select("key", "with").distinct(), sets).select("key").distinct()
     still = cut(first.filter("open").select("key", "token").distinct().join(matched, "key", "left_anti"), spark)
     if not still.isEmpty():
         asked = cut(_all_earlier(rows, still), spark)
         tried = first.filter(F.col("with").isNotNull()).select("key", "with")
         matched = matched.union(compare(asked.join(tried, ["key", "with"], "left_anti"), sets).select("key")).distinct()
-    fate = classes.select("key", F.col("doc_id").alias("at_doc"), F.col("line_no").alias("at_line")).join(
-        matched.withColumn("similar", F.lit(True)), "key", "left"
-    )
+    fate = classes.select("key", F.col("doc_id").alias("at_doc"), F.col("line_no").alias("at_line"), "uid").join(
+        matched.select(F.col("key").alias("uid"), F.lit(True).alias("similar")), "uid", "left"
+    ).drop("uid")
     moved = (doc != F.col("at_doc")) | (F.col("line_no") != F.col("at_line"))
     return table.select("doc_id", "line_no", "key").join(fate, "key").select(
         "doc_id", "line_no", "key", (F.coalesce("similar", F.lit(False)) | moved).alias("removed")
