@@ -325,5 +325,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
     changed = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        changed = changed.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return changed.select(*docs.columns)

@@ -266,4 +266,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score under 0.5, columns as they came."""
     lexicon = learn(training_rows(docs, labels, lambda doc_id: ~held_out(doc_id)))
     names = docs.columns
-    return measured(docs, lexicon, names).filter("score < 0.5").select(*names)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of the input may clash with the measures'
+    kept = measured(plain, lexicon, plain.columns, f"c{names.index('text')}").filter("score < 0.5")
+    return kept.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
