@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
@@ -14,3 +17,9 @@ SCHEMAS = {
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """A column's Python values, made a few rows at a time so that long texts are not held twice."""
+    for begin in range(0, len(column), rows):
+        yield from column.slice(begin, rows).to_pylist()

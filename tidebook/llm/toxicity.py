@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.llm.tables import values
+
 # Labelled rows that a lexicon is fitted on, at most; which ones depends on the ids' hashes.
 TRAINING_ROWS = 20_000
 CANDIDATES = 50_000  # word beginnings weighed at most, the most frequent in toxic texts
@@ -119,7 +121,7 @@ def _counted(rows: DataFrame, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic in zip(values(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 sums[toxic].update(make(fold(text)))
             entries = list(sums[0] | sums[1])
             yield pa.RecordBatch.from_arrays(
@@ -234,7 +236,7 @@ def measured(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_column: st
         automaton = lexicon.automaton()
         for batch in batches:
             weights, words = [], []
-            for text in batch.column(len(fields)).to_pylist():
+            for text in values(batch.column(len(fields))):
                 folded = fold(text)
                 weights.append(sum(w for _, _, w in hits(folded, automaton)))
                 words.append(folded.count(" ") - 1 if len(folded) > 2 else 0)

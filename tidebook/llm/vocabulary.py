@@ -16,8 +16,8 @@ from operator import sub
 import numpy as np
 
 # Entries a worker keeps between batches; beyond it only the newest batch's pieces stay.
-MEMO_ENTRIES = 800_000
-FRAGMENT_ENTRIES = 600_000
+MEMO_ENTRIES = 500_000
+FRAGMENT_ENTRIES = 500_000
 # Longer pieces are not kept, and their prefix counts come from the table over last tokens.
 LONG_PIECE = 48
 _ASCII_SPACE = re.compile(rb"[ \t-\r]")
