@@ -93,3 +93,10 @@ def test_dated_tables_open_only_their_days(spark, tmp_path):
     part = tables.read_dated(spark, root, schema, "submitted_at", "2026-08-02T06:00:00", "2026-08-03")
     assert sorted(int(r.order_id) for r in part.collect()) == list(range(30, 48))
     assert "utc_date" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_flush_keeps_markets_outside_the_dimension(spark, tmp_path):
+    root = str(tmp_path / "records")
+    one = rows(spark, ("KRW-BTC", KST_MIDNIGHT, "a"), ("KRW-NEW", KST_MIDNIGHT, "b"))
+    assert files.flush_order_records(one, root, set()) == {"KRW-BTC", "KRW-NEW"}
+    assert spark.read.parquet(root).count() == 2

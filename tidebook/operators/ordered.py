@@ -29,14 +29,14 @@ def time_slices(df: DataFrame, keys: list[str], ts: str, seconds: int = 600, lim
 
     Rows are counted per series and slice first, merged map-side. A slice with more than
     `limit` rows is cut into 16 times as many parts as it has limits. The list of crowded
-    slices has at most rows / limit entries, so it is broadcast.
+    slices has at most rows / limit entries; Spark broadcasts it if its size allows.
     """
     base = time_chunk(F.col(ts), seconds)
     counted = df.groupBy(*keys, base.alias("__base")).agg(F.count(F.lit(1)).alias("__rows"))
     crowded = counted.filter(F.col("__rows") > limit).select(
         *keys, "__base", (F.ceil(F.col("__rows") / limit) * 16).alias("__parts")
     )
-    marked = df.withColumn("__base", base).join(F.broadcast(crowded), [*keys, "__base"], "left")
+    marked = df.withColumn("__base", base).join(crowded, [*keys, "__base"], "left")
     width = F.lit(seconds * 1_000_000)
     inside = F.unix_micros(ts) - F.col("__base") * width
     part = F.floor(inside * F.col("__parts") / width)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.clock import FILE_STAMP, kst_date
-from tidebook.schemas import CANDLE_BATCH_FILE, MARKET_CODES, ORDER_RECORD, ORDER_RECORD_FILE, STREAM_FILE, is_market
+from tidebook.schemas import CANDLE_BATCH_FILE, MARKET_CODES, ORDER_RECORD, ORDER_RECORD_FILE, STREAM_FILE
 
 # Name endings of the document files, <start>_<end>_<kind>.json per market folder.
 ORDERS_SUFFIX = "_orders.json"
@@ -45,13 +45,13 @@ def write_order_records(records: DataFrame, root: str, reset: bool) -> None:
 def flush_order_records(records: DataFrame, root: str, flushed: set[str]) -> set[str]:
     """One flush of a run: the first one of each market replaces its days, later ones append.
 
-    `flushed` names the markets this run has written before; the new set is returned. The
-    set is bounded by the market dimension.
+    `flushed` names the markets this run has written before; the new set is returned. It has one
+    name per market of the records, of the dimension or not.
     """
-    seen = {row.market for row in records.select("market").distinct().filter(is_market(F.col("market"))).collect()}
+    seen = {row.market for row in records.select("market").distinct().filter("market is not null").collect()}
     known = F.col("market").isin(sorted(flushed)) if flushed else F.lit(False)
     if seen - flushed:
-        write_order_records(records.filter(is_market(F.col("market")) & ~known), root, reset=True)
+        write_order_records(records.filter(F.col("market").isNotNull() & ~known), root, reset=True)
     if seen & flushed:
         write_order_records(records.filter(known), root, reset=False)
     return flushed | seen
