@@ -231,3 +231,23 @@ def test_warc(spark):
     assert any(r.state == "missing" for r in fewer)
     none = pages.filter("false")
     assert warc.audit(warc.records(none), warc.records(none)).count() == 0
+
+
+def test_minhash_components_that_meet_in_buckets_equal_brute_force(spark):
+    """Texts around the threshold: buckets hold several components, and no link between them is lost."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(4):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(30):
+            begin = rng.integers(0, 30)
+            texts.append(" ".join(words[begin : begin + rng.integers(70, 90)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    component = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and component[i] != component[j]:
+                low, high = sorted((component[i], component[j]))
+                component = [low if c == high else c for c in component]
+    assert {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()} == dict(enumerate(component))

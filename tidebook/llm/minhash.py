@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +35,7 @@ PERMUTATIONS, ROWS, BITS = 128, 4, 4
 NUMERATOR, DENOMINATOR = 75, 100
 SLACK = 0.2  # estimates down to the threshold less this are confirmed on full sets
 BLOCK_SETS = 1024  # sets that meet in one task at once, at most about
+MET_AT_ONCE = 1 << 16  # pairs compared in one step
 FILTER_BITS = 1 << 23
 
 
@@ -212,46 +212,96 @@ def _estimated(pairs: DataFrame, classes: DataFrame, spark) -> DataFrame:
 def _across(members: DataFrame, classes: DataFrame, component_of: DataFrame, best: bool) -> DataFrame:
     """Pairs of classes that share a bucket, lie in different components and are estimated similar.
 
-    best: of each two components that meet in a block only the pair with the highest estimate.
+    best: of each two components that meet in a block only pairs with the highest estimate.
     """
     placed = members.join(component_of, "key").withColumn("main", F.col("key") == F.col("leader"))
     mixed = placed.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
         F.max(F.when(F.col("main"), F.col("component"))).alias("main_component"),
     ).filter("low < high").select("band", "main_component", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("blocks"))
-    facts = classes.select("key", "n_shingles", "packed")
+    facts = classes.select("key", "n_shingles", "packed", "bands")
     rows = placed.join(mixed, "band").join(facts, "key").select(
-        "band", "key", "component", "n_shingles", "packed", "blocks", (F.col("component") != F.col("main_component")).alias("minor"),
-        F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"),
+        "band", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "key", "component", "n_shingles",
+        "packed", "bands", (F.col("component") != F.col("main_component")).alias("minor"), "blocks",
     )
     rows = cut(rows, members.sparkSession)
-    minors = rows.filter("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[bytes, bytes]] = []
-        tops: dict[tuple[int, int], tuple[float, bytes, bytes]] = {}
-        if len(left) and len(right):
-            a = np.frombuffer(b"".join(left["packed"]), np.uint64).reshape(len(left), -1)
-            n, comp, keys = left["n_shingles"].to_numpy(), left["component"].to_numpy(), left["key"].to_numpy()
-            for key, c, size, bits in zip(right["key"], right["component"], right["n_shingles"], right["packed"], strict=True):
-                fit = (comp != c) & (DENOMINATOR * np.minimum(n, size) >= NUMERATOR * np.maximum(n, size))
-                at = np.flatnonzero(fit)
-                value = estimate(a[at], np.frombuffer(bits, np.uint64))
-                near = value >= NUMERATOR / DENOMINATOR - SLACK
-                hit = at[near]
-                if best:
-                    for i, v in zip(hit, value[near], strict=True):
-                        pair = (min(c, comp[i]), max(c, comp[i]))
-                        tops[pair] = max(tops.get(pair, (0.0, b"", b"")), (v, min(key, keys[i]), max(key, keys[i])))
+    asking = rows.filter("minor").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(1)})
+    met = rows.union(asking.select(*rows.columns)).drop("blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # In each block the held rows come first, then the asking ones, which need not be held.
+        place, held = None, []
+        for batch in batches:
+            part = Side(batch)
+            if not len(part.band):
+                continue
+            ends = np.flatnonzero((np.diff(part.band) != 0) | (np.diff(part.block) != 0) | (np.diff(part.asks) != 0)) + 1
+            found: list[tuple[bytes, bytes]] = []
+            for begin, end in zip(np.append(0, ends), np.append(ends, len(part.band)), strict=True):
+                here = (part.band[begin], part.block[begin])
+                if here != place:
+                    place, held = here, []
+                rows_here = part.rows(slice(begin, end))
+                if not part.asks[begin]:
+                    held.append(rows_here)
                 else:
-                    found += [(min(key, k), max(key, k)) for k in keys[hit]]
-        found += [(a, b) for _, a, b in tops.values()]
-        return pd.DataFrame(found, columns=["key", "with"]).drop_duplicates()
+                    found += [pair for left in held for pair in _met(left, rows_here, best)]
+            yield pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in found], pa.binary()) for i in (0, 1)], names=["key", "with"])
 
-    return (
-        rows.groupBy("band", "block").cogroup(minors.groupBy("band", "block"))
-        .applyInPandas(meet, "key binary, with binary").distinct()
-    )
+    dealt = met.repartition("band", "block").sortWithinPartitions("band", "block", "asks")
+    pairs = dealt.mapInArrow(run, "key binary, with binary")
+    return pairs.select(F.least("key", "with").alias("key"), F.greatest("key", "with").alias("with")).distinct()
+
+
+class Side:
+    """Columns of classes that lie in buckets."""
+
+    def __init__(self, batch: pa.RecordBatch | None):
+        if batch is None:
+            return
+        size = batch.num_rows
+        self.band, self.block, self.asks, self.component, self.size = (
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "block", "asks", "component", "n_shingles")
+        )
+        self.minor = batch.column("minor").to_numpy(zero_copy_only=False).astype(bool)
+        self.key = np.array([*batch.column("key").to_pylist(), None], object)[:-1]
+        self.order = np.frombuffer(b"".join(self.key), np.uint64)[::2]
+        self.packed = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.uint64).reshape(size, -1)
+        self.bands = batch.column("bands").flatten().to_numpy().reshape(size, -1)
+
+    def rows(self, pick: slice) -> Side:
+        out = Side(None)
+        out.__dict__ = {name: values[pick] for name, values in self.__dict__.items()}
+        return out
+
+
+def _met(left: Side, right: Side, best: bool) -> Iterator[tuple[bytes, bytes]]:
+    """Similar pairs of different components, of each two components only the best if so asked.
+
+    A pair that shares several buckets is told in the first of them only.
+    """
+    step = max(1, MET_AT_ONCE // len(left.band))
+    for begin in range(0, len(right.band), step):
+        some = right.rows(slice(begin, begin + step))
+        fit = (some.component[:, None] != left.component) & (
+            DENOMINATOR * np.minimum(some.size[:, None], left.size) >= NUMERATOR * np.maximum(some.size[:, None], left.size)
+        )
+        # Two minor classes would meet twice, once from each side.
+        fit &= ~left.minor | (left.order <= some.order[:, None])
+        r, l = np.nonzero(fit)
+        value = estimate(some.packed[r], left.packed[l])
+        near = value >= NUMERATOR / DENOMINATOR - SLACK
+        r, l, value = r[near], l[near], value[near]
+        same = some.bands[r] == left.bands[l]
+        here = left.bands[l, same.argmax(axis=1)] == left.band[0] if len(r) else np.zeros(0, bool)
+        r, l, value = r[here], l[here], value[here]
+        if best and len(r) > 1:
+            low = np.minimum(some.component[r], left.component[l])
+            high = np.maximum(some.component[r], left.component[l])
+            order = np.lexsort((-value, high, low))
+            first = np.append(True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0))
+            r, l = r[order[first]], l[order[first]]
+        yield from zip(some.key[r], left.key[l], strict=True)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
