@@ -86,6 +86,27 @@ def test_coverage(spark):
     assert out["KRW-BTC"] == (True, True, True) and out["KRW-XRP"] == (True, False, False) and out["KRW-ETH"] == (False, False, False)
 
 
+def test_coverage_of_kst_names(spark):
+    wanted = spark.createDataFrame([(date(2026, 8, 2),)], "trade_date date")
+    names = [f"x/KRW-BTC/20260802T000000_20260803T000000_{kind}.json" for kind in ("batch", "stream")]
+    paths = spark.createDataFrame([(n,) for n in names], "path string")
+    covered = files.dataset_coverage(wanted, files.stored_days(paths)).filter("all_exist").collect()
+    assert [r.market_code for r in covered] == ["KRW-BTC"]
+
+
+def test_written_folders_are_listed(spark, tmp_path):
+    records, documents = str(tmp_path / "records"), str(tmp_path / "documents")
+    files.write_order_records(rows(spark, ("KRW-BTC", KST_MIDNIGHT, "a"), ("KRW-XRP", KST_MIDNIGHT, "b")), records, reset=True)
+    listed = files.list_files(spark, records, "*.parquet")
+    day = spark.read.parquet(records).first()["trade_date"]
+    assert [r.date for r in files.replay_dates(listed).collect()] == [str(day)]
+    assert {tuple(r) for r in files.stored_days(listed).collect()} == {("KRW-BTC", day, "orders"), ("KRW-XRP", day, "orders")}
+    for kind in ("batch", "stream"):
+        files.write_documents(spark.createDataFrame([("KRW-BTC",)], "market string"), documents, kind, "2026-08-02")
+    stored = files.stored_days(files.list_files(spark, documents, "*.json"))
+    assert {tuple(r) for r in stored.collect()} == {("KRW-BTC", date(2026, 8, 2), kind) for kind in ("batch", "stream")}
+
+
 def test_dated_tables_open_only_their_days(spark, tmp_path):
     root, schema = str(tmp_path / "ledger"), "order_id string, submitted_at timestamp"
     rows_ = spark.sql("select cast(id as string) as order_id, timestamp '2026-08-01' + make_interval(0, 0, 0, 0, cast(id as int)) as submitted_at from range(72)")

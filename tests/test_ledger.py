@@ -109,6 +109,25 @@ def test_ingest_stores_every_order_once(spark):
     assert stored.count() == stored.select("order_id").distinct().count() == 18
 
 
+def test_live_counts_keep_late_rows(spark):
+    root = work_folder(spark)
+    for batch in ([0, 30], [3600], [7200], [10], [20, 7201]):
+        times = [(START + timedelta(seconds=s),) for s in batch]
+        spark.createDataFrame(times, "ts timestamp").write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema("ts timestamp").parquet(f"{root}/in")
+        jobs.upsert_stream(jobs.live_counts(source, "ts", "n"), f"{root}/counts", f"{root}/c", drain=True).awaitTermination()
+    counts = {r.minute: r.n for r in jobs.newest_version(spark, f"{root}/counts", ["minute"]).collect()}
+    assert [counts[k] for k in sorted(counts)] == [4, 1, 2]
+
+
+def test_orders_of_unknown_markets_are_not_inserted(spark):
+    schema = "order_id string, client_request_id string, market_code string, side string, mode string, price double, quantity double, submitted_at timestamp, offset bigint"
+    batch = [(m, m, m, "BUY", "REPLAY", 1.0, 1.0, START, i) for i, m in enumerate(("KRW-BTC", "KRW-NONE"))]
+    markets = spark.createDataFrame([("KRW-BTC",)], "market_code string")
+    frame = spark.createDataFrame(batch, schema)
+    assert [r.order_id for r in ledger.insert_orders(frame, frame.filter("false"), markets=markets).collect()] == ["KRW-BTC"]
+
+
 def test_live_counts_and_sessions_streams(spark):
     root = work_folder(spark)
     times = [START + timedelta(seconds=s) for s in (0, 10, 61, 62, 63, 400, 4000, 8000)]

@@ -62,3 +62,9 @@ def test_crowded_slices_keep_results(rows):
     assert series.hysteresis(samples, ["k"], ["ts", "n"], 30, -30, slice_seconds=20, slice_rows=25).orderBy("n").collect() == plain
     wide = series.asof_delta(samples, ["k"], "n", seconds=3).orderBy("n").collect()
     assert series.asof_delta(samples, ["k"], "n", seconds=3, slice_seconds=20, slice_rows=25).orderBy("n").collect() == wide
+
+
+def test_null_keys_carry_their_state(spark):
+    rows = spark.createDataFrame([(None, n, 1 if n == 0 else None) for n in range(4)], "k string, n bigint, v bigint")
+    out = running(rows, ["k"], ["n"], number_chunk(F.col("n"), 1), {"last": ("last", F.col("v"))})
+    assert [r.last for r in out.orderBy("n").collect()] == [1, 1, 1, 1]

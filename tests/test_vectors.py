@@ -39,6 +39,23 @@ def test_decode_orders(spark):
     assert good[2].order_id == 'say "price": 5'
 
 
+def test_only_top_level_fields_must_be_texts(spark):
+    bodies = [
+        '{"type":"NEW","orderId":"1","meta":{"price":1}}', '{"type":"NEW","orderId":"2","extra":[{"market":3}]}',
+        '{"type":"NEW","orderId":"3","price":null}', '{"type":"NEW","orderId":"4","price":{"a":1}}',
+        '{"type":"NEW","orderId":"5","meta":{"price":"1"},"market":true}',
+    ]
+    out = decode.decode_orders(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert [r.orderId for r in out.filter("not rejected").collect()] == ["1", "2", "3"]
+
+
+def test_a_pod_counts_once_in_a_step(spark):
+    samples = [("w", "p", at("2026-08-01T00:00:00") + timedelta(seconds=10 * i), float(i)) for i in range(20)]
+    samples.append(("w", "q", at("2026-08-01T00:00:00"), 5.0))
+    frame = spark.createDataFrame(samples, "workload string, pod string, ts timestamp, value double")
+    assert [(r.total_avg, r.total_max) for r in metrics.resource_hourly(frame).collect()] == [(24.0, 24.0)]
+
+
 def test_decode_executions_and_assignments(spark):
     raw = spark.createDataFrame([('{"market":"A","buyOrderId":"1","sellOrderId":"2","price":"3","quantity":"0.1"}',), ("[]",)], "body string")
     rows = decode.execution_rows(decode.decode_executions(raw), F.lit(at("2026-01-01"))).collect()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 BUCKET_LABEL = "yyyy-MM-dd'T'HH:mm:'00Z'"
 FILE_STAMP = "yyyyMMdd'T'HHmmss'Z'"
+KST_STAMP = "yyyyMMdd'T'HHmmss"
 KST_HOURS = 9
 
 

@@ -101,18 +101,21 @@ def order_ledger(events: DataFrame, executions: DataFrame, order: str = "offset"
 
 # ---- order intake ------------------------------------------------------------------------
 
-def insert_orders(batch: DataFrame, stored: DataFrame, order: str = "offset") -> DataFrame:
+def insert_orders(batch: DataFrame, stored: DataFrame, order: str = "offset", markets: DataFrame | None = None) -> DataFrame:
     """Rows of `batch` that a unique order id and a unique client request id let in.
 
     The accept path writes order id and client request id together, so copies of an order
     carry the same request id; keeping the first row per order and then per request is the
-    outcome of inserting row by row. Rows breaking the table's checks are skipped.
+    outcome of inserting row by row. Rows breaking the table's checks are skipped, and so are
+    those of markets that the dimension `markets` (market_code), if given, does not hold.
     """
     valid = batch.filter(
         F.col("order_id").isNotNull() & F.col("market_code").isNotNull()
         & F.col("side").isin(*SIDES) & F.col("mode").isin(*MODES)
         & F.col("price").isNotNull() & F.col("quantity").isNotNull() & F.col("submitted_at").isNotNull()
     )
+    if markets is not None:
+        valid = valid.join(markets.select("market_code").distinct(), "market_code", "left_semi").select(*batch.columns)
     per_order = first_by(valid, ["order_id"], [order])
     # Requests without an id never collide.
     keyed = first_by(per_order.filter(F.col("client_request_id").isNotNull()), ["client_request_id"], [order])

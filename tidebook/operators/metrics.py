@@ -238,9 +238,13 @@ def counter_rate(
 
 
 def resource_hourly(samples: DataFrame, sample_seconds: int = 300) -> DataFrame:
-    """Replica sums per sampling step, then their average and peak per workload and KST hour."""
+    """Replica sums per sampling step, then their average and peak per workload and KST hour.
+
+    A pod counts once in a step, with its newest sample (the larger one of two at the same instant).
+    """
     step = F.timestamp_seconds(bucket(F.col("ts"), sample_seconds))
-    summed = samples.groupBy("workload", step.alias("step")).agg(F.sum("value").alias("total"))
+    newest = samples.groupBy("workload", "pod", step.alias("step")).agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
+    summed = newest.groupBy("workload", "step").agg(F.sum("value").alias("total"))
     return summed.groupBy("workload", kst_hour(F.col("step")).alias("hour_kst")).agg(
         F.avg("total").alias("total_avg"), F.max("total").alias("total_max")
     )

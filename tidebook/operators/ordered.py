@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
+KEY = "__key"
 SLICE = "__slice"
 
 # A slice with more rows than this is cut further.
@@ -82,35 +83,36 @@ def running(
 
     `outputs` maps a new column to (kind, value); kinds are sum, max, min and last, where
     last means the newest non-null value. `chunk` must never fall while `order` rises.
-    `keys` must not be null. With `backward` the series is walked from its end, so "last"
+    Null keys are one series of their own. With `backward` the series is walked from its end, so "last"
     then gives the next non-null value.
     """
-    staged = df.withColumns({CHUNK: chunk, **{f"__in_{n}": v for n, (_, v) in outputs.items()}})
+    # Structs of nulls are equal, unlike nulls, so one plain equi join serves all keys.
+    staged = df.withColumns({KEY: F.struct(*keys) if keys else F.struct(F.lit(0)), CHUNK: chunk, **{f"__in_{n}": v for n, (_, v) in outputs.items()}})
     where = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
     def direction(name):
         return F.col(name).desc() if backward else F.col(name).asc()
 
     inside = (
-        Window.partitionBy(*keys, CHUNK)
+        Window.partitionBy(KEY, CHUNK)
         .orderBy(*[direction(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     )
     across = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(KEY)
         .orderBy(direction(CHUNK))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    summaries = staged.groupBy(*keys, CHUNK).agg(
+    summaries = staged.groupBy(KEY, CHUNK).agg(
         *[_summary(k, F.col(f"__in_{n}"), where, backward).alias(f"__sum_{n}") for n, (k, _) in outputs.items()]
     )
     carried = summaries.select(
-        *keys, CHUNK, *[_over(k, F.col(f"__sum_{n}"), across).alias(f"__before_{n}") for n, (k, _) in outputs.items()]
+        KEY, CHUNK, *[_over(k, F.col(f"__sum_{n}"), across).alias(f"__before_{n}") for n, (k, _) in outputs.items()]
     )
     # A series within one chunk has nothing to carry; without those rows the side is small.
     carried = carried.filter(" or ".join(f"__before_{n} is not null" for n in outputs))
     local = staged.withColumns({f"__here_{n}": _over(k, F.col(f"__in_{n}"), inside) for n, (k, _) in outputs.items()})
-    joined = local.join(carried, [*keys, CHUNK], "left")
+    joined = local.join(carried, [KEY, CHUNK], "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_combine(k, F.col(f"__here_{n}"), F.col(f"__before_{n}")).alias(n) for n, (k, _) in outputs.items()],

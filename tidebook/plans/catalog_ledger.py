@@ -297,12 +297,13 @@ _STORED_SQL = """select distinct market_code, strftime(make_timestamp(ts * 1000)
 def _(v):
     from tidebook.functions.clock import kst_date
 
-    day_start = F.timestamp_millis("ts") + F.expr("interval 9 hours")
-    day_start = F.date_trunc("day", day_start) - F.expr("interval 9 hours")
+    # Half of the paths are document names, the others folders the library writes.
+    day = kst_date(F.timestamp_millis("ts"))
     kind = F.when(F.col("side") == "BUY", "batch").otherwise("stream")
-    paths = v.v_record.select(
-        F.concat_ws("/", F.lit("data"), "market_code", F.concat(_stamp(day_start), F.lit("_x_"), kind, F.lit(".json"))).alias("path")
-    )
+    begin, end = (F.date_format(d, "yyyyMMdd'T'HHmmss") for d in (day, F.date_add(day, 1)))
+    named = F.concat_ws("/", F.lit("data"), "market_code", F.concat(F.concat_ws("_", begin, end, kind), F.lit(".json")))
+    folder = F.format_string("data/kind=%s/folder=%s/trade_date=%s/part-00000.json", kind, F.col("market_code"), day.cast("string"))
+    paths = v.v_record.select(F.when(F.col("ts") % 2 == 0, named).otherwise(folder).alias("path"))
     dates = v.v_record.select(kst_date(F.timestamp_millis("ts")).alias("trade_date")).distinct()
     return files.dataset_coverage(dates, files.stored_days(paths))
 

@@ -165,7 +165,9 @@ def _(v):
 
 
 @query("resource_hourly", """
-    with steps as (select workload, cast(floor(epoch(ts) / 300) * 300 as bigint) as step, sum(value) as total from v_resource group by 1, 2)
+    with stepped as (select workload, pod, ts, value, cast(floor(epoch(ts) / 300) * 300 as bigint) as step from v_resource),
+    newest as (select * from stepped qualify row_number() over (partition by workload, pod, step order by ts desc, value desc) = 1),
+    steps as (select workload, step, sum(value) as total from newest group by 1, 2)
     select workload, strftime(make_timestamp(step * 1000000) + interval 9 hour, '%Y-%m-%d %H:00 KST') as hour_kst,
            round(avg(total), 6) as total_avg, round(max(total), 6) as total_max from steps group by 1, 2""")
 def _(v):

@@ -225,22 +225,23 @@ def _(v):
 # ---- integrity ---------------------------------------------------------------------------
 
 def _over_sql(where="true"):
-    return f"""select count(*) as duplicate_executions from (
-        select f.order_id from (select buy_order_id as order_id, quantity from v_exec where {where}
-                                union all select sell_order_id, quantity from v_exec where {where}) f
-        join v_order o on o.order_id = f.order_id group by f.order_id having sum(f.quantity) > max(o.quantity))"""
+    return f"""with traded as (select unnest([buy_order_id, sell_order_id]) as order_id, quantity from v_exec where {where}),
+        done as (select order_id, sum(quantity) as total from traded group by order_id)
+        select count(*) as duplicate_executions from done join v_order o using (order_id) where done.total > o.quantity"""
 
 
 def _reversal_sql(where="true"):
-    return f"""select count(*) as sequence_reversals from (select * from v_exec where {where}) e
-        left join v_order ob on ob.order_id = e.buy_order_id left join v_order os on os.order_id = e.sell_order_id
-        where e.executed_at < ob.submitted_at or e.executed_at < os.submitted_at"""
+    def later(side):
+        return f"exists (select 1 from v_order o where o.order_id = x.{side}_order_id and o.submitted_at > x.executed_at)"
+
+    return f"""select count(*) as sequence_reversals from (select * from v_exec where {where}) x
+        where {later('buy')} or {later('sell')}"""
 
 
 def _filled_sql(where="true"):
-    done = "sum(case when side = '{}' then quantity - remaining_quantity else 0 end)"
-    return f"""select {done.format('BUY')}::double as buy_filled, {done.format('SELL')}::double as sell_filled,
-        abs({done.format('BUY')} - {done.format('SELL')}) <= 1e-6 as balanced from v_order where {where}"""
+    return f"""with sides as (select side, sum(quantity - remaining_quantity) as done from v_order where {where} group by side),
+        both_sides as (select coalesce(sum(done) filter (side = 'BUY'), 0) as b, coalesce(sum(done) filter (side = 'SELL'), 0) as s from sides)
+        select b::double as buy_filled, s::double as sell_filled, b - s between -1e-6 and 1e-6 as balanced from both_sides"""
 
 
 _LOSS = f"""select count(*) as accepted, (select count(*) from v_record) as planned,

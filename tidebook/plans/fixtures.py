@@ -83,7 +83,7 @@ VIEWS = {
                     else '{{"type":"NEW","orderId":"ord_' || {_KEY} || '","market":"' || o_orderpriority || '","side":"'
                          || case when o_custkey % 2 = 0 then 'BUY' else 'SELL' end || '","price":"'
                          || cast(o_totalprice as string) || '","quantity":"' || cast(1 + o_orderkey % 50 as string)
-                         || '","acceptedAt":"' || {_DAY} || '","clientRequestId":"","mode":"REPLAY","extra":[1,2]}}' end as body
+                         || '","acceptedAt":"' || {_DAY} || '","clientRequestId":"","mode":"REPLAY","extra":[{{"market":3}}],"meta":{{"price":1,"type":null}}}}' end as body
         from $orders""",
     "v_exec_raw": """
         select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string)

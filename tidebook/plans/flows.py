@@ -15,12 +15,12 @@ def ledger_from_messages(orders: DataFrame, executions: DataFrame, position: str
     """Order ledger straight from the JSON messages of both topics.
 
     `position` numbers the messages of a topic. Unreadable messages are skipped; with
-    `known_markets` so are orders of markets outside the dimension.
+    `known_markets` so are orders and executions of markets outside the dimension.
     """
     events = decode.order_rows(decode.decode_orders(orders), position)
-    if known_markets:
-        events = market_semi(events)
     done = decode.execution_rows(decode.decode_executions(executions), F.lit(None).cast("timestamp"), position)
+    if known_markets:
+        events, done = market_semi(events), market_semi(done)
     return ledger.order_ledger(events, done, position, [position, "price", "quantity"])
 
 

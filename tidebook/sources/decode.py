@@ -25,16 +25,18 @@ def _decode(raw: DataFrame, schema: str, types: tuple[str, ...] | None, body: st
     """
     text = F.col(body)
     names = _fields(schema)
-    known = "|".join(names)
     parsed = F.from_json(text, schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
     rest = [c for c in raw.columns if c != body]
     # Generated columns are parsed once per message; a filter on plain struct fields would be
     # pushed below the projection and parse again for every field it tests.
     out = raw.select(*rest, body, F.inline_outer(F.array(parsed)))
-    # A known field that holds a number, a flag or a nested value is not a text. The short
-    # pattern spares messages of texts only, which are nearly all, the long one.
+    # A known field that holds a number, a flag or a nested value is not a text; what lies in
+    # other fields does not matter. The pattern spares messages of texts only, which are nearly
+    # all, the second parse.
     some_bare = text.rlike(r'"\s*:\s*[^"\s]')
-    not_text = some_bare & text.rlike(rf'"({known})"\s*:\s*[^"\sn]')
+    kinds = F.from_json(text, "map<string, variant>")
+    odd = F.map_filter(kinds, lambda name, value: name.isin(*names) & ~F.coalesce(F.schema_of_variant(value), F.lit("VOID")).isin("STRING", "VOID"))
+    not_text = some_bare & F.coalesce(F.size(odd) > 0, F.lit(False))
     trimmed = F.trim(text)
     whole = F.startswith(trimmed, F.lit("{")) & F.endswith(trimmed, F.lit("}"))
     bad = F.col("_broken").isNotNull() | ~whole | not_text

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.functions.clock import FILE_STAMP, kst_date
+from tidebook.functions.clock import FILE_STAMP, KST_STAMP, kst_date
 from tidebook.schemas import CANDLE_BATCH_FILE, MARKET_CODES, ORDER_RECORD, ORDER_RECORD_FILE, STREAM_FILE
 
 # Name endings of the document files, <start>_<end>_<kind>.json per market folder.
@@ -93,14 +93,22 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return _or_empty(read, spark, "path string")
 
 
-def _start_stamp(path: Column) -> Column:
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.try_to_timestamp(F.regexp_extract(name, r"^([^_]*)_", 1), F.lit(FILE_STAMP))
+def _kst_day(path: Column) -> Column:
+    """KST date of a path: from its trade_date folder, else from the start stamp of its name.
+
+    Stamps with Z are UTC (recorded orders), those without are KST (candles and streams).
+    """
+    stamp = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^([^_]*)_", 1)
+    folder = F.nullif(F.regexp_extract(path, r"/trade_date=(\d{4}-\d{2}-\d{2})/", 1), F.lit(""))
+    utc = kst_date(F.try_to_timestamp(stamp, F.lit(FILE_STAMP)))
+    return F.coalesce(folder.cast("date"), utc, F.try_to_timestamp(stamp, F.lit(KST_STAMP)).cast("date"))
 
 
 def replay_dates(paths: DataFrame) -> DataFrame:
-    """KST dates that have recorded orders, newest first, from the file names."""
-    named = paths.filter(F.col("path").endswith(ORDERS_SUFFIX)).select(kst_date(_start_stamp(F.col("path"))).alias("d"))
+    """KST dates that have recorded orders, newest first, from the paths of documents or of written folders."""
+    path = F.col("path")
+    orders = path.endswith(ORDERS_SUFFIX) | (path.contains("/trade_date=") & path.endswith(".parquet"))
+    named = paths.filter(orders).select(_kst_day(path).alias("d"))
     dated = named.filter(F.col("d").isNotNull()).distinct()
     return dated.select(F.date_format("d", "yyyy-MM-dd").alias("date")).orderBy(F.desc("date"))
 
@@ -212,13 +220,17 @@ def read_stream_rows(spark: SparkSession, root: str, market: str | None = None,
 # ---- coverage ----------------------------------------------------------------------------
 
 def stored_days(paths: DataFrame) -> DataFrame:
-    """(market, date, kind) of document paths <market>/<start>_<end>_<kind>.json."""
-    parts = F.split(F.col("path"), "/")
-    kind = F.regexp_extract(F.col("path"), r"_([a-z]+)\.json$", 1)
-    return paths.select(
-        F.element_at(parts, -2).alias("market_code"), kst_date(_start_stamp(F.col("path"))).alias("trade_date"),
-        kind.alias("kind"),
-    )
+    """(market, date, kind) of document paths <market>/<start>_<end>_<kind>.json and of written folders.
+
+    Written folders are kind=<kind>/folder=<market>/trade_date=<date> for documents, and
+    market=<market>/trade_date=<date> for stream rows (JSON) and recorded orders (parquet).
+    """
+    path = F.col("path")
+    taken = lambda pattern: F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+    market = F.coalesce(taken(r"(?:^|/)(?:folder|market)=([^/]*)/"), F.element_at(F.split(path, "/"), -2))
+    rows = F.when(path.rlike("(^|/)market="), F.when(path.rlike(r"\.json(\.[a-z0-9]+)?$"), "stream").otherwise("orders"))
+    kind = F.coalesce(taken(r"(?:^|/)kind=([^/]*)/"), rows, taken(r"_([a-z]+)\.json$"))
+    return paths.select(market.alias("market_code"), _kst_day(path).alias("trade_date"), kind.alias("kind")).distinct()
 
 
 def dataset_coverage(dates: DataFrame, stored: DataFrame) -> DataFrame:
