@@ -202,12 +202,14 @@ def cancel_outcomes(
     """Answer to every cancel request (order_id, cancel_id, canceled_at).
 
     Fills and cancels of an order are walked in time order; a fill at the same instant
-    counts before the cancel.
+    counts before the cancel. Only fills of orders with a cancel are walked, summed per instant.
     """
     asked = cancels.select("order_id", F.col("canceled_at").alias("at"), F.lit(1).alias("asks"), "cancel_id")
     done = fills(executions, "executed_at").select(
-        "order_id", F.col("executed_at").alias("at"), F.lit(0).alias("asks"), F.col("quantity").alias("done")
+        "order_id", F.col("executed_at").alias("at"), F.col("quantity").alias("done")
     )
+    done = done.join(cancels.select("order_id").distinct(), "order_id", "left_semi")
+    done = done.groupBy("order_id", "at").agg(F.sum("done").alias("done")).withColumn("asks", F.lit(0))
     walk = asked.unionByName(done, allowMissingColumns=True)
     walked = running(
         walk, ["order_id"], ["at", "asks", "cancel_id"], time_chunk(F.col("at"), slice_seconds),
