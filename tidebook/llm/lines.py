@@ -7,12 +7,12 @@ class, placed where it occurs first; every later occurrence goes.
 Classes meet under the words of their prefix: words are ordered from rare to frequent, and two sets that are
 similar enough share one of the first n - ceil(3n/4) + 1. Word frequencies are counted over all lines in a
 table of fixed size by hash; words that share a slot only share a rank, which leaves the order total. Pairs
-pass a length filter, a positional filter and a bound from 64 parity bits, all of which only drop pairs that
-cannot reach the threshold, and are verified on the full sets.
+pass a length filter, a positional filter and a bound from 64 parity bits (128 between long lines), all of
+which only drop pairs that cannot reach the threshold, and are verified on the full sets.
 
 Under each word the rows lie in order of length, and each row first looks at a window of neighbours and
-takes its best earlier one. A class not matched so, but with more rows to look at, then meets all rows of the
-word, in blocks of bounded size. So the result is exact and groups of copies are never expanded into pairs.
+takes its best earlier one. A class not matched so, but with further partners or with rows of a fitting length
+beyond the window, then meets all rows of the word, in blocks of bounded size. So the result is exact and groups of copies are never expanded into pairs.
 
 Lines are ordered by (doc_id, line number); null ids come last. Lines at the same place of rows with one id
 count as one line if they are equal, else the order is that of their keys. Null and empty texts have no
@@ -36,7 +36,8 @@ from tidebook.session import cut
 
 SLOTS = 1 << 20
 SLICES = 64
-WINDOW = 32
+WINDOW = 64
+WIDE = 64  # lines of more words have 128 parity bits
 BLOCK_ROWS = 1024
 LAST = (1 << 63) - 1
 
@@ -140,34 +141,43 @@ def _needed(n):
 
 
 def line_table(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """doc_id, line_no, key, n (words), bits, prefix of each line with words; repeated rows give repeated lines."""
+    """doc_id, line_no, key, n (words), bits, more, prefix of each line with words; repeated rows give repeated lines."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(ranks, np.uint8)
         for batch in batches:
             for text, number, member, begins, keys in _line_sets([t or b"" for t in batch.column(1).to_pylist()], rank):
                 n = np.diff(begins)
                 mixed = hashing.mix(member)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), begins[:-1]).view(np.int64)
+                parity = np.uint64(1) << (mixed & np.uint64(63))
+                bits = np.bitwise_xor.reduceat(parity, begins[:-1]).view(np.int64)
+                upper = np.where(mixed & np.uint64(64), parity, np.uint64(0))
+                more = np.where(n > WIDE, np.bitwise_xor.reduceat(upper, begins[:-1]).view(np.int64), 0)
                 length = n - _needed(n) + 1
                 offsets = np.append(0, np.cumsum(length))
                 place = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begins[:-1], length)
                 tokens = (mixed[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(n.astype(np.int32)), pa.array(bits), prefix],
-                    names=["doc_id", "line_no", "key", "n", "bits", "prefix"],
+                    [batch.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(n.astype(np.int32)), pa.array(bits), pa.array(more), prefix],
+                    names=["doc_id", "line_no", "key", "n", "bits", "more", "prefix"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, line_no int, key binary, n int, bits bigint, prefix array<int>")
+    return rows.mapInArrow(run, "doc_id bigint, line_no int, key binary, n int, bits bigint, more bigint, prefix array<int>")
 
 
-def _possible(na, nb, pa_, pb, bits_a, bits_b):
-    """Whether pairs may reach the threshold: length, positional and parity bounds on the shared words."""
-    need = -(-3 * (na + nb) // 7)
-    shared = np.minimum(na - pa_, nb - pb)
-    parity = (na + nb - np.bitwise_count(bits_a ^ bits_b).astype(np.int64)) // 2
-    return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (shared >= need) & (parity >= need)
+def _possible(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether pairs may reach the threshold, by length, positional and parity bounds; and parity bits that differ.
+
+    Between long lines `bits` is the sum of two halves of 64 bits, of which `more` is one.
+    """
+    total = a["n"] + b["n"]
+    need = -(-3 * total // 7)
+    half = np.where((a["n"] > WIDE) & (b["n"] > WIDE), a["more"] ^ b["more"], np.uint64(0))
+    apart = (np.bitwise_count(a["bits"] ^ b["bits"] ^ half) + np.bitwise_count(half)).astype(np.int64)
+    shared = np.minimum(a["n"] - a["place"], b["n"] - b["place"])
+    fits = 4 * np.minimum(a["n"], b["n"]) >= 3 * np.maximum(a["n"], b["n"])
+    return fits & (shared >= need) & ((total - apart) // 2 >= need), apart
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
@@ -176,14 +186,16 @@ def _nearest(rows: DataFrame) -> DataFrame:
     Rows arrive sorted by (token, n); a batch keeps the last WINDOW rows for the next one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("token", "n", "place", "bits", "key")
+        names = ("token", "n", "place", "bits", "more", "key")
         tail, old = None, 0
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             col = {c: np.concatenate([tail[c], new[c]]) if old else new[c] for c in names}
-            col["bits"] = col["bits"].view(np.uint64)
+            for c in ("bits", "more"):
+                col[c] = col[c].view(np.uint64)
+            for c in ("n", "place"):
+                col[c] = col[c].astype(np.int64)
             keys, size = col["key"], len(col["key"])
-            n, place = col["n"].astype(np.int64), col["place"].astype(np.int64)
             best = np.full(size, 255, np.int64)
             chosen = np.full(size, -1, np.int64)
             found = np.zeros(size, np.int64)
@@ -194,10 +206,11 @@ def _nearest(rows: DataFrame) -> DataFrame:
                 if not len(low):
                     break
                 high = low + d
-                ok = _possible(n[low], n[high], place[low], place[high], col["bits"][low], col["bits"][high])
-                low, high = low[ok], high[ok]
+                fitting = 4 * col["n"][low] >= 3 * col["n"][high]  # n rises within a word
+                low, high = low[fitting], high[fitting]
+                ok, apart = _possible(*({c: col[c][side] for c in names[1:5]} for side in (low, high)))
+                low, high, apart = low[ok], high[ok], apart[ok]
                 early = keys[low] < keys[high]
-                apart = np.bitwise_count(col["bits"][low] ^ col["bits"][high]).astype(np.int64)
                 for later, earlier, mask in ((high, low, early), (low, high, ~early)):
                     at, to, gap = later[mask], earlier[mask], apart[mask]
                     found[at] += 1
@@ -206,8 +219,11 @@ def _nearest(rows: DataFrame) -> DataFrame:
             # Rows whose word has further rows of a fitting length beyond the window.
             far = np.zeros(size, bool)
             if size > WINDOW:
-                far[WINDOW:] = col["token"][WINDOW:] == col["token"][:-WINDOW]
-                far[:-WINDOW] |= far[WINDOW:]
+                n_low, n_high = col["n"][:-WINDOW], col["n"][WINDOW:]
+                both = (col["token"][WINDOW:] == col["token"][:-WINDOW]) & (4 * n_low >= 3 * n_high)
+                far[WINDOW:] = both
+                # Rows further on are longer still; the lower row's place bounds the length they may have.
+                far[:-WINDOW] |= both & (3 * (n_low + n_high) <= 7 * (n_low - col["place"][:-WINDOW]))
             told = np.flatnonzero((chosen >= 0) | far)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -218,7 +234,8 @@ def _nearest(rows: DataFrame) -> DataFrame:
             )
             keep = max(0, size - WINDOW)
             tail = {c: v[keep:] for c, v in col.items()}
-            tail["bits"] = tail["bits"].view(np.int64)
+            for c in ("bits", "more"):
+                tail[c] = tail[c].view(np.int64)
             old = size - keep
 
     return rows.mapInArrow(run, "key bigint, with bigint, open boolean, token int")
@@ -228,17 +245,18 @@ def _all_earlier(rows: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Possible earlier partners of the open (key, token), out of all rows of the word, in blocks."""
     sizes = rows.join(open_rows.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     here = cut(rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), rows.sparkSession)
-    names = ["n", "place", "bits"]
+    names = ["n", "place", "bits", "more"]
     asking = here.join(open_rows.select("key", "token"), ["key", "token"], "left_semi").select(
         F.col("token"), F.col("key").alias("later"), *[F.col(c).alias(f"l_{c}") for c in names],
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
     # The same bounds as in _possible, inside the join.
     need = F.expr("(3 * (n + l_n) + 6) div 7")
+    half = f"if(n > {WIDE} and l_n > {WIDE}, more ^ l_more, 0L)"
     bounds = (
         (4 * F.least("n", "l_n") >= 3 * F.greatest("n", "l_n"))
         & (F.least(F.col("n") - F.col("place"), F.col("l_n") - F.col("l_place")) >= need)
-        & (F.expr("(n + l_n - bit_count(bits ^ l_bits)) div 2") >= need)
+        & (F.expr(f"(n + l_n - bit_count(bits ^ l_bits ^ {half}) - bit_count({half})) div 2") >= need)
         & (F.col("key") < F.col("later"))
     )
     return here.join(asking, ["token", "block"]).filter(bounds).select(F.col("later").alias("key"), F.col("key").alias("with")).distinct()
@@ -272,8 +290,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # Range partitions follow each other, so these numbers are in the order of the lines.
     order = ["doc_id", "line_no", "key"]
     classes = cut(firsts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("uid", F.monotonically_increasing_id()), spark)
-    at_first = table.withColumn("doc_id", doc).join(classes, order).select("uid", "n", "bits", "prefix")
-    rows = at_first.select(F.col("uid").alias("key"), "n", "bits", F.posexplode("prefix").alias("place", "token"))
+    at_first = table.withColumn("doc_id", doc).join(classes, order).select("uid", "n", "bits", "more", "prefix")
+    rows = at_first.select(F.col("uid").alias("key"), "n", "bits", "more", F.posexplode("prefix").alias("place", "token"))
     first = cut(_nearest(rows.repartition("token").sortWithinPartitions("token", "n")), spark)
 
     def sets(keys: DataFrame) -> DataFrame:
