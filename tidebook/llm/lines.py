@@ -36,7 +36,8 @@ from tidebook.session import cut
 
 SLOTS = 1 << 20
 SLICES = 64
-WINDOW = 64
+WINDOW = 512
+TRIED = 8  # partners in the window that a row is tried with before it is looked at again
 WIDE = 64  # lines of more words have 128 parity bits
 BLOCK_ROWS = 1024
 LAST = (1 << 63) - 1
@@ -181,7 +182,9 @@ def _possible(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> tuple[np.nd
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
-    """(key, with, open) per row with a possible earlier partner near it under its word, or more to look at.
+    """(key, with, others, open, token) per row with possible earlier partners near it under its word, or more to look at.
+
+    `with` is the partner of the most alike parity bits, `others` are up to TRIED of all; open rows have more.
 
     Rows arrive sorted by (token, n); a batch keeps the last WINDOW rows for the next one.
     """
@@ -195,42 +198,49 @@ def _nearest(rows: DataFrame) -> DataFrame:
                 col[c] = col[c].view(np.uint64)
             for c in ("n", "place"):
                 col[c] = col[c].astype(np.int64)
-            keys, size = col["key"], len(col["key"])
+            keys, n, size = col["key"], col["n"], len(col["key"])
             best = np.full(size, 255, np.int64)
             chosen = np.full(size, -1, np.int64)
             found = np.zeros(size, np.int64)
-            for d in range(1, min(WINDOW, size - 1) + 1):
-                # Pairs (i, i + d) of which the second is new; the others were looked at before.
-                low = np.arange(max(0, old - d), size - d)
-                low = low[col["token"][low] == col["token"][low + d]]
-                if not len(low):
+            slots = np.full((size, TRIED), -1, np.int64)
+            # Within a word n rises, so a row that is too short for the one d further on is too short for all after it.
+            longest = np.minimum(4 * n // 3, (7 * (n - col["place"])) // 3 - n)
+            live = np.arange(size)
+            for d in range(1, WINDOW + 1):
+                live = live[live < size - d]
+                live = live[(col["token"][live] == col["token"][live + d]) & (n[live + d] <= longest[live])]
+                if not len(live):
                     break
+                # Pairs of which the second is new; the others were looked at before.
+                low = live[live + d >= old]
                 high = low + d
-                fitting = 4 * col["n"][low] >= 3 * col["n"][high]  # n rises within a word
-                low, high = low[fitting], high[fitting]
                 ok, apart = _possible(*({c: col[c][side] for c in names[1:5]} for side in (low, high)))
                 low, high, apart = low[ok], high[ok], apart[ok]
                 early = keys[low] < keys[high]
                 for later, earlier, mask in ((high, low, early), (low, high, ~early)):
                     at, to, gap = later[mask], earlier[mask], apart[mask]
+                    room = found[at] < TRIED
+                    slots[at[room], found[at[room]]] = to[room]
                     found[at] += 1
                     better = gap < best[at]
                     best[at[better]], chosen[at[better]] = gap[better], to[better]
             # Rows whose word has further rows of a fitting length beyond the window.
             far = np.zeros(size, bool)
             if size > WINDOW:
-                n_low, n_high = col["n"][:-WINDOW], col["n"][WINDOW:]
-                both = (col["token"][WINDOW:] == col["token"][:-WINDOW]) & (4 * n_low >= 3 * n_high)
-                far[WINDOW:] = both
-                # Rows further on are longer still; the lower row's place bounds the length they may have.
-                far[:-WINDOW] |= both & (3 * (n_low + n_high) <= 7 * (n_low - col["place"][:-WINDOW]))
+                same = col["token"][WINDOW:] == col["token"][:-WINDOW]
+                far[WINDOW:] = same & (4 * n[:-WINDOW] >= 3 * n[WINDOW:])
+                far[:-WINDOW] |= same & (n[WINDOW:] <= longest[:-WINDOW])
             told = np.flatnonzero((chosen >= 0) | far)
+            others = slots[told]
+            others = others[others >= 0]
+            offsets = np.append(0, np.cumsum(np.minimum(found[told], TRIED)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[told]), pa.array(keys[chosen[told]], mask=chosen[told] < 0),
-                    pa.array(((found > 1) | far)[told]), pa.array(col["token"][told].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[others])),
+                    pa.array(((found > TRIED) | far)[told]), pa.array(col["token"][told].astype(np.int32)),
                 ],
-                names=["key", "with", "open", "token"],
+                names=["key", "with", "others", "open", "token"],
             )
             keep = max(0, size - WINDOW)
             tail = {c: v[keep:] for c, v in col.items()}
@@ -238,12 +248,39 @@ def _nearest(rows: DataFrame) -> DataFrame:
                 tail[c] = tail[c].view(np.int64)
             old = size - keep
 
-    return rows.mapInArrow(run, "key bigint, with bigint, open boolean, token int")
+    return rows.mapInArrow(run, "key bigint, with bigint, others array<bigint>, open boolean, token int")
+
+
+def _rows_of(lines: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(key, n, bits, more, place, token) of the lines' words that are among the tokens, and of a few more.
+
+    A bitmap of fixed size over hashed words leaves out most others before rows are made; a join has to follow.
+    """
+    chosen = np.frombuffer(bitmap(tokens), np.uint8)
+    marked = F.transform("prefix", bit_of).alias("marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column(5).flatten().to_numpy()
+            lengths = batch.column(5).value_lengths().to_numpy()
+            line = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(line)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            hit = np.flatnonzero(chosen[marks >> 3] >> (marks & 7) & 1)
+            rows = batch.select([0, 1, 2, 3]).take(pa.array(line[hit]))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(place[hit].astype(np.int32)), batch.column(4).flatten().take(pa.array(hit))],
+                names=["key", "n", "bits", "more", "place", "token"],
+            )
+
+    made = lines.select(F.col("uid").alias("key"), "n", "bits", "more", "prefix", marked)
+    return made.mapInArrow(run, "key bigint, n int, bits bigint, more bigint, place int, token int")
 
 
-def _all_earlier(rows: DataFrame, open_rows: DataFrame) -> DataFrame:
+def _all_earlier(lines: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Possible earlier partners of the open (key, token), out of all rows of the word, in blocks."""
-    sizes = rows.join(open_rows.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    tokens = open_rows.select("token").distinct()
+    rows = cut(_rows_of(lines, tokens).join(tokens, "token", "left_semi"), lines.sparkSession)
+    sizes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     here = cut(rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), rows.sparkSession)
     names = ["n", "place", "bits", "more"]
     asking = here.join(open_rows.select("key", "token"), ["key", "token"], "left_semi").select(
@@ -298,12 +335,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         wanted = cut(keys.withColumnRenamed("key", "uid").join(classes, "uid").select("uid", "key", "doc_id"), spark)
         return _chosen_lines(docs, ranks, wanted).join(wanted.select("uid", "key"), "key").select(F.col("uid").alias("key"), "members")
 
-    matched = compare(first.filter(F.col("with").isNotNull()).select("key", "with").distinct(), sets).select("key").distinct()
+    best = first.filter(F.col("with").isNotNull()).select("key", "with").distinct()
+    matched = compare(best, sets).select("key").distinct()
+    others = first.join(matched, "key", "left_anti").select("key", F.explode("others").alias("with")).distinct()
+    others = cut(others.join(best, ["key", "with"], "left_anti"), spark)
+    if not others.isEmpty():
+        matched = cut(matched.union(compare(others, sets).select("key")).distinct(), spark)
     still = cut(first.filter("open").select("key", "token").distinct().join(matched, "key", "left_anti"), spark)
     if not still.isEmpty():
-        asked = cut(_all_earlier(rows, still), spark)
-        tried = first.filter(F.col("with").isNotNull()).select("key", "with")
-        matched = matched.union(compare(asked.join(tried, ["key", "with"], "left_anti"), sets).select("key")).distinct()
+        asked = _all_earlier(at_first, still).join(best.union(others), ["key", "with"], "left_anti")
+        matched = matched.union(compare(cut(asked, spark), sets).select("key")).distinct()
     fate = classes.select("key", F.col("doc_id").alias("at_doc"), F.col("line_no").alias("at_line"), "uid").join(
         matched.select(F.col("key").alias("uid"), F.lit(True).alias("similar")), "uid", "left"
     ).drop("uid")
