@@ -162,6 +162,25 @@ def test_neighbours(spark):
     assert neighbours.search(table.filter("false"), lambda i: i % 100 == 0).count() == 0
 
 
+def test_neighbours_of_small_groups(spark, monkeypatch):
+    """Hundreds of lists, most of them one small group of near copies, on whose centroid its queries almost lie."""
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 6)
+    rng = np.random.default_rng(23)
+    held = (np.repeat(rng.normal(size=(200, 8)), 6, axis=0) + 1e-4 * rng.normal(size=(1200, 8))).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "vec_id bigint, embedding array<float>")
+    for k in (10, 400):  # more than the first lists hold, as well
+        found = {}
+        for r in neighbours.search(table, lambda i: i % 25 == 0, k).collect():
+            found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+        assert len(found) == 48 and all(sorted(rows) == list(range(1, k + 1)) for rows in found.values())
+        hit = 0
+        for q, rows in found.items():
+            gaps = np.sqrt(((held - held[q]) ** 2).sum(axis=1))
+            gaps[q] = np.inf
+            hit += len(set(rows.values()) & set(np.argsort(gaps, kind="stable")[:k].tolist()))
+        assert hit >= (0.97 if k == 10 else 0.8) * 48 * k
+
+
 def test_language_model(documents, nothing):
     rows = language_model.scored(documents).collect()
     assert len(rows) == documents.count()

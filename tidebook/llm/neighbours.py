@@ -3,8 +3,10 @@
 Equal vectors are one entry, which stands for its smallest ids. Centroids are fitted on a bounded sample and
 joined into a neighbour graph that every task holds in memory. Each entry goes into the list of its nearest
 centroid and, near a boundary, into further lists almost as near. A query walks the graph to its nearest
-centroids and reads the lists whose centroids are at most a ratio farther than the nearest. Lists with many
-entries are divided into parts of bounded size, which queries meet one by one, so no list is a large group.
+centroids and reads a least number of lists, and further ones whose centroids are at most a ratio farther than
+the nearest. Queries that have found too few read on, several times as many lists each time, up to all. Lists
+with many entries are divided into parts of bounded size, which queries meet one by one, so no list is a large
+group.
 
 Vectors that are null, zero or hold null or non-finite components take no part, as queries neither. Vectors of
 other dimensions than the most frequent one take no part either. Ties go to smaller ids; repeated ids with one
@@ -31,7 +33,9 @@ PART = 1_024
 DEGREE = 24
 BEAM = 64
 COPIES, BOUNDARY = 6, 1.15  # lists of an entry at most; how much farther than the nearest
-PROBES, PRUNE = 48, 1.6  # lists of a query at most; how much farther than the nearest
+LEAST = 16  # lists of a query at least; one that lies on its centroid has no other within any ratio
+PROBES, PRUNE = 48, 1.6  # lists of a query at first, at most; how much farther than the nearest
+FURTHER = 4  # times as many lists for queries that found too few
 
 
 class Graph:
@@ -50,6 +54,10 @@ class Graph:
         """Nearest centroids found from the entry points along the links, nearest first, and their distances."""
         n, beam = len(self.centroids), min(len(self.centroids), max(BEAM, count))
         rows = np.arange(len(vectors))[:, None]
+        if count > BEAM:  # so many that a walk would open most centroids
+            gaps = _distances(vectors, self.centroids)
+            order = np.argsort(gaps, axis=1, kind="stable")[:, :count]
+            return order, gaps[rows, order]
         gaps = np.full((len(vectors), n), np.inf, np.float32)
         gaps[:, self.entry] = _distances(vectors, self.centroids[self.entry])
         opened = np.zeros((len(vectors), n), bool)
@@ -127,30 +135,25 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id",
     sample = np.array([r["vector"] for r in picked], np.float32)
     graph = Graph(_fit(sample, max(1, min(LISTS, total // LIST_SIZE))))
 
-    def near(batches: Iterator[pa.RecordBatch], count: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch], count: int, ratio: float, least: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 lists, gaps = graph.search(_array(part.column("vector")).astype(np.float32), count)
                 fit = gaps <= ratio * gaps[:, :1] + 1e-6
-                fit[:, 0] = True
+                fit[:, :least] = True
                 owner, place = np.nonzero(fit)
                 taken = part.take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists[owner, place].astype(np.int32))], names=[*part.schema.names, "list"])
 
     def index(batches):
-        return near(batches, COPIES, BOUNDARY)
-
-    def probe(batches):
-        return near(batches, PROBES, PRUNE)
+        return near(batches, COPIES, BOUNDARY, 1)
 
     posted = cut(entries.select("entry", "vector", "ids").mapInArrow(index, "entry string, vector array<double>, ids array<bigint>, list int"), spark)
-    asked = rows.filter(is_query(F.col("vec_id"))).select("entry").distinct().join(entries.select("entry", "vector"), "entry")
-    probes = asked.mapInArrow(probe, "entry string, vector array<double>, list int")
+    asked = cut(rows.filter(is_query(F.col("vec_id"))).select("entry").distinct().join(entries.select("entry", "vector"), "entry"), spark)
     # Large lists are divided by hash; one number per list.
     parts = cut(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), spark)
     stored = posted.join(parts, "list").select("list", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int").alias("part"), "vector", "ids")
-    asking = probes.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("entry").alias("query"), F.col("vector").alias("of"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -165,11 +168,28 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id",
                 out += [(query, v, float(g)) for g, v in found]
         return pd.DataFrame(out, columns=["query", "vec_id", "score"])
 
-    met = stored.groupBy("list", "part").cogroup(asking.groupBy("list", "part")).applyInPandas(meet, "query string, vec_id bigint, score double")
     # Copies in several lists and parts; then the best for each distinct query vector, and for each of its ids.
     best = Window.partitionBy("query").orderBy("score", "vec_id")
-    few = met.groupBy("query", "vec_id").agg(F.min("score").alias("score")).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
+
+    def answered(asked: DataFrame, count: int, least: int) -> DataFrame:
+        """query, vec_id, score: the k + 1 nearest ids in up to `count` lists of each query, the `least` nearest read anyway."""
+        probes = asked.mapInArrow(lambda batches: near(batches, count, PRUNE, least), "entry string, vector array<double>, list int")
+        asking = probes.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("entry").alias("query"), F.col("vector").alias("of"))
+        met = stored.groupBy("list", "part").cogroup(asking.groupBy("list", "part")).applyInPandas(meet, "query string, vec_id bigint, score double")
+        few = met.groupBy("query", "vec_id").agg(F.min("score").alias("score")).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
+        return cut(few.drop("at"), spark)
+
+    few, count = answered(asked, PROBES, LEAST), PROBES
+    while count < len(graph.centroids):
+        # One of the k + 1 ids is the query's own.
+        enough = few.groupBy("query").count().filter(F.col("count") > k).select(F.col("query").alias("entry"))
+        short = cut(asked.join(enough, "entry", "left_anti"), spark)
+        if short.isEmpty():
+            break
+        count *= FURTHER
+        settled = few.join(short.select(F.col("entry").alias("query")), "query", "left_anti")
+        few = settled.unionByName(answered(short, count, count))
     queries = rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query"))
     own = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = queries.join(few.drop("at"), "query").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = queries.join(few, "query").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return ranked.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
