@@ -252,6 +252,39 @@ def test_warc(spark):
     assert warc.audit(warc.records(none), warc.records(none)).count() == 0
 
 
+def test_warc_names_the_very_records(spark, monkeypatch):
+    """Losses, additions and damage amid full volumes, repeated ids and null ids; the rest stays equal."""
+    def told(archive, replica):
+        rows = warc.audit(*(warc.records(spark.createDataFrame(x, "page_id bigint, url string, html string")) for x in (archive, replica))).collect()
+        return sorted((r.state, r.record_id if r.state != "extra" else r.replica_id, r.offset, r.position) for r in rows), rows
+
+    pages = [(i, "u", f"{i:04}") for i in range(5000)]
+    size = len("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:>\r\nWARC-Target-URI: u\r\nContent-Length: 4\r\n\r\n4444\r\n\r\n")
+    offset = lambda i: size * i + sum(len(str(j)) for j in range(i))
+    less = [p for p in pages if p[0] != 1000]
+    found, rows = told(pages, less)
+    assert found == [("missing", 1000, offset(1000), 1000)] and rows[0].volume == 0 and rows[0].replica_id is None
+    assert told(less, pages)[0] == [("extra", 1000, None, 1000)]
+    mixed = [(i, u, t[:-1] if i == 7 else t) for i, u, t in less] + [(20, "v", "x"), (9000, "u", "")]
+    assert [f[:2] for f in told(pages, mixed)[0]] == [("altered", 7), ("extra", 20), ("extra", 9000), ("missing", 1000)]
+    odd = [(None, "u", str(i)) for i in range(30)] + [(3, "u", str(i)) for i in range(90)] + [(5, "u", "same")] * 40
+    for rows_of_a_volume in (warc.VOLUME_ROWS, 25):  # the second divides the hot id
+        monkeypatch.setattr(warc, "VOLUME_ROWS", rows_of_a_volume)
+        assert told(odd, odd[::-1])[0] == []
+        other = odd[1:40] + [(3, "u", "other")] + odd[41:-2]
+        assert sorted(f[:2] for f in told([x for x in odd if x[0]], [x for x in other if x[0]])[0]) == [("altered", 3), ("missing", 5), ("missing", 5)]
+        assert [r.state for r in told(odd[:30], odd[1:30])[1]] == ["missing"]
+
+
+def test_warc_fading_replica_exactly(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "abc" * (i % 3)) for i in range(3000)], "page_id bigint, url string, html string")
+    rows = warc.audit(warc.records(pages), warc.records(warc.fading_replica(pages))).collect()
+    left = {i: zlib.crc32(str(i).encode()) % 97 for i in range(3000)}
+    states = {0: "altered", 1: "missing", 2: "extra"}
+    expected = [(states[x], i) for i, x in left.items() if x in states]
+    assert sorted((r.state, r.replica_id if r.record_id is None else r.record_id) for r in rows) == sorted(expected)
+
+
 def test_minhash_components_that_meet_in_buckets_equal_brute_force(spark):
     """Texts around the threshold: buckets hold several components, and no link between them is lost."""
     rng = np.random.default_rng(11)

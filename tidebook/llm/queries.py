@@ -21,7 +21,7 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 
 @query
 def op1_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit of a replica of all pages' records that lost a character in about one record of a hundred."""
+    """Audit of a replica of all pages' records in which of about a hundred records one lost a character, one is lost and one is added."""
     pages = read(spark, folder, "pages")
     return warc.audit(warc.records(pages), warc.records(warc.fading_replica(pages))).select(
         "volume", "position", "record_id", "offset", "n_bytes", "digest", "replica_digest", "state"
