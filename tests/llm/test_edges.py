@@ -98,6 +98,18 @@ def test_lexicon_folds_and_excepts():
         assert not toxicity.hits(toxicity.fold(text), automaton)
 
 
+def test_marks_inside_words_are_letters(spark):
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "bastard": 3.0}, ["idiot proof"], by_weight=9.0)
+    automaton = lexicon.automaton()
+    for text in ("you id!ot", "id|ot", "!diot", "|d!0+s", "bas+ard!", "ｉｄ！ｏｔ", "(id!ot)", "idi0t!!"):
+        assert len(toxicity.hits(toxicity.fold(text), automaton)) == 1
+    assert toxicity.fold("Stop! a | b ++ c+") == " stop a b c "
+    texts = ["an id!ot", "an id|ot", "a bas+ard", "wow!idiot", "no!id!ot|x", "id|ot proof", "this|or+that", "fine!", "id!ot|bas+ard"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: (r.weight, r.words) for r in toxicity.measured(docs, lexicon, ["doc_id"]).collect()}
+    assert found == {0: (5.0, 2), 1: (5.0, 2), 2: (3.0, 2), 3: (5.0, 2), 4: (5.0, 3), 5: (0.0, 2), 6: (0.0, 3), 7: (0.0, 1), 8: (8.0, 2)}
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))

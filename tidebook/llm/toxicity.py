@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded first: lower case, look-alike letters of other scripts, full-width forms and digits or
-signs used as letters become plain letters, invisible characters go, punctuation becomes blanks. An
+signs used as letters become plain letters, invisible characters go, punctuation becomes blanks. Marks that
+are letters as often as punctuation are letters inside a word, blanks at its end; if a word so read has no
+hit, it is read as words apart. An
 Aho-Corasick automaton then finds every lexicon entry (a word beginning) and every exception phrase in
 one pass. Hits inside an exception phrase do not count. The weights found are normalised by length.
 
@@ -13,6 +15,7 @@ columns are read, so extra ones, whatever their names, change nothing.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -39,8 +42,12 @@ _LOOKALIKES = {
     "l": "ӏ", "m": "м", "n": "п", "o": "оο0", "p": "рρ", "s": "ѕ5$", "t": "тτ7+", "u": "υ", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγ",
 }
 _INVISIBLE = "­​‌‍⁠﻿"
-# Signs at the end of a word are punctuation more often than letters.
+# Signs at the end of a word are punctuation more often than letters; before a letter or digit they are letters.
 _MARKS = "!|+"
+_LETTERS = str.maketrans({x: letter for letter, alike in _LOOKALIKES.items() for x in alike if x in _MARKS})
+_MARK = re.compile(r"[!|+]")
+_ENDS = re.compile(r"[!|+]+(?!\S)")
+_MASKED = re.compile(r"\S*[!|+]\S*")
 
 
 class _Folding(dict):
@@ -49,21 +56,41 @@ class _Folding(dict):
     def __init__(self):
         super().__init__({ord(x): letter for letter, alike in _LOOKALIKES.items() for x in alike})
         self.update({ord(x): None for x in _INVISIBLE})
-        self.update({ord(x): " " for x in _MARKS})
+        self.update({ord(x): x for x in _MARKS})  # read by their place in the word later
 
     def __missing__(self, code: int) -> str:
         char = unicodedata.normalize("NFKC", chr(code)).lower()
         folded = "".join(super(_Folding, self).get(ord(c), c) or "" for c in char)
-        self[code] = folded if all(c.isalnum() or unicodedata.combining(c) for c in folded) else " "
+        self[code] = folded if all(c.isalnum() or c in _MARKS or unicodedata.combining(c) for c in folded) else " "
         return self[code]
 
 
 _FOLDING = _Folding()
 
 
-def fold(text: str | None) -> str:
-    """The folded text between blanks, as one line of words."""
-    return f" {' '.join((text or '').lower().translate(_FOLDING).split())} "
+def fold(text: str | None, automaton=None, longest: int = 0) -> str:
+    """The folded text between blanks, as one line of words; with an automaton, masked words without a hit fall apart."""
+    plain = (text or "").lower().translate(_FOLDING)
+    if any(x in plain for x in _MARKS):
+        plain = _ENDS.sub(" ", plain)
+        plain = plain.translate(_LETTERS) if automaton is None else _MASKED.sub(lambda word: _read(word[0], automaton, longest), plain)
+    return f" {' '.join(plain.split())} "
+
+
+def _read(word: str, automaton, longest: int) -> str:
+    """A word with marks inside: they are letters where that makes a hit, and blanks elsewhere."""
+    out, at = [], 0
+    while at < len(word):
+        # Entries are word beginnings, so nothing beyond the longest one matters.
+        found = hits(f" {word[at : at + longest].translate(_LETTERS)} ", automaton)
+        if not found and word[at] in _MARKS:
+            at += 1
+            continue
+        mark = _MARK.search(word, at + found[0][1] - 1 if found else at)
+        end = mark.start() if mark else len(word)
+        out.append(word[at:end].translate(_LETTERS))
+        at = end
+    return f" {' '.join(out)} "
 
 
 @dataclass
@@ -234,10 +261,11 @@ def measured(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
+        longest = max(map(len, lexicon.weights), default=0)
         for batch in batches:
             weights, words = [], []
             for text in values(batch.column(len(fields))):
-                folded = fold(text)
+                folded = fold(text, automaton, longest)
                 weights.append(sum(w for _, _, w in hits(folded, automaton)))
                 words.append(folded.count(" ") - 1 if len(folded) > 2 else 0)
             scores = [lexicon.score(w, n) for w, n in zip(weights, words, strict=True)]
