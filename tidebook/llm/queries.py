@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import fingerprint, language_model, lines, minhash, mixing, neighbours, packing, token_counts, toxicity, warc
+from tidebook.llm import chunks, fingerprint, language_model, lines, minhash, mixing, neighbours, packing, token_counts, toxicity, warc
 from tidebook.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,11 @@ def op7_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.scored(read(spark, folder, "documents"))
+
+
+@query
+def op11_chunk_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.coded(read(spark, folder, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "n_chunks",
+    )
