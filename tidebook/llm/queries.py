@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import chunks, fingerprint, language_model, lines, minhash, mixing, neighbours, packing, token_counts, toxicity, warc
+from tidebook.llm import alignment, chunks, fingerprint, language_model, lines, minhash, mixing, neighbours, packing, token_counts, toxicity, warc
 from tidebook.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op11_chunk_reuse(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         "n_chunks",
     )
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(read(spark, folder, "documents")).drop("groups")
