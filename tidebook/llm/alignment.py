@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.llm.tables import narrow, wide
 from tidebook.llm.token_counts import groups
 from tidebook.llm.vocabulary import _byte_symbols
 from tidebook.session import cut
@@ -315,15 +316,6 @@ class Block:
         return owner[first], code[first], np.add.reduceat(times, first)
 
 
-def _narrow(values: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the largest needs."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))).newbyteorder("<")).tobytes()
-
-
-def _wide(data: bytes | None, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
-
-
 @lru_cache(maxsize=2)
 def vocabularies(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
@@ -360,10 +352,10 @@ def blocks(docs: DataFrame, id_column: str, text_column: str, paths: tuple[str,
                     steps = np.diff(found.number[low:high], prepend=0)
                     rows.append((
                         number, doc_id, *found.sizes[i].tolist(), found.digests[i], found.groups[i], int(high - low),
-                        _narrow(steps), _narrow(found.times[low:high]), False,
+                        narrow(steps), narrow(found.times[low:high]), False,
                     ))
                 rows.append((
-                    number, None, 0, 0, 0, 0, None, None, len(found.pairs), _narrow(np.diff(found.pairs, prepend=0)), _narrow(found.documents), True,
+                    number, None, 0, 0, 0, 0, None, None, len(found.pairs), narrow(np.diff(found.pairs, prepend=0)), narrow(found.documents), True,
                 ))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
                 number += 1
@@ -376,7 +368,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, n, pairs, documents in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.cumsum(_wide(pairs, n))), pa.array(_wide(documents, n))], names=["block", "pair", "documents"]
+                [pa.array(np.full(n, block)), pa.array(np.cumsum(wide(pairs, n))), pa.array(wide(documents, n))], names=["block", "pair", "documents"]
             )
 
 
@@ -406,7 +398,7 @@ def aligned(
         best = known["best"].to_numpy().astype(np.int64)[order]
         n_best, count_sum = [], []
         for n, steps, times in zip(rows["n_pairs"].to_pylist(), rows["pairs"].to_pylist(), rows["times"].to_pylist(), strict=True):
-            at, often = np.cumsum(_wide(steps, n)), _wide(times, n)
+            at, often = np.cumsum(wide(steps, n)), wide(times, n)
             n_best.append(int(best[at] @ often))
             count_sum.append(int(total[at] @ often))
         columns = [rows[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]

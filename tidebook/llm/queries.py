@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import alignment, chunks, fingerprint, language_model, lines, minhash, mixing, neighbours, packing, token_counts, toxicity, warc
+from tidebook.llm import alignment, chunks, fingerprint, language_model, lexical, lines, minhash, mixing, neighbours, packing, token_counts, toxicity, warc
 from tidebook.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,36 @@ def op11_chunk_reuse(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.aligned(read(spark, folder, "documents")).drop("groups")
+
+
+@query
+def op12_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+# Terms are counted over all documents, weights and components follow the same integer arithmetic.
+ORACLES["op12_ball_tree"] = """
+with words as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from documents
+), tf as (select doc_id, term, count(*) as tf from words group by 1, 2),
+lengths as (select doc_id, cast(sum(tf) as bigint) as n from tf group by 1),
+totals as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from lengths),
+damped as (select doc_id, 25 + (75 * n * big_n) // big_l as m from lengths cross join totals),
+asked as (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark
+), item_terms as (select item_id, term, count(*) as times from asked group by 1, 2),
+held as (select term, count(*) as df from tf group by 1),
+weights as (
+    select term, cast(floor(1000 * ln(cast(2 * big_n + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from held cross join totals
+), scores as (
+    select item_id, tf.doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+    from item_terms join weights using (term) join tf using (term) join damped on damped.doc_id = tf.doc_id
+    group by 1, 2
+), ranked as (
+    select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+    from scores where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""

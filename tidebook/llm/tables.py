@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "benchmark": "item_id bigint, text string",
     "pages": "page_id bigint, url string, html string",
 }
 
@@ -23,3 +25,13 @@ def values(column: pa.Array, rows: int = 256) -> Iterator:
     """A column's Python values, made a few rows at a time so that long texts are not held twice."""
     for begin in range(0, len(column), rows):
         yield from column.slice(begin, rows).to_pylist()
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))).newbyteorder("<")).tobytes()
+
+
+def wide(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that narrow() packed."""
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
