@@ -73,14 +73,15 @@ def _band(rank: Column) -> Column:
     return F.floor(F.signum(rank) * F.ln(F.abs(rank).cast("double")) * 1000)
 
 
-def sweep_fill(resting: DataFrame, incoming: DataFrame, lots: int = 16, salts: int = 8) -> DataFrame:
+def sweep_fill(resting: DataFrame, incoming: DataFrame, block: int = 64, salts: int = 8) -> DataFrame:
     """What each incoming limit order would trade against a resting book.
 
     Fills run best price first and oldest first at the resting price. Incoming orders do not
     see each other. Each order sweeps a front part of the opposite side, namely up to
-    min(its quantity, the quantity resting within its limit). That length is looked up first;
-    the axis of cumulated quantity is then cut into lots, and an order meets only the lots
-    it sweeps. So the pairs compared are the fills themselves plus one lot per order.
+    min(its quantity, the quantity resting within its limit). The resting orders of a side are
+    numbered in that order; one look-up on the axis of cumulated quantity gives the last number an
+    order reaches. All numbers up to it are fills, so an order asks for whole blocks of numbers, and
+    one by one for those of its last block: an equi join whose rows are the fills and nothing else.
     """
     side_of = F.when(F.col("side") == "BUY", "SELL").otherwise("BUY")
     book = resting.select(
@@ -95,12 +96,18 @@ def sweep_fill(resting: DataFrame, incoming: DataFrame, lots: int = 16, salts: i
 
     # Two rows per market: how deep the largest order can reach.
     reach = orders.groupBy(*side).agg(F.max("wanted").alias("reach"), F.max("rank").alias("far"))
-    levels = book.groupBy(*side, "rank").agg(F.sum("rest_quantity").alias("level_quantity"))
-    through = running(levels, side, ["rank"], _band(F.col("rank")), {"through": ("sum", F.col("level_quantity"))})
+    levels = book.groupBy(*side, "rank").agg(F.sum("rest_quantity").alias("level_quantity"), F.count(F.lit(1)).alias("level_orders"))
+    through = running(
+        levels, side, ["rank"], _band(F.col("rank")),
+        {"through": ("sum", F.col("level_quantity")), "through_orders": ("sum", F.col("level_orders"))},
+    )
     front = (
         through.join(reach, side)
         .filter((F.col("through") - F.col("level_quantity") < F.col("reach")) & (F.col("rank") <= F.col("far")))
-        .select(*side, "rank", "reach", "through", (F.col("through") - F.col("level_quantity")).alias("level_before"))
+        .select(
+            *side, "rank", "reach", "through", (F.col("through") - F.col("level_quantity")).alias("level_before"),
+            (F.col("through_orders") - F.col("level_orders")).alias("level_first"),
+        )
     )
 
     # Quantity within each distinct limit: the last level at or before it.
@@ -110,24 +117,46 @@ def sweep_fill(resting: DataFrame, incoming: DataFrame, lots: int = 16, salts: i
     )
     depth = running(asked, side, ["rank", "asks"], _band(F.col("rank")), {"within": ("last", F.col("through"))})
     depth = depth.filter((F.col("asks") == 1) & F.col("within").isNotNull()).select(*side, "rank", "within")
+    swept = orders.join(depth, [*side, "rank"]).select(*side, "in_id", F.least("wanted", "within").alias("swept"))
 
-    lot = F.col("reach") / F.lit(lots)
-    swept = (
-        orders.join(depth, [*side, "rank"]).join(reach.select(*side, "reach"), side)
-        .withColumn("swept", F.least(F.col("wanted"), F.col("within")))
-        .withColumn("last_lot", F.ceil(F.col("swept") / lot) - 1)
-        .select(*side, "in_id", "swept", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_lot").cast("bigint"))).alias("lot"),
-                F.pmod(F.xxhash64("in_id"), F.lit(salts)).alias("salt"))
-    )
+    # The queue with its numbers, and for each distinct quantity the last number whose order begins before it.
     queue = running(
         book.join(front, [*side, "rank"]), [*side, "rank"], ["offset"], number_chunk(F.col("offset"), 1 << 20),
-        {"ahead": ("sum", F.col("rest_quantity"))}, include_current=False,
-    ).withColumn("before", F.col("level_before") + F.coalesce("ahead", F.lit(0)))
-    queued = queue.filter(F.col("before") < F.col("reach")).select(
-        *side, "rest_id", "price", "rest_quantity", "before", F.floor(F.col("before") / lot).cast("bigint").alias("lot"),
+        {"ahead": ("sum", F.col("rest_quantity")), "place": ("sum", F.lit(1))}, include_current=False,
+    ).select(
+        *side, "rest_id", "price", "rest_quantity", "reach",
+        (F.col("level_before") + F.coalesce("ahead", F.lit(0))).alias("before"),
+        (F.col("level_first") + F.coalesce("place", F.lit(0))).alias("number"),
+    ).filter(F.col("before") < F.col("reach"))
+    lengths = swept.select(*side, "swept").distinct().join(reach.select(*side, "reach"), side)
+    axis = queue.select(*side, "reach", F.col("before").alias("at"), F.lit(1).alias("rests"), "number").unionByName(
+        lengths.select(*side, "reach", F.col("swept").alias("at"), F.lit(0).alias("rests")), allowMissingColumns=True
+    )
+    stretch = F.floor(F.col("at").cast("double") * 1024 / F.col("reach").cast("double"))
+    reached = running(axis, side, ["at", "rests"], stretch, {"last": ("max", F.col("number"))})
+    reached = reached.filter((F.col("rests") == 0) & F.col("last").isNotNull()).select(*side, F.col("at").alias("swept"), "last")
+
+    whole = F.floor((F.col("last") + 1) / block)
+    nothing = F.array().cast("array<bigint>")
+    wholes = F.when(whole > 0, F.sequence(F.lit(0).cast("bigint"), whole - 1)).otherwise(nothing)
+    singles = F.when(whole * block <= F.col("last"), F.sequence(whole * block, F.col("last"))).otherwise(nothing)
+
+    def asks(kind, numbers):
+        return F.transform(numbers, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("number")))
+
+    wanted = swept.join(reached, [*side, "swept"]).select(
+        *side, "in_id", "swept", F.pmod(F.xxhash64("in_id"), F.lit(salts)).alias("salt"),
+        F.explode(F.concat(asks("block", wholes), asks("single", singles))).alias("ask"),
+    )
+    answers = F.array(
+        F.struct(F.lit("block").alias("kind"), F.floor(F.col("number") / block).alias("number")),
+        F.struct(F.lit("single").alias("kind"), F.col("number").alias("number")),
+    )
+    offered = queue.withColumn("ask", F.explode(answers)).select(
+        *side, "rest_id", "price", "rest_quantity", "before", "ask",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"),
     )
-    met = swept.join(queued, [*side, "lot", "salt"]).filter(F.col("before") < F.col("swept"))
+    met = wanted.join(offered, [*side, "ask", "salt"])
     buys = F.col("takes") == "SELL"
     return met.select(
         "market_code", F.when(buys, F.col("in_id")).otherwise(F.col("rest_id")).alias("buy_order_id"),

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.operators.idempotency import accepted_requests  # noqa: F401
 from tidebook.operators.integrity import fills, with_both_orders
-from tidebook.operators.ordered import SLICE, number_chunk, previous, running, time_chunk, time_slices
+from tidebook.operators.ordered import SLICE_ROWS, Running, Slices, number_chunk, running, scan
 from tidebook.schemas import MODES, SIDES
-from tidebook.session import cut
 
 ORDER_FIELDS = (
     "market_code", "side", "price", "quantity", "mode", "submitted_at", "client_request_id", "source_order_id",
 )
-REQUEST_WINDOW = 3600
 
 
 # ---- executions --------------------------------------------------------------------------
@@ -124,46 +123,6 @@ def insert_orders(batch: DataFrame, stored: DataFrame, order: str = "offset", ma
     return unseen(fresh, stored, batch, ["client_request_id"]).select(*batch.columns)
 
 
-def accepted_requests(requests: DataFrame, key: str, id_column: str, seconds: int = REQUEST_WINDOW) -> DataFrame:
-    """Requests answered anew: not within `seconds` after the last one answered anew for the key.
-
-    `requests` holds (key, ts, unique id). A pause longer than the window always starts
-    afresh. Inside a longer burst each answered request leads to the first one past its
-    window; the rows so reached are found by doubling the jump length, so a burst of n
-    windows takes log2(n) rounds of joins on the row id.
-    """
-    spark = requests.sparkSession
-    sliced = time_slices(requests, [key], "ts", seconds)
-    seen = previous(sliced, [key], ["ts", id_column], F.col(SLICE), {"before": F.col("ts")}).drop(SLICE)
-    pause = F.col("ts") > F.col("before") + F.expr(f"interval {seconds} seconds")
-    flagged = seen.withColumn("starts", F.col("before").isNull() | pause).drop("before")
-
-    walk = flagged.select("*", F.explode(F.array(
-        F.struct(F.col("ts").alias("at"), F.lit(0).alias("asks")),
-        F.struct((F.col("ts") + F.expr(f"interval {seconds} seconds")).alias("at"), F.lit(1).alias("asks")),
-    )).alias("w")).select("*", "w.at", "w.asks").drop("w")
-    target = F.when(F.col("asks") == 0, F.struct(F.col(id_column).alias("id"), "starts"))
-    ahead = running(
-        time_slices(walk, [key], "at", seconds), [key], ["at", "asks", id_column], F.col(SLICE),
-        {"next": ("last", target)}, backward=True,
-    )
-    # A jump onto the start of a burst brings nothing new.
-    jumps = ahead.filter((F.col("asks") == 1) & ~F.col("next.starts")).select(
-        F.col(id_column).alias("from_id"), F.col("next.id").alias("to_id")
-    )
-    reached = flagged.filter("starts").select(F.col(id_column).alias("id"))
-    jumps, reached = cut(jumps, spark), cut(reached, spark)
-    while True:
-        fresh = reached.join(jumps, reached["id"] == jumps["from_id"]).select(F.col("to_id").alias("id"))
-        fresh = cut(fresh.distinct().join(reached, "id", "left_anti"), spark)
-        if fresh.isEmpty():
-            break
-        reached = reached.unionByName(fresh)
-        second = jumps.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("last_id"))
-        jumps = cut(jumps.join(second, "to_id").select("from_id", F.col("last_id").alias("to_id")), spark)
-    return requests.join(reached.withColumnRenamed("id", id_column), id_column, "left_semi")
-
-
 def offset_dedup(events: DataFrame, arrival: str, chunk_rows: int = 1 << 20) -> DataFrame:
     """Events whose offset lies above every offset delivered before for the market."""
     seen = running(
@@ -197,42 +156,41 @@ def trace_orders(orders: DataFrame, executions: DataFrame, order_id=None) -> Dat
 
 
 def cancel_outcomes(
-    cancels: DataFrame, orders: DataFrame, executions: DataFrame, slice_seconds: int = 3600
+    cancels: DataFrame, orders: DataFrame, executions: DataFrame, slice_seconds: int = 30 * 86400, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Answer to every cancel request (order_id, cancel_id, canceled_at).
 
     Fills and cancels of an order are walked in time order; a fill at the same instant
-    counts before the cancel. Only fills of orders with a cancel are walked, summed per instant.
+    counts before the cancel. Only fills of orders with a cancel are walked, summed per instant, and each
+    knows whether its order's first cancel comes later: what an order's first cancel leaves is what all
+    later ones are answered with, so one walk gives both. As fills only add up, a first cancel that finds
+    the order filled is followed by none that does not.
     """
-    asked = cancels.select("order_id", F.col("canceled_at").alias("at"), F.lit(1).alias("asks"), "cancel_id")
+    first = cancels.groupBy("order_id").agg(F.min(F.struct("canceled_at", "cancel_id")).alias("first"))
     done = fills(executions, "executed_at").select(
         "order_id", F.col("executed_at").alias("at"), F.col("quantity").alias("done")
     )
-    done = done.join(cancels.select("order_id").distinct(), "order_id", "left_semi")
-    done = done.groupBy("order_id", "at").agg(F.sum("done").alias("done")).withColumn("asks", F.lit(0))
-    walk = asked.unionByName(done, allowMissingColumns=True)
+    done = done.join(first, "order_id").groupBy("order_id", "at").agg(
+        F.sum("done").alias("done"), F.sum(F.when(F.col("at") <= F.col("first.canceled_at"), F.col("done"))).alias("early")
+    ).withColumn("asks", F.lit(0))
+    asked = cancels.select("order_id", F.col("canceled_at").alias("at"), F.lit(1).alias("asks"), "cancel_id")
+    asking = F.when(F.col("asks") == 1, F.struct("at", "cancel_id"))
     walked = running(
-        walk, ["order_id"], ["at", "asks", "cancel_id"], time_chunk(F.col("at"), slice_seconds),
-        {"filled": ("sum", F.col("done"))},
-    ).filter(F.col("asks") == 1).select("order_id", "cancel_id", F.col("at").alias("canceled_at"), "filled")
-    known = orders.select("order_id", F.col("quantity").alias("ordered"))
-    placed = walked.join(known, "order_id", "left")
-    left = F.col("ordered") - F.coalesce("filled", F.lit(0))
-    placed = placed.withColumn("left", left.cast("decimal(34,8)"))
-    # The first effective cancel fixes the canceled quantity of all later ones.
-    first = placed.filter(F.col("left") > 0).groupBy("order_id").agg(
-        F.min_by("cancel_id", F.struct("canceled_at", "cancel_id")).alias("first_id"),
-        F.min_by("left", F.struct("canceled_at", "cancel_id")).alias("first_left"),
-    )
-    answered = placed.join(first, "order_id", "left")
+        asked.unionByName(done, allowMissingColumns=True), ["order_id"], ["at", "asks", "cancel_id"], Slices("at", slice_seconds, slice_rows),
+        {"filled": ("sum", F.col("done")), "early_filled": ("sum", F.col("early")), "first": ("min", asking)},
+    ).filter(F.col("asks") == 1)
+    placed = walked.join(orders.select("order_id", F.col("quantity").alias("ordered")), "order_id", "left")
+
+    def left(filled):
+        return (F.col("ordered") - F.coalesce(filled, F.lit(0))).cast("decimal(34,8)")
+
+    open_still = left("filled") > 0
     outcome = (
-        F.when(F.col("ordered").isNull(), "ORDER_NOT_FOUND").when(F.col("left") <= 0, "ORDER_ALREADY_FILLED")
-        .when(F.col("cancel_id") == F.col("first_id"), "CANCELED").otherwise("ALREADY_CANCELED")
+        F.when(F.col("ordered").isNull(), "ORDER_NOT_FOUND").when(~open_still, "ORDER_ALREADY_FILLED")
+        .when(F.col("cancel_id") == F.col("first.cancel_id"), "CANCELED").otherwise("ALREADY_CANCELED")
     )
-    effective = F.col("ordered").isNotNull() & (F.col("left") > 0)
-    return answered.select(
-        "order_id", "cancel_id", outcome.alias("outcome"),
-        F.when(effective, F.col("first_left")).alias("canceled_quantity"),
+    return placed.select(
+        "order_id", "cancel_id", outcome.alias("outcome"), F.when(open_still, left("early_filled")).alias("canceled_quantity"),
     )
 
 
@@ -246,19 +204,19 @@ def assignment_intervals(events: DataFrame, order: str = "offset", chunk_rows: i
     dropped first.
     """
     assigned = F.col("type") == "ASSIGNED"
-    natural = ["market_code", "engine_instance_id", "at"]
-    opens = first_by(events.filter(assigned).select(*natural, order, "type"), natural, [order])
-    rows = opens.unionByName(events.filter(F.col("type") == "RELEASED").select(opens.columns))
+    # Copies of an ASSIGNED event fall together, RELEASED events each stay a row.
+    natural = ["type", "market_code", "engine_instance_id", "at"]
+    each = F.when(F.col("type") == "RELEASED", F.col(order))
+    known = events.filter(F.col("type").isin("ASSIGNED", "RELEASED"))
+    rows = known.groupBy(*natural, each.alias("__each")).agg(F.min(order).alias(order)).drop("__each")
 
-    def following(frame, keys, kind, prefix):
+    def following(name, kind, *keys):
         value = F.when(F.col("type") == kind, F.struct(F.col(order).alias("seq"), "at"))
-        return running(
-            frame, keys, [order], number_chunk(F.col(order), chunk_rows), {prefix: ("last", value)},
-            include_current=False, backward=True,
-        )
+        return Running(name, "last", value, keys, include_current=False, backward=True)
 
-    rows = following(rows, ["market_code"], "ASSIGNED", "taken")
-    rows = following(rows, ["market_code", "engine_instance_id"], "RELEASED", "given")
+    rows = scan(rows, [order], number_chunk(F.col(order), chunk_rows), [
+        following("taken", "ASSIGNED", "market_code"), following("given", "RELEASED", "market_code", "engine_instance_id"),
+    ])
     own_first = F.col("taken").isNull() | (F.col("given.seq") < F.col("taken.seq"))
     return rows.filter(assigned).select(
         "market_code", "engine_instance_id", F.col("at").alias("assigned_at"),

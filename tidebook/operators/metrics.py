@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.functions.clock import bucket, bucket_label, kst_hour, moment, within
 from tidebook.operators.integrity import one_row, with_both_orders
 from tidebook.operators.orders import pending_orders
-from tidebook.operators.ordered import SLICE, previous, time_slices
+from tidebook.operators.ordered import Slices, previous
 
 # Rolling windows, series bounds and bucket widths (span limit s, width s).
 TPS_SECONDS = 60
@@ -228,8 +228,7 @@ def counter_rate(
     samples: DataFrame, series: list[str], order: list[str], window_seconds: int = 60, slice_seconds: int = 600
 ) -> DataFrame:
     """Per-second rate over all replicas per window; a falling counter restarted from zero."""
-    sliced = time_slices(samples, series, "ts", slice_seconds)
-    steps = previous(sliced, series, order, F.col(SLICE), {"before": F.col("value")})
+    steps = previous(samples, series, order, Slices("ts", slice_seconds), {"before": F.col("value")})
     rise = F.when(F.col("value") >= F.col("before"), F.col("value") - F.col("before")).otherwise(F.col("value"))
     counted = steps.filter(F.col("before").isNotNull()).groupBy(bucket(F.col("ts"), window_seconds).alias("bucket"))
     return counted.agg((F.sum(rise) / F.lit(float(window_seconds))).alias("rate")).select(

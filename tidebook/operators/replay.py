@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.clock import moment
 from tidebook.operators.integrity import one_row
-from tidebook.operators.ordered import number_chunk, previous, running
+from tidebook.operators.ordered import Running, number_chunk, scan
 from tidebook.operators.orders import of_run
 from tidebook.schemas import MARKET_CODES, market_index
 
@@ -40,12 +40,8 @@ def schedule_by(recorded: DataFrame, speed: float, order: list[str], chunk: Colu
     A gap waits gap/speed; a record older than its predecessor does not wait, so the plan is a
     running sum and not a plain difference. `chunk` must never fall while `order` rises.
     """
-    seen = previous(recorded, ["market_code"], order, chunk, {"before": F.col("ts")})
-    gap = F.greatest(F.coalesce(F.col("ts") - F.col("before"), F.lit(0)), F.lit(0))
-    planned = running(seen.withColumn("gap", gap), ["market_code"], order, chunk, {"waited_ms": ("sum", F.col("gap"))})
-    return planned.withColumn("planned_seconds", F.col("waited_ms") / 1000 / F.lit(float(speed))).drop(
-        "before", "gap", "waited_ms"
-    )
+    planned = scan(recorded, order, chunk, [Running("waited_ms", "climb", F.col("ts"), ("market_code",))])
+    return planned.withColumn("planned_seconds", F.col("waited_ms") / 1000 / F.lit(float(speed))).drop("waited_ms")
 
 
 def replay_schedule(recorded: DataFrame, speed: float, position: str = "position", chunk_rows: int = 1 << 20) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.clock import bucket, kst_date, kst_day, within
 from tidebook.functions.ticks import quantity_text, with_price_text
-from tidebook.operators.ordered import SLICE, SLICE_ROWS, previous, running, time_slices
+from tidebook.operators.ordered import SLICE_ROWS, Slices, previous, running
 
 # Price history length, quote spread and size, quote interval.
 HISTORY = 30
@@ -137,9 +137,8 @@ def hysteresis(
 ) -> DataFrame:
     """Flag that rises at `high`, falls at `low` and otherwise keeps its state."""
     mark = F.when(F.col("value") >= high, 1).when(F.col("value") <= low, 0)
-    sliced = time_slices(samples, keys, "ts", slice_seconds, slice_rows)
-    out = running(sliced, keys, order, F.col(SLICE), {"mark": ("last", mark)})
-    return out.withColumn("active", F.coalesce(F.col("mark") == 1, F.lit(False))).drop("mark", SLICE)
+    out = running(samples, keys, order, Slices("ts", slice_seconds, slice_rows), {"mark": ("last", mark)})
+    return out.withColumn("active", F.coalesce(F.col("mark") == 1, F.lit(False))).drop("mark")
 
 
 def max_over_readers(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,20 +149,19 @@ def max_over_readers(samples: DataFrame, keys: list[str]) -> DataFrame:
 def market_load(readings: DataFrame, order: list[str], slice_seconds: int = 600, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Offsets per second since the previous reading; 0 if first, idle or not later."""
     seen = previous(
-        time_slices(readings, ["market_code"], "ts", slice_seconds, slice_rows), ["market_code"], order, F.col(SLICE),
+        readings, ["market_code"], order, Slices("ts", slice_seconds, slice_rows),
         {"before_offset": F.col("offset"), "before_ts": F.col("ts")},
     )
     elapsed = (F.unix_micros("ts") - F.unix_micros("before_ts")) / 1e6
     moved = F.col("offset") - F.col("before_offset")
     load = F.when((elapsed > 0) & (moved > 0), moved / elapsed).otherwise(0.0)
-    return seen.withColumn("load", load).drop("before_offset", "before_ts", SLICE)
+    return seen.withColumn("load", load).drop("before_offset", "before_ts")
 
 
 def gauge_trend(samples: DataFrame, keys: list[str], order: list[str], slice_seconds: int = 600, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Change of a gauge since its previous poll."""
-    sliced = time_slices(samples, keys, "ts", slice_seconds, slice_rows)
-    seen = previous(sliced, keys, order, F.col(SLICE), {"before": F.col("value")})
-    return seen.withColumn("delta", F.col("value") - F.col("before")).drop("before", SLICE)
+    seen = previous(samples, keys, order, Slices("ts", slice_seconds, slice_rows), {"before": F.col("value")})
+    return seen.withColumn("delta", F.col("value") - F.col("before")).drop("before")
 
 
 def asof_delta(
@@ -179,10 +177,9 @@ def asof_delta(
         F.struct((F.col("ts") - F.expr(f"interval {seconds} seconds")).alias("at"), F.lit(1).alias("asks")),
     )).alias("walk")).select("*", "walk.at", "walk.asks").drop("walk")
     known = F.when(F.col("asks") == 0, F.col("value"))
-    sliced = time_slices(both, keys, "at", slice_seconds, slice_rows)
-    answered = running(sliced, keys, ["at", "asks", tie], F.col(SLICE), {"before": ("last", known)})
+    answered = running(both, keys, ["at", "asks", tie], Slices("at", slice_seconds, slice_rows), {"before": ("last", known)})
     return (
-        answered.filter(F.col("asks") == 1).drop("at", "asks", SLICE)
+        answered.filter(F.col("asks") == 1).drop("at", "asks")
         .withColumn("delta", F.col("value") - F.col("before"))
     )
 
