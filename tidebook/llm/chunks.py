@@ -33,6 +33,8 @@ from tidebook.llm.vocabulary import Vocabulary, default_path, vocabulary
 # A cut about every 256 bytes.
 CUT_BITS = 8
 WINDOW = 32
+# Text handled at once.
+GROUP_BYTES = 2_000_000
 # Chunks and joins that a worker keeps; beyond it the older half goes.
 KEPT_CHUNKS = 300_000
 KEPT_JOINS = 100_000
@@ -223,7 +225,7 @@ def coded(
         coder = _coder(path, bits)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for a, b in groups(texts):
+            for a, b in groups(texts, GROUP_BYTES):
                 found = coder.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [
