@@ -6,8 +6,6 @@ from decimal import Decimal
 
 import pytest
 from tidebook.operators import book, ledger
-from tidebook.session import work_folder
-from tidebook.streaming import jobs
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
 EVENT = (
@@ -78,83 +76,14 @@ def test_arrival_order_and_redelivery_do_not_matter(spark, seed):
     assert state(again) == expected
 
 
-def test_stream_ledger_equals_batch_over_restarts(spark):
-    events, done = _random_history(5)
-    draw = random.Random(4)
-    draw.shuffle(events)
-    draw.shuffle(done)
-    root = work_folder(spark)
-    expected = state(ledger.order_ledger(spark.createDataFrame(events, EVENT), spark.createDataFrame(done, FILL)))
-    for part in range(3):
-        # Fills may come before their orders; a third of them is delivered once more.
-        spark.createDataFrame(events[part::3], EVENT).coalesce(1).write.mode("append").parquet(f"{root}/events")
-        spark.createDataFrame(done[part::3] + done[:20], FILL).coalesce(1).write.mode("append").parquet(f"{root}/fills")
-        stream_events = spark.readStream.schema(EVENT).parquet(f"{root}/events")
-        stream_fills = spark.readStream.schema(FILL).parquet(f"{root}/fills").select("buy_order_id", "sell_order_id", "quantity")
-        changes = jobs.ledger_stream(stream_events, stream_fills)
-        jobs.upsert_stream(changes, f"{root}/ledger", f"{root}/checkpoint", drain=True).awaitTermination()
-    assert state(jobs.newest_version(spark, f"{root}/ledger", ["order_id"])) == expected
-    jobs.compact_versions(spark, f"{root}/ledger", ["order_id"], f"{root}/compact")
-    assert state(jobs.newest_version(spark, f"{root}/compact", ["order_id"])) == expected
-
-
-def test_ingest_stores_every_order_once(spark):
-    root = work_folder(spark)
-    for part in range(3):
-        rows = [new(f"o{i}", 1, i) for i in range(part * 5, part * 5 + 8)]
-        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        orders = spark.readStream.schema(EVENT).parquet(f"{root}/in")
-        jobs.ingest_stream(orders, f"{root}/table", f"{root}/checkpoint", drain=True).awaitTermination()
-    stored = spark.read.parquet(f"{root}/table")
-    assert stored.count() == stored.select("order_id").distinct().count() == 18
-
-
-def test_live_counts_keep_late_rows(spark):
-    root = work_folder(spark)
-    for batch in ([0, 30], [3600], [7200], [10], [20, 7201]):
-        times = [(START + timedelta(seconds=s),) for s in batch]
-        spark.createDataFrame(times, "ts timestamp").write.mode("append").parquet(f"{root}/in")
-        source = spark.readStream.schema("ts timestamp").parquet(f"{root}/in")
-        jobs.upsert_stream(jobs.live_counts(source, "ts", "n"), f"{root}/counts", f"{root}/c", drain=True).awaitTermination()
-    counts = {r.minute: r.n for r in jobs.newest_version(spark, f"{root}/counts", ["minute"]).collect()}
-    assert [counts[k] for k in sorted(counts)] == [4, 1, 2]
-
-
 def test_orders_of_unknown_markets_are_not_inserted(spark):
     schema = "order_id string, client_request_id string, market_code string, side string, mode string, price double, quantity double, submitted_at timestamp, offset bigint"
     batch = [(m, m, m, "BUY", "REPLAY", 1.0, 1.0, START, i) for i, m in enumerate(("KRW-BTC", "KRW-NONE"))]
     markets = spark.createDataFrame([("KRW-BTC",)], "market_code string")
     frame = spark.createDataFrame(batch, schema)
     assert [r.order_id for r in ledger.insert_orders(frame, frame.filter("false"), markets=markets).collect()] == ["KRW-BTC"]
-
-
-def test_live_counts_and_sessions_streams(spark):
-    root = work_folder(spark)
-    times = [START + timedelta(seconds=s) for s in (0, 10, 61, 62, 63, 400, 4000, 8000)]
-    spark.createDataFrame([("r", t) for t in times], "run_id string, ts timestamp").write.parquet(f"{root}/in")
-
-    def source():
-        return spark.readStream.schema("run_id string, ts timestamp").parquet(f"{root}/in")
-
-    jobs.upsert_stream(jobs.live_counts(source(), "ts", "n"), f"{root}/counts", f"{root}/c1", drain=True).awaitTermination()
-    counts = {r.minute: r.n for r in jobs.newest_version(spark, f"{root}/counts", ["minute"]).collect()}
-    assert [counts[k] for k in sorted(counts)] == [2, 3, 1, 1, 1]
-    jobs.upsert_stream(jobs.live_totals(source(), "run_id", "n"), f"{root}/totals", f"{root}/c3", drain=True).awaitTermination()
-    assert [tuple(r) for r in jobs.newest_version(spark, f"{root}/totals", ["run_id"]).collect()] == [("r", 8)]
-    sessions = jobs.session_stream(source()).writeStream.format("parquet").option("path", f"{root}/s").option("checkpointLocation", f"{root}/c2")
-    sessions.trigger(availableNow=True).start().awaitTermination()
-    closed = spark.read.parquet(f"{root}/s").orderBy("started_at").collect()
-    assert [r.beats for r in closed][:2] == [5, 1]
-
-
-def test_idempotent_stream(spark):
-    root = work_folder(spark)
-    rows = [("a", START), ("a", START + timedelta(minutes=5)), ("b", START)]
-    spark.createDataFrame(rows, "client_request_id string, ts timestamp").write.parquet(f"{root}/in")
-    source = spark.readStream.schema("client_request_id string, ts timestamp").parquet(f"{root}/in")
-    out = jobs.idempotent_stream(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c")
-    out.trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.client_request_id for r in spark.read.parquet(f"{root}/out").collect()) == ["a", "b"]
+    assert [r.order_id for r in ledger.insert_orders(frame, frame.filter("false")).collect()] == ["KRW-BTC"]
+    assert ledger.insert_orders(frame, frame.filter("false"), any_market=True).count() == 2
 
 
 def test_accepted_requests_against_brute_force(spark):
@@ -181,7 +110,7 @@ def test_insert_orders(spark):
 
     batch = [row("a", "ra", 1), row("a", "ra", 2), row("b", "ra", 3), row("c", "rc", 4), row("d", "rd", 5, "HOLD"), row("e", None, 6), row("f", None, 7), row("g", "stored", 8)]
     stored = spark.createDataFrame([("c", "other"), ("x", "stored"), ("y", None)], "order_id string, client_request_id string")
-    got = ledger.insert_orders(spark.createDataFrame(batch, schema), stored)
+    got = ledger.insert_orders(spark.createDataFrame(batch, schema), stored, any_market=True)
     assert sorted((r.order_id, r.offset) for r in got.collect()) == [("a", 1), ("e", 6), ("f", 7)]
 
 

@@ -10,8 +10,8 @@ from tidebook.operators import integrity, orders, series
 from tidebook.plans.catalog import QUERIES
 from tidebook.sources.tables import read_table
 
-# Streams and iterative jobs run when they are built.
-EAGER = {"archive_stream", "live_counts", "ingest_stream", "order_ledger_stream", "idempotent_orders"}
+# Streams run when they are built.
+EAGER = {"archive_stream", "live_counts", "ingest_stream", "order_ledger_stream", "accept_stream", "run_sessions_stream"}
 
 
 def plan(df):

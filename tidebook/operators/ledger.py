@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.operators.idempotency import accepted_requests  # noqa: F401
 from tidebook.operators.integrity import fills, with_both_orders
 from tidebook.operators.ordered import SLICE_ROWS, Running, Slices, number_chunk, running, scan
-from tidebook.schemas import MODES, SIDES
+from tidebook.schemas import MODES, SIDES, is_market
 
 ORDER_FIELDS = (
     "market_code", "side", "price", "quantity", "mode", "submitted_at", "client_request_id", "source_order_id",
@@ -63,26 +63,42 @@ def order_status(quantity: Column, filled: Column, canceled_at: Column) -> Colum
     )
 
 
-def fold(events: DataFrame, filled: DataFrame, order: str = "offset") -> DataFrame:
-    """Order state from NEW and CANCEL events and fill rows (order_id, quantity).
-
-    One aggregation keyed by order; sums and first values merge in any arrival order, so
-    batch and stream use this same plan. The first NEW and the first CANCEL count.
-    """
+def state_rows(events: DataFrame, filled: DataFrame, order: str = "offset") -> DataFrame:
+    """A partial order state for each NEW or CANCEL event and fill row (order_id, quantity, and at if it is known)."""
     is_new, is_cancel = F.col("type") == "NEW", F.col("type") == "CANCEL"
     fresh = F.struct(F.col(order).alias("opened"), *ORDER_FIELDS)
     stated = events.select(
         "order_id",
-        F.when(is_new, fresh).alias("fresh"), F.when(is_new, F.col(order)).alias("new_at"),
+        F.when(is_new, fresh).alias("o"), F.when(is_new, F.col(order)).alias("new_at"),
         F.when(is_cancel, F.col("canceled_at")).alias("canceled"), F.when(is_cancel, F.col(order)).alias("cancel_at"),
+        F.coalesce("canceled_at", "submitted_at").alias("changed"),
     )
-    done = filled.select("order_id", F.col("quantity").cast("decimal(34,8)").alias("done"))
-    state = stated.unionByName(done, allowMissingColumns=True).groupBy("order_id").agg(
-        F.min_by("fresh", "new_at").alias("o"), F.min_by("canceled", "cancel_at").alias("canceled"),
-        F.coalesce(F.sum("done"), F.lit(0)).cast("decimal(34,8)").alias("filled"),
+    at = F.col("at") if "at" in filled.columns else F.lit(None).cast("timestamp")
+    done = filled.select("order_id", F.col("quantity").cast("decimal(34,8)").alias("filled"), at.alias("changed"))
+    return stated.unionByName(done, allowMissingColumns=True)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of the same orders in one; sums and first values merge in any order of arrival.
+
+    One aggregation keyed by order. The first NEW and the first CANCEL count.
+    """
+    return states.groupBy("order_id").agg(
+        F.min_by("o", "new_at").alias("o"), F.min("new_at").alias("new_at"),
+        F.min_by("canceled", "cancel_at").alias("canceled"), F.min("cancel_at").alias("cancel_at"),
+        F.coalesce(F.sum("filled"), F.lit(0)).cast("decimal(34,8)").alias("filled"), F.max("changed").alias("changed"),
     )
-    status = order_status(F.col("o.quantity"), F.col("filled"), F.col("canceled"))
-    return state.filter(F.col("o").isNotNull()).select(
+
+
+def state_status() -> Column:
+    """Status of an order state."""
+    return order_status(F.col("o.quantity"), F.col("filled"), F.col("canceled"))
+
+
+def ledger_rows(states: DataFrame) -> DataFrame:
+    """Order rows of merged states; a state without its order is none yet."""
+    status = state_status()
+    return states.filter(F.col("o").isNotNull()).select(
         "order_id", *[F.col(f"o.{c}") for c in ORDER_FIELDS],
         (F.col("o.quantity") - F.col("filled")).cast("decimal(34,8)").alias("remaining_quantity"),
         status.alias("status"),
@@ -90,6 +106,11 @@ def fold(events: DataFrame, filled: DataFrame, order: str = "offset") -> DataFra
     )
 
 
+def fold(events: DataFrame, filled: DataFrame, order: str = "offset") -> DataFrame:
+    """Order state from NEW and CANCEL events and fill rows (order_id, quantity), whatever their order of arrival."""
+    return ledger_rows(merge_states(state_rows(events, filled, order)))
+
+
 def order_ledger(events: DataFrame, executions: DataFrame, order: str = "offset", execution_order: list[str] = ("offset",)) -> DataFrame:
     """The ledger as rows of orders, whatever the arrival order across the topics."""
     # Summing the fills on their own first is a pure hash aggregation; the fold then meets one
@@ -100,13 +121,17 @@ def order_ledger(events: DataFrame, executions: DataFrame, order: str = "offset"
 
 # ---- order intake ------------------------------------------------------------------------
 
-def insert_orders(batch: DataFrame, stored: DataFrame, order: str = "offset", markets: DataFrame | None = None) -> DataFrame:
+def insert_orders(
+    batch: DataFrame, stored: DataFrame, order: str = "offset", markets: DataFrame | None = None,
+    any_market: bool = False, stored_requests: DataFrame | None = None,
+) -> DataFrame:
     """Rows of `batch` that a unique order id and a unique client request id let in.
 
     The accept path writes order id and client request id together, so copies of an order
     carry the same request id; keeping the first row per order and then per request is the
     outcome of inserting row by row. Rows breaking the table's checks are skipped, and so are
-    those of markets that the dimension `markets` (market_code), if given, does not hold.
+    those of markets outside the dimension, or outside `markets` (market_code) if given; `any_market`
+    leaves that check out. `stored_requests` holds the stored request ids if `stored` holds order ids only.
     """
     valid = batch.filter(
         F.col("order_id").isNotNull() & F.col("market_code").isNotNull()
@@ -115,12 +140,14 @@ def insert_orders(batch: DataFrame, stored: DataFrame, order: str = "offset", ma
     )
     if markets is not None:
         valid = valid.join(markets.select("market_code").distinct(), "market_code", "left_semi").select(*batch.columns)
+    elif not any_market:
+        valid = valid.filter(is_market(F.col("market_code")))
     per_order = first_by(valid, ["order_id"], [order])
     # Requests without an id never collide.
     keyed = first_by(per_order.filter(F.col("client_request_id").isNotNull()), ["client_request_id"], [order])
     unkeyed = per_order.filter(F.col("client_request_id").isNull())
     fresh = unseen(keyed.unionByName(unkeyed), stored, batch, ["order_id"])
-    return unseen(fresh, stored, batch, ["client_request_id"]).select(*batch.columns)
+    return unseen(fresh, stored if stored_requests is None else stored_requests, batch, ["client_request_id"]).select(*batch.columns)
 
 
 def offset_dedup(events: DataFrame, arrival: str, chunk_rows: int = 1 << 20) -> DataFrame:

@@ -22,27 +22,43 @@ LABELS = {
 }
 
 
-def heartbeat_sessions(beats: DataFrame, ttl: int = HEARTBEAT_SECONDS) -> DataFrame:
-    """Spans of (run_id, ts) heartbeats without a silence of `ttl` seconds.
+def beat_slots(beats: DataFrame, ttl: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """Heartbeats condensed to one row per run and half lifetime.
 
-    Beats are first condensed to one row per run and half lifetime. Two beats of such a slot
-    are never apart long enough to break a session, so only the slots need ordering.
+    Two beats of such a slot are never apart long enough to break a session.
     """
-    slots = beats.groupBy("run_id", bucket(F.col("ts"), max(1, ttl // 2)).alias("slot")).agg(
+    return beats.groupBy("run_id", bucket(F.col("ts"), max(1, ttl // 2)).alias("slot")).agg(
         F.min("ts").alias("first_beat"), F.max("ts").alias("last_beat"), F.count(F.lit(1)).alias("beats")
     )
+
+
+def numbered_slots(slots: DataFrame, ttl: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """Slots with the number of their session; only the slots need ordering."""
     in_order = Window.partitionBy("run_id").orderBy("slot")
     silence = F.unix_micros("first_beat") - F.unix_micros(F.lag("last_beat").over(in_order))
     numbered = slots.withColumn("breaks", F.coalesce((silence >= ttl * 1_000_000).cast("int"), F.lit(1)))
-    numbered = numbered.withColumn("session", F.sum("breaks").over(in_order))
-    return numbered.groupBy("run_id", "session").agg(
+    return numbered.withColumn("session", F.sum("breaks").over(in_order)).drop("breaks")
+
+
+def slot_sessions(slots: DataFrame, ttl: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """Spans of slots without a silence of `ttl` seconds."""
+    return numbered_slots(slots, ttl).groupBy("run_id", "session").agg(
         F.min("first_beat").alias("started_at"), F.max("last_beat").alias("last_beat"), F.sum("beats").alias("beats")
     )
 
 
+def heartbeat_sessions(beats: DataFrame, ttl: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """Spans of (run_id, ts) heartbeats without a silence of `ttl` seconds."""
+    return slot_sessions(beat_slots(beats, ttl), ttl)
+
+
 def run_sessions(beats: DataFrame, outcomes: DataFrame, now, ttl: int = HEARTBEAT_SECONDS) -> DataFrame:
     """Sessions with their outcome: released as reported, FAILED when they fell silent."""
-    sessions = heartbeat_sessions(beats, ttl)
+    return session_outcomes(heartbeat_sessions(beats, ttl), outcomes, now, ttl)
+
+
+def session_outcomes(sessions: DataFrame, outcomes: DataFrame, now, ttl: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """Outcome and note of sessions (run_id, started_at, last_beat, beats) from the runs' newest reports."""
     newest = outcomes.groupBy("run_id").agg(F.max_by(F.struct("at", "status", "message"), "at").alias("o"))
     joined = sessions.join(newest, "run_id", "left")
     expires = F.col("last_beat") + F.expr(f"interval {ttl} seconds")

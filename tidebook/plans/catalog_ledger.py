@@ -8,11 +8,13 @@ from tidebook.operators import book, ledger, series
 from tidebook.plans import flows
 from tidebook.plans.catalog_metrics import _candle_sql
 from tidebook.plans.catalog_orders import MARKETS_SQL
-from tidebook.plans.registry import iso_sql, query
+from tidebook.plans.fixtures import MARKET_22
+from tidebook.plans.registry import ORACLES, iso_sql, query
 from tidebook.session import work_folder
 from tidebook.sources import decode, files
 from tidebook.sources.tables import stream_table
-from tidebook.streaming import jobs
+from tidebook.streaming import accept, jobs, sessions
+from tidebook.streaming import ledger as stream_ledger
 
 FILL_ORDER = ["executed_at", "quantity", "price"]
 
@@ -114,13 +116,13 @@ def _(v):
 
 
 @query("insert_orders", f"""
-    with batch as (select * from v_ledger_event where type = 'NEW' qualify row_number() over (partition by order_id order by offset_no) = 1),
+    with batch as (select * from v_new_order where market_code <> 'KRW-NONE' qualify row_number() over (partition by order_id order by offset_no) = 1),
     stored as (select order_id, client_request_id from v_order where mode = 'REPLAY')
     select order_id, client_request_id, market_code, side, price::double as price, quantity::double as quantity, mode, {iso_sql('submitted_at')} as submitted_at
     from batch where order_id not in (select order_id from stored) and client_request_id not in (select client_request_id from stored)""")
 def _(v):
     stored = v.v_order.filter(F.col("mode") == "REPLAY")
-    fresh = ledger.insert_orders(v.v_ledger_event.filter(F.col("type") == "NEW"), stored)
+    fresh = ledger.insert_orders(v.v_new_order, stored)
     return fresh.select("order_id", "client_request_id", "market_code", "side", "price", "quantity", "mode", "submitted_at")
 
 
@@ -318,82 +320,96 @@ def _(v):
 
 # ---- streams -----------------------------------------------------------------------------
 
+def _arriving(v, rows, part, parts):
+    """Rows as a stream that arrives in `parts` micro-batches, by a number from 0 on."""
+    root = f"{work_folder(v.spark)}/in"
+    rows.withColumn("__part", part).repartition(parts, "__part").write.partitionBy("__part").parquet(root)
+    reader = v.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+    return reader.parquet(root)
+
+
 def _folders(v):
     root = work_folder(v.spark)
     return f"{root}/table", f"{root}/checkpoint"
 
 
-def _stream_source(v, name):
-    return stream_table(v.spark, v.folder, name)
-
-
 @query("archive_stream", """
-    select event_type as market_code, strftime(ts, '%Y-%m-%d') as archived_on, count(*) as messages from v_counter group by 1, 2""")
+    select event_id, event_type as market_code, value, strftime(max(ts) over (partition by event_id % 3, flush), '%Y-%m-%d') as archived_on, flush
+    from (select *, (row_number() over (partition by event_id % 3 order by event_id) - 1) // 500 as flush from v_counter)""")
 def _(v):
     table, checkpoint = _folders(v)
-    messages = _stream_source(v, "events").select(
-        F.to_json(F.struct("event_id", "event_type", "value")).alias("body"), F.col("ts").alias("ingested_at"),
-        F.col("event_type").alias("market_code"),
+    messages = v.v_counter.select(
+        F.to_json(F.struct("event_id", "value")).alias("body"), F.col("ts").alias("ingested_at"),
+        F.col("event_type").alias("market_code"), F.col("event_id").alias("offset"),
     )
-    jobs.archive_stream(messages, table, checkpoint, drain=True).awaitTermination()
-    stored = v.spark.read.schema("body string, market_code string, archived_on string").json(table)
-    return stored.groupBy("market_code", "archived_on").agg(F.count(F.lit(1)).alias("messages"))
+    arriving = _arriving(v, messages, F.pmod("offset", F.lit(3)), 3)
+    jobs.archive_stream(arriving, table, checkpoint, drain=True).awaitTermination()
+    stored = v.spark.read.schema("body string, market_code string, archived_on string, flush bigint").json(table)
+    found = F.from_json("body", "event_id bigint, value double")
+    return stored.withColumn("message", found).select("message.event_id", "market_code", "message.value", "archived_on", "flush")
 
 
 @query("live_counts", f"""
-    select strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S.%gZ') as minute, count(*) as orders from v_counter where event_type = 'purchase' group by 1""")
+    select event_type, {iso_sql("date_trunc('minute', ts)")} as minute, count(*) as orders from v_counter group by 1, 2
+    union all select event_type, null, count(*) from v_counter group by 1""")
 def _(v):
-    table, checkpoint = _folders(v)
-    rows = _stream_source(v, "events").filter(F.col("event_type") == "purchase")
-    counts = jobs.live_counts(rows, "ts", "orders")
-    jobs.upsert_stream(counts, table, checkpoint, drain=True).awaitTermination()
-    return jobs.newest_version(v.spark, table, ["minute"])
+    root, checkpoint = _folders(v)
+    rows = v.v_counter.select("event_type", "ts", "event_id")
+    counts = jobs.live_counts(_arriving(v, rows, F.pmod("event_id", F.lit(3)), 3), "ts", "orders", "event_type")
+    jobs.upsert_stream(counts, root, checkpoint, ["event_type", "minute"], drain=True).awaitTermination()
+    return jobs.current_rows(v.spark, root, ["event_type", "minute"])
 
 
-@query("ingest_stream", """
-    select 'ord_' || cast(o_orderkey as string) as order_id, o_orderpriority as market_code, o_totalprice as price from $orders""")
+@query("ingest_stream", f"""
+    select 'ord_' || cast(o_orderkey as string) as order_id, market_code, o_totalprice as price
+    from (select *, {MARKET_22} as market_code from $orders) where market_code <> 'KRW-NONE'""")
 def _(v):
-    table, checkpoint = _folders(v)
+    root, checkpoint = _folders(v)
     key = F.col("o_orderkey").cast("string")
     body = F.to_json(F.struct(
-        F.lit("NEW").alias("type"), F.concat(F.lit("ord_"), key).alias("orderId"), F.col("o_orderpriority").alias("market"),
+        F.lit("NEW").alias("type"), F.concat(F.lit("ord_"), key).alias("orderId"), F.expr(MARKET_22).alias("market"),
         F.lit("BUY").alias("side"), F.col("o_totalprice").cast("string").alias("price"), F.lit("1").alias("quantity"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("acceptedAt"),
         F.concat(F.lit("req-"), key).alias("clientRequestId"), F.lit("REPLAY").alias("mode"),
     ))
-    messages = _stream_source(v, "orders").select(body.alias("body"), F.col("o_orderkey").alias("offset"))
+    messages = stream_table(v.spark, v.folder, "orders").select(body.alias("body"), F.col("o_orderkey").alias("offset"))
     # Every message is delivered twice.
     messages = messages.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     rows = decode.order_rows(decode.decode_orders(messages), "offset")
-    jobs.ingest_stream(rows, table, checkpoint, drain=True).awaitTermination()
-    return v.spark.read.option("basePath", table).parquet(table).select("order_id", "market_code", F.col("price").cast("double"))
+    jobs.ingest_stream(rows, root, checkpoint, drain=True).awaitTermination()
+    return jobs.order_store(v.spark, root).newest("orders").select("order_id", "market_code", F.col("price").cast("double"))
 
 
-_STREAM_LEDGER = """
-    select n.order_id, n.quantity - coalesce(f.filled, 0)::double as remaining_quantity,
-           case when n.quantity <= coalesce(f.filled, 0) then 'FILLED' when coalesce(f.filled, 0) > 0 then 'PARTIALLY_FILLED' else 'ACCEPTED' end as status
-    from (select o_orderkey as order_id, cast(1 + o_orderkey % 50 as double) as quantity from $orders) n
-    left join (select order_id, sum(quantity) as filled from (
-        select order_id, quantity from (select distinct l_orderkey as order_id, l_orderkey + l_linenumber as other, cast(1 as double) as quantity from $lineitem)
-        union all select other, quantity from (select distinct l_orderkey as order_id, l_orderkey + l_linenumber as other, cast(1 as double) as quantity from $lineitem))
-        group by 1) f on f.order_id = n.order_id"""
+@query("order_ledger_stream", _LEDGER_SHOWN)
+def _(v):
+    root, checkpoint = _folders(v)
+    # Orders and their cancels arrive apart; copies of an execution's pair arrive together, the first one counts.
+    events = _arriving(v, v.v_ledger_event, F.pmod("offset", F.lit(2)), 2)
+    fills = v.v_fill.withColumn("offset", F.unix_micros("executed_at")).drop("price")
+    executions = _arriving(v, fills, F.pmod("sell_order_id", F.lit(2)), 2)
+    stream_ledger.start(stream_ledger.ledger_job(events, executions, root, checkpoint), True, jobs.INGEST_INTERVAL).awaitTermination()
+    return stream_ledger.current_ledger(stream_ledger.ledger_store(v.spark, root))
 
 
-@query("order_ledger_stream", _STREAM_LEDGER)
+@query("accept_stream")
 def _(v):
-    table, checkpoint = _folders(v)
-    events = _stream_source(v, "orders").select(
-        F.lit("NEW").alias("type"), F.col("o_orderkey").alias("order_id"), F.lit(None).cast("timestamp").alias("canceled_at"),
-        F.col("o_orderkey").alias("offset"), F.col("o_orderpriority").alias("market_code"), F.lit("BUY").alias("side"),
-        F.col("o_totalprice").cast("decimal(24,8)").alias("price"),
-        (1 + F.col("o_orderkey") % 50).cast("decimal(24,8)").alias("quantity"), F.lit("REPLAY").alias("mode"),
-        F.col("o_orderdate").alias("submitted_at"), F.lit(None).cast("string").alias("client_request_id"),
-        F.lit(None).cast("bigint").alias("source_order_id"),
-    )
-    executions = _stream_source(v, "lineitem").select(
-        F.col("l_orderkey").alias("buy_order_id"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("sell_order_id"),
-        F.lit(1).cast("decimal(24,8)").alias("quantity"),
-    )
-    changes = jobs.ledger_stream(events, executions)
-    jobs.upsert_stream(changes, table, checkpoint, drain=True).awaitTermination()
-    return jobs.newest_version(v.spark, table, ["order_id"]).select("order_id", "remaining_quantity", "status")
+    root, checkpoint = _folders(v)
+    requests = v.v_request.select("client_request_id", "ts", "event_id")
+    # Each micro-batch has rows of the whole time, so all but the first bring late ones.
+    arriving = _arriving(v, requests, F.pmod("event_id", F.lit(5)), 5)
+    stream_ledger.start(accept.accept_job(arriving, root, checkpoint, id_column="event_id"), True, jobs.INGEST_INTERVAL).awaitTermination()
+    answered = accept.answered_requests(accept.accept_store(v.spark, root))
+    return answered.select(F.col("key").alias("client_request_id"), F.col("id").alias("event_id"))
+
+
+@query("run_sessions_stream")
+def _(v):
+    root, checkpoint = _folders(v)
+    beats = _arriving(v, v.v_beat, F.pmod(F.unix_seconds("ts"), F.lit(3)), 3)
+    reports = _arriving(v, v.v_outcome, F.pmod(F.unix_seconds("at"), F.lit(3)), 3)
+    stream_ledger.start(sessions.session_job(beats, reports, root, checkpoint, ttl=21600), True, jobs.INGEST_INTERVAL).awaitTermination()
+    return sessions.current_sessions(sessions.session_store(v.spark, root), "2024-01-30", ttl=21600)
+
+
+# The streams give what the batch forms give.
+ORACLES |= {"accept_stream": ORACLES["idempotent_orders"], "run_sessions_stream": ORACLES["run_sessions"]}

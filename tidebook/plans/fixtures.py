@@ -16,7 +16,7 @@ from tidebook.schemas import MARKET_CODES
 from tidebook.sources.tables import TABLES, read_table
 
 _MARKET_20 = "case o_custkey % 20 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(MARKET_CODES)) + " end"
-_MARKET_22 = (
+MARKET_22 = (
     "case o_custkey % 22 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(MARKET_CODES)) + " else 'KRW-NONE' end"
 )
 _DAY = "substr(cast(o_orderdate as string), 1, 10) || 'T00:00:00.000Z'"
@@ -56,7 +56,7 @@ VIEWS = {
                case event_id % 3 when 0 then 'BID' when 1 then 'ASK' else 'MID' end as ask_bid, event_id as sequential_id
         from $events""",
     "v_text_order": f"""
-        select o_orderkey as order_id, {_MARKET_22} as market_code,
+        select o_orderkey as order_id, {MARKET_22} as market_code,
                case when o_custkey % 11 = 0 then 'HOLD' when o_custkey % 2 = 0 then 'BUY' else 'SELL' end as side,
                case when o_orderkey % 13 = 0 then 'abc' when o_orderkey % 17 = 0 then '0'
                     when o_orderkey % 19 = 0 then cast(o_totalprice as string)
@@ -175,7 +175,18 @@ VIEWS = {
                cast(o_totalprice as string) as price, cast(1 + o_orderkey % 50 as string) as quantity,
                'ord_' || {_KEY} as order_id
         from $orders""",
-    "v_dim_order": f"select o_orderkey as order_id, {_MARKET_22} as market_code from $orders",
+    "v_new_order": f"""
+        select 'NEW' as type, o_orderkey as order_id, {MARKET_22} as market_code,
+               case when o_custkey % 2 = 0 then 'BUY' else 'SELL' end as side,
+               cast(o_totalprice as decimal(24,8)) as price, cast(1 + o_orderkey % 50 as decimal(24,8)) as quantity,
+               case when o_custkey % 3 = 0 then 'REPLAY' else 'PAPER_TRADING' end as mode, o_orderdate as submitted_at,
+               'req-' || cast(o_orderkey as string) as client_request_id, o_orderkey * 2 as offset_no
+        from $orders
+        union all
+        select 'NEW', o_orderkey, {MARKET_22}, 'BUY', cast(1 as decimal(24,8)), cast(1 as decimal(24,8)), 'REPLAY',
+               o_orderdate + interval '1' day, 'req-' || cast(o_orderkey as string), o_orderkey * 2 + 1
+        from $orders where o_orderstatus = 'F'""",
+    "v_dim_order": f"select o_orderkey as order_id, {MARKET_22} as market_code from $orders",
     "v_live_order": """
         select event_id as order_id, ts as submitted_at, event_type as market_code,
                case event_type when 'view' then 'ACCEPTED' when 'click' then 'PARTIALLY_FILLED' else 'FILLED' end as status
