@@ -3,6 +3,7 @@
 import json
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators import series
@@ -39,10 +40,47 @@ def test_flushes_of_a_run(spark, tmp_path):
     root = str(tmp_path / "orders")
     a, b = "KRW-BTC", "KRW-ETH"
     files.write_order_records(rows(spark, (a, KST_MIDNIGHT, "old-a"), (b, KST_MIDNIGHT, "old-b")), root, reset=True)
-    flushed = files.flush_order_records(rows(spark, (a, KST_MIDNIGHT + 1, "a1")), root, set())
+    flushed = files.flush_order_records(rows(spark, (a, KST_MIDNIGHT + 1, "a1")), root, "run-1", 0)
     assert flushed == {a} and ids(files.read_order_records(spark, root)) == ["a1", "old-b"]
-    flushed = files.flush_order_records(rows(spark, (a, KST_MIDNIGHT + 2, "a2"), (b, KST_MIDNIGHT, "b1")), root, flushed)
-    assert flushed == {a, b} and ids(files.read_order_records(spark, root)) == ["a1", "a2", "b1"]
+    second = rows(spark, (a, KST_MIDNIGHT + 2, "a2"), (b, KST_MIDNIGHT, "b1"))
+    for _ in range(2):  # a repeated flush changes nothing
+        assert files.flush_order_records(second, root, "run-1", 1) == {a, b}
+        assert ids(files.read_order_records(spark, root)) == ["a1", "a2", "b1"]
+    files.flush_order_records(rows(spark, (a, KST_MIDNIGHT + 3, "a3")), root, "run-2", 0)
+    assert ids(files.read_order_records(spark, root)) == ["a3", "b1"]
+
+
+@pytest.mark.parametrize("breaks", ["staging", "first folder", "second folder", "mark"])
+def test_a_flush_that_breaks_off_leaves_one_copy(spark, tmp_path, monkeypatch, breaks):
+    root = str(tmp_path / "orders")
+    a, b = "KRW-BTC", "KRW-ETH"
+    files.write_order_records(rows(spark, (a, KST_MIDNIGHT, "old-a"), (b, KST_MIDNIGHT, "old-b")), root, reset=True)
+    files.flush_order_records(rows(spark, (a, KST_MIDNIGHT, "a0")), root, "run", 0)
+    flush = rows(spark, (a, KST_MIDNIGHT + 1, "a1"), (b, KST_MIDNIGHT + 1, "b1"))
+    folder, publish, calls = files._publish_folder, files.publish_json, []
+
+    def broken_folder(*args):
+        calls.append(args)
+        if breaks == "first folder":
+            raise OSError("lost")
+        folder(*args)
+        if breaks == "second folder":
+            raise OSError("lost")
+
+    def broken_publish(spark, name, content):
+        if breaks == "staging" or (breaks == "mark" and name.endswith("done.json")):
+            raise OSError("lost")
+        return publish(spark, name, content)
+
+    monkeypatch.setattr(files, "_publish_folder", broken_folder)
+    monkeypatch.setattr(files, "publish_json", broken_publish)
+    with pytest.raises(OSError, match="lost"):
+        files.flush_order_records(flush, root, "run", 1)
+    monkeypatch.undo()
+    assert files.flush_order_records(flush, root, "run", 1) == {a, b}
+    assert ids(files.read_order_records(spark, root)) == ["a0", "a1", "b1"]
+    files.flush_order_records(rows(spark, (b, KST_MIDNIGHT + 2, "b2")), root, "run", 2)
+    assert ids(files.read_order_records(spark, root)) == ["a0", "a1", "b1", "b2"]
 
 
 def test_order_documents_and_dates(spark, tmp_path):
@@ -119,5 +157,5 @@ def test_dated_tables_open_only_their_days(spark, tmp_path):
 def test_flush_keeps_markets_outside_the_dimension(spark, tmp_path):
     root = str(tmp_path / "records")
     one = rows(spark, ("KRW-BTC", KST_MIDNIGHT, "a"), ("KRW-NEW", KST_MIDNIGHT, "b"))
-    assert files.flush_order_records(one, root, set()) == {"KRW-BTC", "KRW-NEW"}
+    assert files.flush_order_records(one, root, "r", 0) == {"KRW-BTC", "KRW-NEW"}
     assert spark.read.parquet(root).count() == 2

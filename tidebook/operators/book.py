@@ -11,6 +11,7 @@ from tidebook.functions.clock import moment
 from tidebook.functions.ticks import book_price, wire_amount
 from tidebook.operators.ledger import order_ledger
 from tidebook.operators.ordered import number_chunk, running
+from tidebook.session import cut
 
 # Levels shown.
 DEPTH_DEFAULT, DEPTH_MAX = 20, 100
@@ -77,11 +78,10 @@ def sweep_fill(resting: DataFrame, incoming: DataFrame, block: int = 64, salts:
     """What each incoming limit order would trade against a resting book.
 
     Fills run best price first and oldest first at the resting price. Incoming orders do not
-    see each other. Each order sweeps a front part of the opposite side, namely up to
-    min(its quantity, the quantity resting within its limit). The resting orders of a side are
-    numbered in that order; one look-up on the axis of cumulated quantity gives the last number an
-    order reaches. All numbers up to it are fills, so an order asks for whole blocks of numbers, and
-    one by one for those of its last block: an equi join whose rows are the fills and nothing else.
+    see each other. The resting orders of a side are numbered in that order. One look-up by price gives the last
+    number within an order's limit, one by cumulated quantity the last that begins before its own; all numbers up
+    to the smaller are fills. So an order asks for whole blocks of numbers, and one by one for those of its last
+    block: an equi join whose rows are the fills and nothing else.
     """
     side_of = F.when(F.col("side") == "BUY", "SELL").otherwise("BUY")
     book = resting.select(
@@ -96,45 +96,39 @@ def sweep_fill(resting: DataFrame, incoming: DataFrame, block: int = 64, salts:
 
     # Two rows per market: how deep the largest order can reach.
     reach = orders.groupBy(*side).agg(F.max("wanted").alias("reach"), F.max("rank").alias("far"))
-    levels = book.groupBy(*side, "rank").agg(F.sum("rest_quantity").alias("level_quantity"), F.count(F.lit(1)).alias("level_orders"))
-    through = running(
-        levels, side, ["rank"], _band(F.col("rank")),
-        {"through": ("sum", F.col("level_quantity")), "through_orders": ("sum", F.col("level_orders"))},
+    # A price may hold any share of a side, so places count within prices first, and prices add up.
+    levels = book.groupBy(*side, "rank").agg(F.sum("rest_quantity").alias("amount"), F.count(F.lit(1)).alias("orders"))
+    levels = running(
+        levels, side, ["rank"], _band(F.col("rank")), {"level_before": ("sum", F.col("amount")), "level_first": ("sum", F.col("orders"))},
+        include_current=False,
     )
-    front = (
-        through.join(reach, side)
-        .filter((F.col("through") - F.col("level_quantity") < F.col("reach")) & (F.col("rank") <= F.col("far")))
-        .select(
-            *side, "rank", "reach", "through", (F.col("through") - F.col("level_quantity")).alias("level_before"),
-            (F.col("through_orders") - F.col("level_orders")).alias("level_first"),
-        )
+    front = levels.join(reach, side).filter((F.coalesce("level_before", F.lit(0)) < F.col("reach")) & (F.col("rank") <= F.col("far")))
+    placed = running(
+        book, [*side, "rank"], ["offset"], number_chunk(F.col("offset"), 1 << 20),
+        {"ahead": ("sum", F.col("rest_quantity")), "place": ("sum", F.lit(1))}, include_current=False,
     )
+    queue = placed.join(front.select(*side, "rank", "reach", "level_before", "level_first"), [*side, "rank"]).select(
+        *side, "rank", "rest_id", "price", "rest_quantity", "reach",
+        (F.coalesce("level_before", F.lit(0)) + F.coalesce("ahead", F.lit(0))).alias("before"),
+        (F.coalesce("level_first", F.lit(0)) + F.coalesce("place", F.lit(0))).alias("number"),
+    ).filter(F.col("before") < F.col("reach"))
+    # The numbered front is looked up three times; it is written once.
+    queue = cut(queue, resting.sparkSession)
 
-    # Quantity within each distinct limit: the last level at or before it.
+    # The last number within each distinct limit, and the last one that begins before each distinct quantity.
     limits = orders.select(*side, "rank").distinct()
-    asked = front.select(*side, "rank", "through", F.lit(0).alias("asks")).unionByName(
+    asked = queue.select(*side, "rank", "number", F.lit(0).alias("asks")).unionByName(
         limits.withColumn("asks", F.lit(1)), allowMissingColumns=True
     )
-    depth = running(asked, side, ["rank", "asks"], _band(F.col("rank")), {"within": ("last", F.col("through"))})
-    depth = depth.filter((F.col("asks") == 1) & F.col("within").isNotNull()).select(*side, "rank", "within")
-    swept = orders.join(depth, [*side, "rank"]).select(*side, "in_id", F.least("wanted", "within").alias("swept"))
-
-    # The queue with its numbers, and for each distinct quantity the last number whose order begins before it.
-    queue = running(
-        book.join(front, [*side, "rank"]), [*side, "rank"], ["offset"], number_chunk(F.col("offset"), 1 << 20),
-        {"ahead": ("sum", F.col("rest_quantity")), "place": ("sum", F.lit(1))}, include_current=False,
-    ).select(
-        *side, "rest_id", "price", "rest_quantity", "reach",
-        (F.col("level_before") + F.coalesce("ahead", F.lit(0))).alias("before"),
-        (F.col("level_first") + F.coalesce("place", F.lit(0))).alias("number"),
-    ).filter(F.col("before") < F.col("reach"))
-    lengths = swept.select(*side, "swept").distinct().join(reach.select(*side, "reach"), side)
+    by_price = running(asked, side, ["rank", "asks"], _band(F.col("rank")), {"within": ("max", F.col("number"))})
+    by_price = by_price.filter((F.col("asks") == 1) & F.col("within").isNotNull()).select(*side, "rank", "within")
+    lengths = orders.select(*side, "wanted").distinct().join(reach.select(*side, "reach"), side)
     axis = queue.select(*side, "reach", F.col("before").alias("at"), F.lit(1).alias("rests"), "number").unionByName(
-        lengths.select(*side, "reach", F.col("swept").alias("at"), F.lit(0).alias("rests")), allowMissingColumns=True
+        lengths.select(*side, "reach", F.col("wanted").alias("at"), F.lit(0).alias("rests")), allowMissingColumns=True
     )
     stretch = F.floor(F.col("at").cast("double") * 1024 / F.col("reach").cast("double"))
-    reached = running(axis, side, ["at", "rests"], stretch, {"last": ("max", F.col("number"))})
-    reached = reached.filter((F.col("rests") == 0) & F.col("last").isNotNull()).select(*side, F.col("at").alias("swept"), "last")
+    by_quantity = running(axis, side, ["at", "rests"], stretch, {"until": ("max", F.col("number"))})
+    by_quantity = by_quantity.filter((F.col("rests") == 0) & F.col("until").isNotNull()).select(*side, F.col("at").alias("wanted"), "until")
 
     whole = F.floor((F.col("last") + 1) / block)
     nothing = F.array().cast("array<bigint>")
@@ -144,8 +138,9 @@ def sweep_fill(resting: DataFrame, incoming: DataFrame, block: int = 64, salts:
     def asks(kind, numbers):
         return F.transform(numbers, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("number")))
 
-    wanted = swept.join(reached, [*side, "swept"]).select(
-        *side, "in_id", "swept", F.pmod(F.xxhash64("in_id"), F.lit(salts)).alias("salt"),
+    swept = orders.join(by_price, [*side, "rank"]).join(by_quantity, [*side, "wanted"]).withColumn("last", F.least("within", "until"))
+    wanted = swept.select(
+        *side, "in_id", "wanted", F.pmod(F.xxhash64("in_id"), F.lit(salts)).alias("salt"),
         F.explode(F.concat(asks("block", wholes), asks("single", singles))).alias("ask"),
     )
     answers = F.array(
@@ -161,5 +156,5 @@ def sweep_fill(resting: DataFrame, incoming: DataFrame, block: int = 64, salts:
     return met.select(
         "market_code", F.when(buys, F.col("in_id")).otherwise(F.col("rest_id")).alias("buy_order_id"),
         F.when(buys, F.col("rest_id")).otherwise(F.col("in_id")).alias("sell_order_id"), "price",
-        F.least(F.col("rest_quantity"), F.col("swept") - F.col("before")).cast("decimal(24,8)").alias("quantity"),
+        F.least(F.col("rest_quantity"), F.col("wanted") - F.col("before")).cast("decimal(24,8)").alias("quantity"),
     )

@@ -9,6 +9,7 @@ from tidebook.operators.idempotency import accepted_requests  # noqa: F401
 from tidebook.operators.integrity import fills, with_both_orders
 from tidebook.operators.ordered import SLICE_ROWS, Running, Slices, number_chunk, running, scan
 from tidebook.schemas import MODES, SIDES, is_market
+from tidebook.session import cut
 
 ORDER_FIELDS = (
     "market_code", "side", "price", "quantity", "mode", "submitted_at", "client_request_id", "source_order_id",
@@ -193,20 +194,26 @@ def cancel_outcomes(
     later ones are answered with, so one walk gives both. As fills only add up, a first cancel that finds
     the order filled is followed by none that does not.
     """
-    first = cancels.groupBy("order_id").agg(F.min(F.struct("canceled_at", "cancel_id")).alias("first"))
+    at = F.struct("canceled_at", "cancel_id")
+    first = cancels.groupBy("order_id").agg(
+        F.min("canceled_at").alias("first_at"), F.min_by("cancel_id", at).alias("first_id")
+    )
     done = fills(executions, "executed_at").select(
         "order_id", F.col("executed_at").alias("at"), F.col("quantity").alias("done")
     )
-    done = done.join(first, "order_id").groupBy("order_id", "at").agg(
-        F.sum("done").alias("done"), F.sum(F.when(F.col("at") <= F.col("first.canceled_at"), F.col("done"))).alias("early")
+    early = F.when(F.col("at") <= F.col("first_at"), F.col("done"))
+    done = done.join(first.select("order_id", "first_at"), "order_id").groupBy("order_id", "at").agg(
+        F.sum("done").alias("done"), F.sum(early).alias("early")
     ).withColumn("asks", F.lit(0))
     asked = cancels.select("order_id", F.col("canceled_at").alias("at"), F.lit(1).alias("asks"), "cancel_id")
-    asking = F.when(F.col("asks") == 1, F.struct("at", "cancel_id"))
+    # The walk is read twice; it is written once.
+    walk = cut(asked.unionByName(done, allowMissingColumns=True), cancels.sparkSession)
     walked = running(
-        asked.unionByName(done, allowMissingColumns=True), ["order_id"], ["at", "asks", "cancel_id"], Slices("at", slice_seconds, slice_rows),
-        {"filled": ("sum", F.col("done")), "early_filled": ("sum", F.col("early")), "first": ("min", asking)},
+        walk, ["order_id"], ["at", "asks", "cancel_id"], Slices("at", slice_seconds, slice_rows),
+        {"filled": ("sum", F.col("done")), "early_filled": ("sum", F.col("early"))},
     ).filter(F.col("asks") == 1)
-    placed = walked.join(orders.select("order_id", F.col("quantity").alias("ordered")), "order_id", "left")
+    of_order = first.select("order_id", "first_id").join(orders.select("order_id", F.col("quantity").alias("ordered")), "order_id", "left")
+    placed = walked.join(of_order, "order_id")
 
     def left(filled):
         return (F.col("ordered") - F.coalesce(filled, F.lit(0))).cast("decimal(34,8)")
@@ -214,7 +221,7 @@ def cancel_outcomes(
     open_still = left("filled") > 0
     outcome = (
         F.when(F.col("ordered").isNull(), "ORDER_NOT_FOUND").when(~open_still, "ORDER_ALREADY_FILLED")
-        .when(F.col("cancel_id") == F.col("first.cancel_id"), "CANCELED").otherwise("ALREADY_CANCELED")
+        .when(F.col("cancel_id") == F.col("first_id"), "CANCELED").otherwise("ALREADY_CANCELED")
     )
     return placed.select(
         "order_id", "cancel_id", outcome.alias("outcome"), F.when(open_still, left("early_filled")).alias("canceled_quantity"),

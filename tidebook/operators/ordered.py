@@ -8,7 +8,8 @@ the later chunks. The result is the same as that of the plain window.
 
 `scan` makes any number of running values in one go: with their own keys, forward and backward, and
 sums of rises from row to row. However many there are, the input is read twice, once for the summaries and
-once for the windows, and its rows are shuffled once. Crowded time slices are found in the summaries.
+once for the windows, and its rows are shuffled once. With time slices, the summaries also tell the series
+long enough to be cut, and the crowded slices among theirs.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ PARTS = 16
 
 @dataclass(frozen=True)
 class Slices:
-    """Chunks of `seconds` by a time column; those with more than `limit` rows are walked in PARTS parts."""
+    """Chunks of `seconds` by a time column for series of more than `limit` rows; a chunk with more is walked in PARTS parts."""
 
     ts: str
     seconds: int = 600
@@ -189,31 +190,31 @@ def scan(df: DataFrame, order: list[str], chunk: Column | Slices, outputs: list[
     summaries = inner.groupBy(KEY, BASE, FINE).agg(
         F.count(F.lit(1)).alias("__rows"), *[c for out in outputs for c in _summaries(out, where)]
     )
+    befores = [F.col(f"__before_{out.name}") for out in outputs]
+    if sliced:
+        # A series of few rows is walked in one piece; only longer ones have rows on this side.
+        summaries = summaries.withColumn("__total", F.sum("__rows").over(Window.partitionBy(KEY))).filter(F.col("__total") > chunk.limit)
     carried = _carried(summaries.withColumn(CHUNK, F.col(BASE) * PARTS + F.col(FINE)), outputs)
-    befores = {out.name: F.col(f"__before_{out.name}") for out in outputs}
     if sliced:
         # A slice as a whole begins like its first part in the direction walked, a crowded one like each part.
-        each = F.collect_list(F.struct(F.col(FINE).alias("fine"), *[c.alias(n) for n, c in befores.items()]))
-        crowded = F.col("__rows") > chunk.limit
-        carried = (
-            carried.groupBy(KEY, BASE).agg(
-                F.sum("__rows").alias("__rows"), each.alias("__each"),
-                *[(F.max_by if out.backward else F.min_by)(f"__before_{out.name}", FINE).alias(f"__before_{out.name}") for out in outputs],
-            )
-            .select(KEY, BASE, F.when(crowded, F.col("__each")).alias("__each"), *befores.values())
-        )
-    else:
-        carried = carried.select(KEY, BASE, F.lit(None).cast("array<bigint>").alias("__each"), *befores.values())
-    # Chunks that begin with nothing are left out; so a short series costs no row on this side.
-    empty = " and ".join(["__each is null", *(f"__before_{out.name} is null" for out in outputs)])
-    joined = staged.join(carried.filter(f"not ({empty})"), [KEY, BASE], "left")
-    if sliced:
-        own = F.element_at(F.filter("__each", lambda p: p["fine"] == F.col(FINE)), 1)
-        joined = joined.withColumn("__own", F.when(F.col("__each").isNotNull(), own)).withColumns({
-            PART: F.when(F.col("__each").isNotNull(), F.col(FINE)).otherwise(-1),
-            **{f"__before_{n}": F.when(F.col("__each").isNotNull(), F.col(f"__own.{n}")).otherwise(c) for n, c in befores.items()},
-        })
+        slice_ = Window.partitionBy(KEY, BASE)
+        ends = slice_.orderBy(FINE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        crowded = F.sum("__rows").over(slice_) > chunk.limit
+        carried = carried.withColumns({
+            "__crowded": crowded, "__lowest": F.min(FINE).over(slice_),
+            **{f"__whole_{out.name}": (F.last if out.backward else F.first)(f"__before_{out.name}").over(ends) for out in outputs},
+        }).filter(F.col("__crowded") | (F.col(FINE) == F.col("__lowest"))).select(
+            KEY, BASE, F.when(F.col("__crowded"), F.col(FINE)).otherwise(-1).alias(PART),
+            *[F.when(F.col("__crowded"), c).otherwise(F.col(f"__whole_{out.name}")).alias(f"__before_{out.name}") for out, c in zip(outputs, befores, strict=True)],
+        ).withColumnsRenamed({KEY: "__key_of", BASE: "__base_of"})
+        met = (F.col(KEY) == F.col("__key_of")) & (F.col(BASE) == F.col("__base_of")) & F.col(PART).isin(-1, F.col(FINE))
+        joined = staged.join(carried, met, "left").drop("__key_of")
+        # Rows of short series have no part, and one chunk for all.
+        joined = joined.withColumn(BASE, F.col("__base_of"))
     else:
+        # Chunks that begin with nothing are left out; so a series within one chunk costs no row on this side.
+        empty = " and ".join(f"__before_{out.name} is null" for out in outputs)
+        joined = staged.join(carried.select(KEY, BASE, *befores).filter(f"not ({empty})"), [KEY, BASE], "left")
         joined = joined.withColumn(PART, F.lit(-1))
     if climbs:
         inside = Window.partitionBy(KEY, BASE, PART).orderBy(*order)

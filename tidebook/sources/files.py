@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.clock import FILE_STAMP, KST_STAMP, kst_date
 from tidebook.schemas import CANDLE_BATCH_FILE, MARKET_CODES, ORDER_RECORD, ORDER_RECORD_FILE, STREAM_FILE
+from tidebook.sources.versions import hadoop, names, publish_json, read_json
 
 # Name endings of the document files, <start>_<end>_<kind>.json per market folder.
 ORDERS_SUFFIX = "_orders.json"
@@ -42,19 +44,77 @@ def write_order_records(records: DataFrame, root: str, reset: bool) -> None:
     )
 
 
-def flush_order_records(records: DataFrame, root: str, flushed: set[str]) -> set[str]:
-    """One flush of a run: the first one of each market replaces its days, later ones append.
-
-    `flushed` names the markets this run has written before; the new set is returned. It has one
-    name per market of the records, of the dimension or not.
+_FLUSHES = "_flushes"
+
+
+def _publish_folder(spark: SparkSession, staged: str, target: str, prefix: str, reset: bool) -> None:
+    """Move a staged folder's files into the dataset under names of their flush; doing it again changes nothing."""
+    if reset:
+        for name in names(spark, target):
+            if not name.startswith(prefix):
+                path, fs = hadoop(spark, f"{target}/{name}")
+                fs.delete(path, True)
+    folder, fs = hadoop(spark, target)
+    fs.mkdirs(folder)
+    for name in names(spark, staged):
+        if name.endswith(".parquet"):
+            fs.rename(hadoop(spark, f"{staged}/{name}")[0], hadoop(spark, f"{target}/{prefix}{name}")[0])
+
+
+def _publish_flush(spark: SparkSession, root: str, run: str, number: int) -> None:
+    """Bring a staged flush into the dataset, as its manifest says, and mark it as done."""
+    base = f"{root}/{_FLUSHES}/{run}/{number:08d}"
+    manifest = read_json(spark, f"{base}.staged.json")
+    for folder in manifest["folders"]:
+        reset = folder.split("/")[0] in manifest["reset"]
+        _publish_folder(spark, f"{base}.data/{folder}", f"{root}/{folder}", f"{run}-{number:08d}-", reset)
+    publish_json(spark, f"{base}.done.json", manifest)
+    path, fs = hadoop(spark, f"{base}.data")
+    fs.delete(path, True)
+
+
+def recover_flushes(spark: SparkSession, root: str) -> None:
+    """Finish the flushes that were staged whole but not all published; what was staged in part is ignored."""
+    for run in names(spark, f"{root}/{_FLUSHES}"):
+        found = names(spark, f"{root}/{_FLUSHES}/{run}")
+        for name in found:
+            number, _, state = name.partition(".")
+            if state == "staged.json" and f"{number}.done.json" not in found:
+                _publish_flush(spark, root, run, int(number))
+
+
+def flush_order_records(records: DataFrame, root: str, run: str, number: int) -> set[str]:
+    """Flush `number` of a recording run: the first one of each market replaces its days, later ones append.
+
+    The rows are written to a staging folder first, then a manifest names its folders and which markets they
+    reset, then files are moved. A flush that broke off anywhere can be repeated, and one that was done is not
+    done again: either way there is one copy. Which markets the run has written before follows from its
+    manifests, in no process's memory. Rows without a market are left out. Gives the markets written so far.
     """
-    seen = {row.market for row in records.select("market").distinct().filter("market is not null").collect()}
-    known = F.col("market").isin(sorted(flushed)) if flushed else F.lit(False)
-    if seen - flushed:
-        write_order_records(records.filter(F.col("market").isNotNull() & ~known), root, reset=True)
-    if seen & flushed:
-        write_order_records(records.filter(known), root, reset=False)
-    return flushed | seen
+    spark, root = records.sparkSession, root.rstrip("/")
+    if not run or not all(c.isalnum() or c == "-" for c in run):
+        raise ValueError("a run's name has letters, digits and hyphens only")
+    recover_flushes(spark, root)
+    base = f"{root}/{_FLUSHES}/{run}"
+    before: set[str] = set()
+    for name in names(spark, base):
+        if name.endswith(".done.json"):
+            before.update(read_json(spark, f"{base}/{name}")["markets"])
+    if f"{number:08d}.done.json" not in names(spark, base):
+        staged = f"{base}/{number:08d}.data"
+        rows = records.filter(F.col("market").isNotNull()).withColumn("trade_date", kst_date(F.timestamp_millis("ts")))
+        (
+            rows.repartitionByRange("market", "trade_date", "ts").sortWithinPartitions("market", "trade_date", "ts")
+            .write.partitionBy("market", "trade_date").mode("overwrite").parquet(staged)
+        )
+        markets = [m for m in names(spark, staged) if m.startswith("market=")]
+        folders = [f"{m}/{d}" for m in markets for d in names(spark, f"{staged}/{m}")]
+        publish_json(spark, f"{base}/{number:08d}.staged.json", {
+            "markets": markets, "reset": [m for m in markets if m not in before], "folders": folders,
+        })
+        _publish_flush(spark, root, run, number)
+        before.update(markets)
+    return {unquote(m.removeprefix("market=")) for m in before}
 
 
 def read_order_records(spark: SparkSession, root: str, market: str | None = None, day: str | date | None = None) -> DataFrame:

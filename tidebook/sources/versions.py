@@ -39,6 +39,38 @@ class Table:
 Retirement = dict[str, tuple[Column, str | None]]
 
 
+def hadoop(spark: SparkSession, name: str):
+    """A path and the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    path, fs = hadoop(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def read_json(spark: SparkSession, name: str):
+    path, fs = hadoop(spark, name)
+    stream = fs.open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def publish_json(spark: SparkSession, name: str, content) -> bool:
+    """Write a small document under its name at once, or not at all; false if the name is taken."""
+    folder, _, last = name.rpartition("/")
+    draft, fs = hadoop(spark, f"{folder}/.{last}.draft")
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(json.dumps(content).encode()))
+    finally:
+        out.close()
+    return bool(fs.rename(draft, hadoop(spark, name)[0]))
+
+
 class VersionStore:
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, Table], keep: int = 8):
         self.spark, self.root, self.tables, self.keep = spark, root.rstrip("/"), tables, keep
@@ -46,23 +78,16 @@ class VersionStore:
     # ---- files ---------------------------------------------------------------------------
 
     def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return hadoop(self.spark, f"{self.root}/{name}")
 
     def _names(self, folder: str) -> list[str]:
-        path, fs = self._path(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        return names(self.spark, f"{self.root}/{folder}")
 
     def _pointers(self) -> list[str]:
         return [n for n in self._names("_pointers") if n.endswith(".json") and not n.startswith((".", "_"))]
 
     def _read_pointer(self, name: str) -> dict:
-        path, fs = self._path(f"_pointers/{name}")
-        stream = fs.open(path)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return read_json(self.spark, f"{self.root}/_pointers/{name}")
 
     def pointer(self) -> dict:
         """The newest commit: its number, its batch, and the versions and schema of every table."""
@@ -72,13 +97,7 @@ class VersionStore:
     def _publish(self, pointer: dict) -> None:
         before = self._pointers()
         name = f"{pointer['number']:012d}.json"
-        draft, fs = self._path(f"_pointers/.{name}.draft")
-        out = fs.create(draft, True)
-        try:
-            out.write(bytearray(json.dumps(pointer).encode()))
-        finally:
-            out.close()
-        if not fs.rename(draft, self._path(f"_pointers/{name}")[0]):
+        if not publish_json(self.spark, f"{self.root}/_pointers/{name}", pointer):
             raise RuntimeError(f"{self.root}: another writer has published {name}")
         self._sweep(pointer, before)
 
