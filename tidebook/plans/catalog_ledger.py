@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import book, ledger, series
 from tidebook.plans import flows
-from tidebook.plans.catalog_metrics import _candle_sql
+from tidebook.plans.catalog_metrics import _candle_sql, _tagged_sql
 from tidebook.plans.catalog_orders import MARKETS_SQL
 from tidebook.plans.fixtures import MARKET_22
 from tidebook.plans.registry import ORACLES, iso_sql, query
@@ -54,27 +54,27 @@ def _(v):
     return ledger.order_ledger(v.v_ledger_event, v.v_fill, "offset", FILL_ORDER)
 
 
-_NEW_MESSAGE = "json_valid(body) and json_extract_string(body, '$$.type') = 'NEW' and coalesce(json_type(body, '$$.price'), '') = 'VARCHAR'"
-_EXEC_MESSAGE = "json_valid(body) and body like '{%' and coalesce(json_type(body, '$$.quantity'), 'VARCHAR') = 'VARCHAR'"
+def _known(kind, market):
+    """Messages of a topic that can be read and are of a market of the dimension."""
+    topic = "v_order_topic" if kind else "v_exec_topic"
+    typed = f"json_extract_string(body, '$$.type') = '{kind}'" if kind else "body like '{%'"
+    return f"""(select body::json as body, message_id from (select message_id, case when json_valid(body) and {typed} then body end as body from {topic})
+               where body is not null and body::json->>'$$.{market}' <> 'KRW-NONE')"""
 
 
 @query("ledger_from_messages", f"""
-    with opened as (select body->>'$$.orderId' as order_id, body->>'$$.market' as market_code, (body->>'$$.quantity')::decimal(24,8) as quantity
-                    from (select case when {_NEW_MESSAGE} then body::json end as body from v_order_raw) where body is not null),
-    done as (select body->>'$$.buyOrderId' as b, body->>'$$.sellOrderId' as s, (body->>'$$.quantity')::decimal(24,8) as q,
-                    (body->>'$$.price')::decimal(24,8) as p, message_id
-             from (select message_id, case when {_EXEC_MESSAGE} then body::json end as body from v_exec_raw) where body is not null
-             qualify row_number() over (partition by b, s order by message_id, p, q) = 1),
+    with opened as (select body->>'$$.orderId' as order_id, body->>'$$.market' as market_code, (body->>'$$.quantity')::decimal(24,8) as quantity from {_known('NEW', 'market')}),
+    stopped as (select distinct body->>'$$.orderId' as order_id from {_known('CANCEL', 'market')}),
+    done as (select distinct body->>'$$.buyOrderId' as b, body->>'$$.sellOrderId' as s, (body->>'$$.quantity')::decimal(24,8) as q from {_known(None, 'market')}),
     filled as (select order_id, sum(q) as filled from (select b as order_id, q from done union all select s, q from done) group by 1)
     select o.order_id, market_code, (quantity - coalesce(filled, 0))::double as remaining_quantity,
-           case when quantity <= coalesce(filled, 0) then 'FILLED' when filled > 0 then 'PARTIALLY_FILLED' else 'ACCEPTED' end as status
-    from opened o left join filled f on f.order_id = o.order_id""")
+           case when quantity <= coalesce(filled, 0) then 'FILLED' when c.order_id is not null then 'CANCELED'
+                when filled > 0 then 'PARTIALLY_FILLED' else 'ACCEPTED' end as status
+    from opened o left join filled f on f.order_id = o.order_id left join stopped c on c.order_id = o.order_id""")
 def _(v):
-    orders = v.v_order_raw.withColumnRenamed("message_id", "offset")
-    executions = v.v_exec_raw.withColumnRenamed("message_id", "offset")
-    return flows.ledger_from_messages(orders, executions, known_markets=False).select(
-        "order_id", "market_code", "remaining_quantity", "status"
-    )
+    orders = v.v_order_topic.withColumnRenamed("message_id", "offset")
+    executions = v.v_exec_topic.withColumnRenamed("message_id", "offset")
+    return flows.ledger_from_messages(orders, executions).select("order_id", "market_code", "remaining_quantity", "status")
 
 
 @query("replay_plan", """
@@ -210,8 +210,9 @@ def _(v):
 def _(v):
     root = work_folder(v.spark)
     rows = v.v_record.select(F.col("market_code").alias("market"), "ts", "side", "price", "quantity", "order_id")
-    files.write_order_records(rows.filter(F.col("side") == "BUY"), root, reset=True)
-    files.write_order_records(rows.filter(F.col("side") == "SELL"), root, reset=False)
+    files.flush_order_records(rows.filter(F.col("side") == "BUY"), root, "run", 0)
+    for _ in range(2):  # the second flush is repeated, which leaves one copy
+        files.flush_order_records(rows.filter(F.col("side") == "SELL"), root, "run", 1)
     return files.read_order_records(v.spark, root).drop("trade_date")
 
 
@@ -274,16 +275,15 @@ def _(v):
     )
 
 
-@query("read_stream_files", """
-    select market_code as market, strftime(ts + interval 9 hour, '%Y-%m-%d') as trade_date, count(*) as ticks, sum(volume) as volume
-    from v_tick group by 1, 2""")
+@query("read_stream_files", f"""
+    select market_code as market, strftime(make_timestamp(ts * 1000) + interval 9 hour, '%Y-%m-%d') as trade_date, type, ts, open, high, low, close,
+           volume, price, side from ({_tagged_sql()})""")
 def _(v):
     root = work_folder(v.spark)
     candles = series.all_candles(v.v_tick)
     stream = series.build_stream(candles["second"], candles["minute"], v.v_tick)
     files.write_stream_rows(stream, root)
-    ticks = files.read_stream_rows(v.spark, root).filter(F.col("type") == "trade_tick")
-    return ticks.groupBy("market", "trade_date").agg(F.count(F.lit(1)).alias("ticks"), F.sum("volume").alias("volume"))
+    return files.read_stream_rows(v.spark, root)
 
 
 _STORED_SQL = """select distinct market_code, strftime(make_timestamp(ts * 1000) + interval 9 hour, '%Y-%m-%d') as d,

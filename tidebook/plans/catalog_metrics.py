@@ -258,9 +258,9 @@ def _(v):
     return series.by_kst_day(v.v_sample).groupBy("trade_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("range_filter", "select order_id, market_code, ts from v_record where ts >= 1700000500000")
+@query("range_filter", "select order_id, market_code, ts from v_record where ts >= 1700000500000 and ts <= 1700003000000")
 def _(v):
-    return series.range_filter(v.v_record, from_ts=1700000500000).select("order_id", "market_code", "ts")
+    return series.range_filter(v.v_record, from_ts=1700000500000, to_ts=1700003000000).select("order_id", "market_code", "ts")
 
 
 @query("hysteresis", """

@@ -19,6 +19,7 @@ _MARKET_20 = "case o_custkey % 20 " + " ".join(f"when {i} then '{m}'" for i, m i
 MARKET_22 = (
     "case o_custkey % 22 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(MARKET_CODES)) + " else 'KRW-NONE' end"
 )
+_EXEC_MARKET = "case l_orderkey % 22 " + " ".join(f"when {i} then '{m}'" for i, m in enumerate(MARKET_CODES)) + " else 'KRW-NONE' end"
 _DAY = "substr(cast(o_orderdate as string), 1, 10) || 'T00:00:00.000Z'"
 _KEY = "cast(o_orderkey as string)"
 
@@ -93,6 +94,27 @@ VIEWS = {
                          || '","sellOrderId":"ord_' || cast(l_orderkey + l_linenumber as string) || '","price":"'
                          || cast(l_extendedprice as string) || '","quantity":"' || cast(l_quantity as string) || '"}' end as body
         from $lineitem""",
+    "v_order_topic": f"""
+        select o_orderkey * 2 as message_id,
+               case when o_orderkey % 41 = 0 then 'not json'
+                    when o_orderkey % 37 = 0 then '{{"type":"WEIRD","orderId":"ord_' || {_KEY} || '"}}'
+                    else '{{"type":"NEW","orderId":"ord_' || {_KEY} || '","market":"' || {MARKET_22} || '","side":"'
+                         || case when o_custkey % 2 = 0 then 'BUY' else 'SELL' end || '","price":"'
+                         || cast(o_totalprice as string) || '","quantity":"' || cast(1 + o_orderkey % 9 as string)
+                         || '","acceptedAt":"' || {_DAY} || '","clientRequestId":"","mode":"REPLAY"}}' end as body
+        from $orders
+        union all
+        select o_orderkey * 2 + 1, '{{"type":"CANCEL","orderId":"ord_' || {_KEY} || '","market":"' || {MARKET_22}
+               || '","canceledAt":"' || {_DAY} || '"}}'
+        from $orders where o_orderstatus = 'O'""",
+    "v_exec_topic": f"""
+        select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string)
+                 || '-' || cast(l_suppkey as string) as message_id,
+               case when l_partkey % 41 = 0 then '[]'
+                    else '{{"market":"' || {_EXEC_MARKET} || '","buyOrderId":"ord_' || cast(l_orderkey as string)
+                         || '","sellOrderId":"ord_' || cast(l_orderkey + l_linenumber as string) || '","price":"'
+                         || cast(l_extendedprice as string) || '","quantity":"' || cast(1 + l_linenumber % 2 as string) || '"}}' end as body
+        from $lineitem""",
     "v_assign_raw": """
         select event_id as message_id,
                case when event_id % 41 = 0 then '{"type":' when event_id % 37 = 0 then '{"type":"OTHER"}'
