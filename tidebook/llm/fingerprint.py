@@ -129,8 +129,9 @@ def with_next(docs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     # One row per chunk from here on: its first row, beside the chunk above it.
     tops = texts.groupBy("__chunk").agg(F.max("doc_id").alias("__top"))
     tops = tops.select(F.col("__chunk").alias("__lower"), "__top")
+    # At most one row for each of 4096 chunks, so the texts stay where they are.
     firsts = (
-        texts.join(tops, (F.col("__chunk") == F.col("__lower")) & F.col("doc_id").eqNullSafe(F.col("__top")))
+        texts.join(F.broadcast(tops), (F.col("__chunk") == F.col("__lower")) & F.col("doc_id").eqNullSafe(F.col("__top")))
         .groupBy("__lower").agg(F.min("text").alias("__text"))
     )
     firsts = sketch(firsts, F.col("__text"), "__sketch")
