@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.functions.clock import within
 from tidebook.operators import integrity, orders, series
 from tidebook.plans.catalog import QUERIES
+from tidebook.plans.fixtures import view
 from tidebook.sources.tables import read_table
 
 # Streams run when they are built.
@@ -61,3 +62,12 @@ def test_overfilled_sums_before_the_join(spark, small):
         assert text.count("Exchange hashpartitioning") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name,source", [
+    ("replay_schedule", "v_record"), ("assignment_intervals", "v_assign"), ("hysteresis", "v_sample"), ("asof_delta", "v_sample"),
+    ("counter_rate", "v_counter"), ("offset_dedup", "v_delivered"),
+])
+def test_running_values_read_their_input_twice(spark, small, name, source):
+    once = plan(view(spark, small, source)).count("FileScan")
+    assert plan(QUERIES[name](spark, small)).count("FileScan") <= 2 * once
