@@ -124,3 +124,9 @@ def test_query_equals_brute_force(spark, small):
     docs = [(r.doc_id, r.text) for r in read(spark, small, "documents").select("doc_id", "text").collect()]
     items = [(r.item_id, r.text) for r in read(spark, small, "benchmark").collect()]
     assert rows_of(queries.op12_ball_tree(spark, small)) == brute(docs, items)
+
+
+def test_query_equals_its_sql(spark, small):
+    from compare import connect, duck_table, spark_table
+
+    assert spark_table(queries.op12_ball_tree(spark, small)) == duck_table(connect(small), queries.ORACLES["op12_ball_tree"])
