@@ -39,6 +39,14 @@ def test_long_texts_without_white_space(known):
     check(known, chunks.ChunkCoder(known, bits=4), ["long" * 30_000, "漢字" * 5_000, "x " * 40_000, "", "\n" * 9000])
 
 
+def test_stretches_of_long_texts(known):
+    coder = chunks.ChunkCoder(known, bits=3)
+    texts = ["one two  three it's <|endoftext|>x " * 60, "", "no" * 300, "short text", "\n\n" + "a b " * 90]
+    found = coder.encode_all([t.encode() for t in texts], limit=100)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in found] == [expected(known, t)[0] for t in texts]
+    assert b"".join(chunks.stretches(texts[0].encode(), 64)).decode() == texts[0]
+
+
 def test_passages_are_cut_alike_and_encoded_once(known):
     rng = np.random.default_rng(2)
     passage = " ".join(f"w{i}" for i in rng.integers(0, 5000, 2000))

@@ -19,6 +19,7 @@ whole. Repeated rows give repeated rows. Other columns are not read, whatever th
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,11 +34,12 @@ from tidebook.llm.vocabulary import Vocabulary, default_path, vocabulary
 # A cut about every 256 bytes.
 CUT_BITS = 8
 WINDOW = 32
-# Text handled at once.
+# Text handled at once; a longer text is cut at white space, which no token crosses.
 GROUP_BYTES = 2_000_000
 # Chunks and joins that a worker keeps; beyond it the older half goes.
 KEPT_CHUNKS = 300_000
 KEPT_JOINS = 100_000
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 def _gears() -> np.ndarray:
@@ -69,6 +71,18 @@ def cuts(raw: np.ndarray, begins: np.ndarray, bits: int = CUT_BITS) -> np.ndarra
     return found[found - begin >= WINDOW]
 
 
+def stretches(text: bytes, limit: int) -> Iterator[bytes]:
+    """A text in stretches of about `limit` bytes that begin with white space."""
+    begin = 0
+    while len(text) - begin > limit:
+        found = _SPACE.search(text, begin + limit)
+        if found is None:
+            break
+        yield text[begin : found.start()]
+        begin = found.start()
+    yield text[begin:]
+
+
 class Kept(dict):
     """A memo that forgets its older half when it is full."""
 
@@ -147,6 +161,15 @@ class ChunkCoder:
             out.append((b"".join(row), counts[i]))
         return out
 
+    def encode_all(self, texts: list[bytes], limit: int = 4 * GROUP_BYTES) -> list[tuple[bytes, int]]:
+        """encode(), with texts of more than `limit` bytes a stretch at a time."""
+        if len(texts) == 1 and len(texts[0]) > limit:
+            found = [self.encode([part])[0] for part in stretches(texts[0], limit)]
+            return [(b"".join(ids for ids, _ in found), sum(n for _, n in found))]
+        if any(len(t) > limit for t in texts):
+            return [row for text in texts for row in self.encode_all([text], limit)]
+        return self.encode(texts)
+
     def _inside_ids(self, insides: list[bytes]) -> list[bytes]:
         kept = self.chunks
         found = [kept[x] for x in insides]
@@ -226,7 +249,7 @@ def coded(
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in groups(texts, GROUP_BYTES):
-                found = coder.encode(texts[a:b])
+                found = coder.encode_all(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
