@@ -9,7 +9,7 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Texts are handled in groups of about so many bytes; longer ones are cut between words.
-BLOCK = 2_000_000
+BLOCK = 500_000
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
