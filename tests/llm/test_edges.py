@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from tidebook.llm import fingerprint, language_model, lines, minhash, mixing, neighbours, packing, token_counts, toxicity, vocabulary, warc
 
 
@@ -315,3 +317,38 @@ def test_minhash_components_that_meet_in_buckets_equal_brute_force(spark):
                 low, high = sorted((component[i], component[j]))
                 component = [low if c == high else c for c in component]
     assert {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()} == dict(enumerate(component))
+
+
+def test_minhash_family_below_the_threshold_tells_each_class_once(spark):
+    """Texts just too far apart to be linked: rows told grow with the texts, not with their pairs, and there is no link."""
+    told = {}
+    for size in (60, 120):
+        rng = np.random.default_rng(5)
+        texts = []
+        for i in range(size):
+            words = [f"w{j}" for j in range(300)]
+            for place in rng.choice(300, 8, replace=False):
+                words[place] = f"own{i}x{place}"
+            texts.append(" ".join(words))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        if size == 60:
+            assert all(r.component_id == r.doc_id for r in minhash.near_copies(docs).collect())
+        classes = minhash.signatures(docs).withColumnRenamed("doc_id", "rep")
+        banded = classes.select("key", F.explode("bands").alias("band"))
+        members = banded.join(banded.groupBy("band").agg(F.min("key").alias("leader"), F.count("key").alias("n")).filter("n > 1").drop("n"), "band")
+        rows = minhash._across(members, classes, classes.select("key", "n_shingles", F.col("rep").alias("component")))
+        told[size] = rows.count()
+        assert rows.groupBy("band", "block", "asks", "key").count().filter("count > 1").isEmpty()
+    assert 0 < told[60] <= 60 * 2 * minhash.PERMUTATIONS // minhash.ROWS
+    assert told[120] <= 120 * 2 * minhash.PERMUTATIONS // minhash.ROWS
+
+
+def test_minhash_blocks_join_components_once(spark, monkeypatch):
+    """With blocks of a few sets, components equal those of whole buckets."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(130)]
+    texts = [" ".join(words[b : b + 90]) for b in rng.integers(0, 40, 80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()}
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 4)
+    assert {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()} == whole

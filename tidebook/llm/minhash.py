@@ -9,9 +9,10 @@ threshold are confirmed on the full sets. A pair at the threshold shares no band
 
 Documents with the same set are one class from the start. In each bucket every class first meets the
 smallest one, and links so found give components. Only buckets that then hold several components are
-looked at again: classes outside the main component meet all others, in blocks of bounded size, first for the
-best pair of each two components, then, where these did not link, for all pairs. So no link between
-components is lost and groups of copies are not expanded into pairs.
+looked at again: classes outside the main component meet all others, in blocks of bounded size. Of a block only the
+classes with a candidate in another component are told, each once; their full sets then meet in the block, where
+every candidate is confirmed and a link is given only if it joins components not yet joined there. So no link between
+components is lost, and neither groups of copies nor families just below the threshold are expanded into pairs.
 
 Nulls and empty texts have no set and are linked with nothing. Rows with a null id are linked with
 nothing, too, and kept. Rows of one id are one document for the links. Extra columns do not matter.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.llm import tables
 from tidebook.llm.components import components
 from tidebook.llm.hashing import document_words, mix, shingles
 from tidebook.session import cut
@@ -35,6 +37,7 @@ PERMUTATIONS, ROWS, BITS = 128, 4, 4
 NUMERATOR, DENOMINATOR = 75, 100
 SLACK = 0.2  # estimates down to the threshold less this are confirmed on full sets
 BLOCK_SETS = 1024  # sets that meet in one task at once, at most about
+BLOCK_SHINGLES = 1 << 21  # and their shingles, at most about, but for single larger sets
 MET_AT_ONCE = 1 << 16  # pairs compared in one step
 FILTER_BITS = 1 << 23
 
@@ -209,17 +212,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame, spark) -> DataFrame:
     return cut(near.select("key", "with", "packed", "packed_with").mapInArrow(run, "key binary, with binary"), spark)
 
 
-def _across(members: DataFrame, classes: DataFrame, component_of: DataFrame, best: bool) -> DataFrame:
-    """Pairs of classes that share a bucket, lie in different components and are estimated similar.
-
-    best: of each two components that meet in a block only pairs with the highest estimate.
-    """
+def _across(members: DataFrame, classes: DataFrame, component_of: DataFrame) -> DataFrame:
+    """(band, block, asks, key, component) of classes with a candidate of another component in the block: one that
+    shares the bucket and is estimated similar. Held classes have asks 0, those that meet them 1."""
     placed = members.join(component_of, "key").withColumn("main", F.col("key") == F.col("leader"))
+    facts = classes.select("key", "packed", "bands")
     mixed = placed.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES).alias("full"),
         F.max(F.when(F.col("main"), F.col("component"))).alias("main_component"),
-    ).filter("low < high").select("band", "main_component", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("blocks"))
-    facts = classes.select("key", "n_shingles", "packed", "bands")
+    ).filter("low < high").select("band", "main_component", F.ceil("full").cast("int").alias("blocks"))
     rows = placed.join(mixed, "band").join(facts, "key").select(
         "band", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "key", "component", "n_shingles",
         "packed", "bands", (F.col("component") != F.col("main_component")).alias("minor"), "blocks",
@@ -236,7 +238,7 @@ def _across(members: DataFrame, classes: DataFrame, component_of: DataFrame, bes
             if not len(part.band):
                 continue
             ends = np.flatnonzero((np.diff(part.band) != 0) | (np.diff(part.block) != 0) | (np.diff(part.asks) != 0)) + 1
-            found: list[tuple[bytes, bytes]] = []
+            told: list[tuple] = []
             for begin, end in zip(np.append(0, ends), np.append(ends, len(part.band)), strict=True):
                 here = (part.band[begin], part.block[begin])
                 if here != place:
@@ -244,13 +246,78 @@ def _across(members: DataFrame, classes: DataFrame, component_of: DataFrame, bes
                 rows_here = part.rows(slice(begin, end))
                 if not part.asks[begin]:
                     held.append(rows_here)
+                    continue
+                for left in held:
+                    before = left.told.copy()
+                    _meet(left, rows_here)
+                    told += [(*here, 0, left.key[i], left.component[i]) for i in np.flatnonzero(left.told & ~before)]
+                told += [(*here, 1, rows_here.key[i], rows_here.component[i]) for i in np.flatnonzero(rows_here.told)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row[i] for row in told], kind) for i, kind in enumerate(kinds)], names=["band", "block", "asks", "key", "component"]
+            )
+
+    dealt = met.repartition("band", "block").sortWithinPartitions("band", "block", "asks")
+    return cut(dealt.mapInArrow(run, "band bigint, block int, asks int, key binary, component bigint"), members.sparkSession)
+
+
+def _joining(docs: DataFrame, told: DataFrame, classes: DataFrame) -> DataFrame:
+    """Confirmed links (key, with) of told classes, at most one fewer in a block than components meet there."""
+    spark = docs.sparkSession
+    sets = cut(_chosen_sets(docs, told.select("key").distinct().join(classes.select("key", "rep"), "key")), spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, block = None, None
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            columns = (batch.column(c).to_pylist() for c in ("band", "block", "asks", "key", "component"))
+            for band, number, asks, key, component, members in zip(*columns, tables.values(batch.column("members")), strict=True):
+                if (band, number) != place:
+                    place, block = (band, number), Block()
+                if asks:
+                    found += block.links(key, component, np.frombuffer(members, np.uint64))
                 else:
-                    found += [pair for left in held for pair in _met(left, rows_here, best)]
+                    block.hold(key, component, np.frombuffer(members, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in found], pa.binary()) for i in (0, 1)], names=["key", "with"])
 
-    dealt = met.repartition("band", "block").sortWithinPartitions("band", "block", "asks")
-    pairs = dealt.mapInArrow(run, "key binary, with binary")
-    return pairs.select(F.least("key", "with").alias("key"), F.greatest("key", "with").alias("with")).distinct()
+    met = told.join(sets, "key").repartition("band", "block").sortWithinPartitions("band", "block", "asks")
+    return cut(met.mapInArrow(run, "key binary, with binary"), spark)
+
+
+class Block:
+    """Full sets held in one block, and which components links have joined so far."""
+
+    def __init__(self):
+        self.keys, self.components, self.sets = [], [], []
+        self.known = None
+        self.joined: dict[int, int] = {}
+
+    def hold(self, key: bytes, component: int, members: np.ndarray) -> None:
+        self.keys.append(key)
+        self.components.append(component)
+        self.sets.append(members)
+
+    def _root(self, component: int) -> int:
+        while self.joined.get(component, component) != component:
+            self.joined[component] = component = self.joined.get(self.joined[component], self.joined[component])
+        return component
+
+    def links(self, key: bytes, component: int, members: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """Links of a set to held sets whose components are not yet joined with its own."""
+        if self.known is None:
+            self.sizes = np.array([len(m) for m in self.sets])
+            self.begins = np.cumsum(self.sizes) - self.sizes
+            self.known, self.places = np.unique(np.concatenate(self.sets), return_inverse=True)
+            self.sets = []
+        at = np.minimum(np.searchsorted(self.known, members), len(self.known) - 1)
+        mark = np.zeros(len(self.known), bool)
+        mark[at[self.known[at] == members]] = True
+        both = np.add.reduceat(mark[self.places], self.begins, dtype=np.int64)
+        for i in np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (self.sizes + len(members) - both)):
+            one, other = self._root(component), self._root(self.components[i])
+            if one != other:
+                self.joined[max(one, other)] = min(one, other)
+                yield key, self.keys[i]
 
 
 class Side:
@@ -268,6 +335,7 @@ class Side:
         self.order = np.frombuffer(b"".join(self.key), np.uint64)[::2]
         self.packed = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.uint64).reshape(size, -1)
         self.bands = batch.column("bands").flatten().to_numpy().reshape(size, -1)
+        self.told = np.zeros(size, bool)
 
     def rows(self, pick: slice) -> Side:
         out = Side(None)
@@ -275,33 +343,27 @@ class Side:
         return out
 
 
-def _met(left: Side, right: Side, best: bool) -> Iterator[tuple[bytes, bytes]]:
-    """Similar pairs of different components, of each two components only the best if so asked.
+def _meet(left: Side, right: Side) -> None:
+    """Mark as told the classes of both sides that are estimated similar to one of the other side and another component.
 
-    A pair that shares several buckets is told in the first of them only.
+    A pair that shares several buckets counts in the first of them only.
     """
     step = max(1, MET_AT_ONCE // len(left.band))
     for begin in range(0, len(right.band), step):
-        some = right.rows(slice(begin, begin + step))
+        some = right.rows(slice(begin, begin + step))  # a view: what is told there is told in `right`
         fit = (some.component[:, None] != left.component) & (
             DENOMINATOR * np.minimum(some.size[:, None], left.size) >= NUMERATOR * np.maximum(some.size[:, None], left.size)
         )
         # Two minor classes would meet twice, once from each side.
         fit &= ~left.minor | (left.order <= some.order[:, None])
         r, l = np.nonzero(fit)
-        value = estimate(some.packed[r], left.packed[l])
-        near = value >= NUMERATOR / DENOMINATOR - SLACK
-        r, l, value = r[near], l[near], value[near]
-        same = some.bands[r] == left.bands[l]
-        here = left.bands[l, same.argmax(axis=1)] == left.band[0] if len(r) else np.zeros(0, bool)
-        r, l, value = r[here], l[here], value[here]
-        if best and len(r) > 1:
-            low = np.minimum(some.component[r], left.component[l])
-            high = np.maximum(some.component[r], left.component[l])
-            order = np.lexsort((-value, high, low))
-            first = np.append(True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0))
-            r, l = r[order[first]], l[order[first]]
-        yield from zip(some.key[r], left.key[l], strict=True)
+        near = estimate(some.packed[r], left.packed[l]) >= NUMERATOR / DENOMINATOR - SLACK
+        r, l = r[near], l[near]
+        if len(r):
+            same = some.bands[r] == left.bands[l]
+            here = left.bands[l, same.argmax(axis=1)] == left.band[0]
+            some.told[r[here]] = True
+            left.told[l[here]] = True
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -321,7 +383,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     stars = cut(stars, spark)
     first = _confirmed(docs, stars, classes)
 
-    reps = classes.select("key", "rep")
+    reps = classes.select("key", "rep", "n_shingles")
     ends = reps.select(F.col("key").alias("with"), F.col("rep").alias("b"))
     # Rows of one id in different classes tie these classes together.
     several = Window.partitionBy("doc_id")
@@ -334,15 +396,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     def with_component(found: DataFrame) -> DataFrame:
         node = found.select(F.col("node").alias("rep"), "component")
-        return reps.join(node, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-
-    seen = stars.select(F.least("key", "with").alias("key"), F.greatest("key", "with").alias("with"))
-    found = first
-    for best in (True, False):
-        across = cut(_across(members, classes, cut(with_component(linked(found)), spark), best).join(seen, ["key", "with"], "left_anti"), spark)
-        found = found.union(_confirmed(docs, across, classes))
-        seen = seen.union(across)
-    final = with_component(linked(found))
+        return reps.join(node, "rep", "left").select("key", "n_shingles", F.coalesce("component", "rep").alias("component"))
+
+    told = _across(members, classes, cut(with_component(linked(first)), spark))
+    final = with_component(linked(first.union(_joining(docs, told, classes)))).drop("n_shingles")
     rows = signed.select("doc_id", "n_shingles", "key").join(final, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select(
