@@ -6,22 +6,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.llm import lines, minhash, mixing, packing, toxicity
-from tidebook.llm.tables import read
+from tidebook.llm.tables import read, small_batches
 from tidebook.session import cut
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon does not reject."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat an earlier one or nearly so; n_chars follows the text."""
+    small_batches(spark)
     return lines.deduplicated(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return minhash.deduplicated(docs)
 
 
@@ -32,6 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs).drop("ids")
 
 

@@ -15,12 +15,18 @@ SCHEMAS = {
     "benchmark": "item_id bigint, text string",
     "pages": "page_id bigint, url string, html string",
 }
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets this session's Python workers take BATCH_BYTES at once, so that batches of long texts stay small in worker and JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def values(column: pa.Array, rows: int = 256) -> Iterator:
     """A column's Python values, made a few rows at a time so that long texts are not held twice."""
     for begin in range(0, len(column), rows):
