@@ -1,5 +1,8 @@
 """Every operator on odd input: results as the docstrings define them."""
 
+import collections
+import math
+import re
 import zlib
 
 import numpy as np
@@ -352,3 +355,27 @@ def test_minhash_blocks_join_components_once(spark, monkeypatch):
     whole = {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()}
     monkeypatch.setattr(minhash, "BLOCK_SETS", 4)
     assert {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()} == whole
+
+
+def test_language_model_base_equals_brute_force(spark, small):
+    """Counts and base of every document, from plain Python over whole texts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+
+    def tokens(text):
+        lower = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+        return [*re.findall(rb"[^\x20\x09-\x0D]+", lower), None]
+
+    counts = collections.Counter()
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
+            counts.update(tokens(r.text))
+    total, distinct = counts.total(), len(counts)
+    made = {r.doc_id: r for r in language_model.scored(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    assert len(made) == len(docs)
+    for r in docs:
+        own, row = tokens(r.text), made[r.doc_id]
+        base = sum(math.log10((counts[t] + 1) / (total + distinct + 1)) for t in own)
+        assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (
+            zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(own), sum(counts[t] > 0 for t in own), total
+        )
+        assert row.base_score == pytest.approx(base, rel=1e-9)
