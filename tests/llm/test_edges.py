@@ -379,3 +379,24 @@ def test_language_model_base_equals_brute_force(spark, small):
             zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(own), sum(counts[t] > 0 for t in own), total
         )
         assert row.base_score == pytest.approx(base, rel=1e-9)
+
+
+def test_packing_under_a_loss_limit(spark):
+    """Prompts bear no loss; the loss limit binds below the token limit, and every id of repeated rows lies in one piece."""
+    known = vocabulary.vocabulary(vocabulary.default_path())
+    rows = [(i // 2, "tell me more about it " * (i % 5), "an answer of some words " * (1 + i % 9)) for i in range(60)]
+    rows += [(100, None, "only text " * 40), (101, "only prompt " * 30, None), (102, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, prompt string, text string")
+    pieces = packing.pack(docs, prompt_column="prompt", limits=packing.Limits(64, 8, 24)).collect()
+
+    def ids(text):
+        return known.library.encode(text or "", add_special_tokens=False).ids
+
+    assert sum(p.length for p in pieces) == sum(len(ids(prompt)) + len(ids(text)) + 1 for _, prompt, text in rows)
+    assert sum(p.loss_tokens for p in pieces) == sum(len(ids(text)) + 1 for _, _, text in rows)
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p.sequence_id, []).append(p)
+    for parts in sequences.values():
+        assert sum(p.length for p in parts) <= 64 and sum(p.loss_tokens for p in parts) <= 24 and len(parts) <= 8
+    assert any(sum(p.loss_tokens for p in parts) == 24 and sum(p.length for p in parts) < 64 for parts in sequences.values())
