@@ -10,7 +10,7 @@ from tidebook.plans.catalog_metrics import _candle_sql, _tagged_sql
 from tidebook.plans.catalog_orders import MARKETS_SQL
 from tidebook.plans.fixtures import MARKET_22
 from tidebook.plans.registry import ORACLES, iso_sql, query
-from tidebook.session import work_folder
+from tidebook.session import small_tasks, work_folder
 from tidebook.sources import decode, files
 from tidebook.sources.tables import stream_table
 from tidebook.streaming import accept, jobs, sessions
@@ -320,12 +320,22 @@ def _(v):
 
 # ---- streams -----------------------------------------------------------------------------
 
-def _arriving(v, rows, part, parts):
-    """Rows as a stream that arrives in `parts` micro-batches, by a number from 0 on."""
-    root = f"{work_folder(v.spark)}/in"
-    rows.withColumn("__part", part).repartition(parts, "__part").write.partitionBy("__part").parquet(root)
-    reader = v.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
-    return reader.parquet(root)
+_FILE_ROWS = 1 << 19
+
+
+def _drained(v, run, *topics):
+    """Drain a stream over topics whose rows arrive in micro-batches, by a number from 0 on.
+
+    `topics` are pairs of rows and that number; `run` starts the stream over one streaming frame for each. The rows
+    of a number are written by the tasks that read them, however many, and one start takes them up in one micro-batch.
+    """
+    roots = [f"{work_folder(v.spark)}/in" for _ in topics]
+    numbers = {row[0] for rows, number in topics for row in rows.select(number).distinct().collect()}
+    for n in sorted(numbers, key=lambda n: (n is None, n)):
+        for (rows, number), root in zip(topics, roots):
+            rows.filter(number.eqNullSafe(F.lit(n))).write.option("maxRecordsPerFile", _FILE_ROWS).mode("append").parquet(root)
+        streams = [v.spark.readStream.schema(rows.schema).parquet(root) for (rows, _), root in zip(topics, roots)]
+        run(*streams).awaitTermination()
 
 
 def _folders(v):
@@ -342,8 +352,7 @@ def _(v):
         F.to_json(F.struct("event_id", "value")).alias("body"), F.col("ts").alias("ingested_at"),
         F.col("event_type").alias("market_code"), F.col("event_id").alias("offset"),
     )
-    arriving = _arriving(v, messages, F.pmod("offset", F.lit(3)), 3)
-    jobs.archive_stream(arriving, table, checkpoint, drain=True).awaitTermination()
+    _drained(v, lambda arriving: jobs.archive_stream(arriving, table, checkpoint, drain=True), (messages, F.pmod("offset", F.lit(3))))
     stored = v.spark.read.schema("body string, market_code string, archived_on string, flush bigint").json(table)
     found = F.from_json("body", "event_id bigint, value double")
     return stored.withColumn("message", found).select("message.event_id", "market_code", "message.value", "archived_on", "flush")
@@ -355,8 +364,12 @@ def _(v):
 def _(v):
     root, checkpoint = _folders(v)
     rows = v.v_counter.select("event_type", "ts", "event_id")
-    counts = jobs.live_counts(_arriving(v, rows, F.pmod("event_id", F.lit(3)), 3), "ts", "orders", "event_type")
-    jobs.upsert_stream(counts, root, checkpoint, ["event_type", "minute"], drain=True).awaitTermination()
+
+    def run(arriving):
+        counts = jobs.live_counts(arriving, "ts", "orders", "event_type")
+        return jobs.upsert_stream(counts, root, checkpoint, ["event_type", "minute"], drain=True)
+
+    _drained(v, run, (rows, F.pmod("event_id", F.lit(3))))
     return jobs.current_rows(v.spark, root, ["event_type", "minute"])
 
 
@@ -383,11 +396,14 @@ def _(v):
 @query("order_ledger_stream", _LEDGER_SHOWN)
 def _(v):
     root, checkpoint = _folders(v)
+    small_tasks(v.spark)
     # Orders and their cancels arrive apart; copies of an execution's pair arrive together, the first one counts.
-    events = _arriving(v, v.v_ledger_event, F.pmod("offset", F.lit(2)), 2)
     fills = v.v_fill.withColumn("offset", F.unix_micros("executed_at")).drop("price")
-    executions = _arriving(v, fills, F.pmod("sell_order_id", F.lit(2)), 2)
-    stream_ledger.start(stream_ledger.ledger_job(events, executions, root, checkpoint), True, jobs.INGEST_INTERVAL).awaitTermination()
+
+    def run(events, executions):
+        return stream_ledger.start(stream_ledger.ledger_job(events, executions, root, checkpoint), True, jobs.INGEST_INTERVAL)
+
+    _drained(v, run, (v.v_ledger_event, F.pmod("offset", F.lit(2))), (fills, F.pmod("sell_order_id", F.lit(2))))
     return stream_ledger.current_ledger(stream_ledger.ledger_store(v.spark, root))
 
 
@@ -396,8 +412,11 @@ def _(v):
     root, checkpoint = _folders(v)
     requests = v.v_request.select("client_request_id", "ts", "event_id")
     # Each micro-batch has rows of the whole time, so all but the first bring late ones.
-    arriving = _arriving(v, requests, F.pmod("event_id", F.lit(5)), 5)
-    stream_ledger.start(accept.accept_job(arriving, root, checkpoint, id_column="event_id"), True, jobs.INGEST_INTERVAL).awaitTermination()
+
+    def run(arriving):
+        return stream_ledger.start(accept.accept_job(arriving, root, checkpoint, id_column="event_id"), True, jobs.INGEST_INTERVAL)
+
+    _drained(v, run, (requests, F.pmod("event_id", F.lit(5))))
     answered = accept.answered_requests(accept.accept_store(v.spark, root))
     return answered.select(F.col("key").alias("client_request_id"), F.col("id").alias("event_id"))
 
@@ -405,9 +424,11 @@ def _(v):
 @query("run_sessions_stream")
 def _(v):
     root, checkpoint = _folders(v)
-    beats = _arriving(v, v.v_beat, F.pmod(F.unix_seconds("ts"), F.lit(3)), 3)
-    reports = _arriving(v, v.v_outcome, F.pmod(F.unix_seconds("at"), F.lit(3)), 3)
-    stream_ledger.start(sessions.session_job(beats, reports, root, checkpoint, ttl=21600), True, jobs.INGEST_INTERVAL).awaitTermination()
+
+    def run(beats, reports):
+        return stream_ledger.start(sessions.session_job(beats, reports, root, checkpoint, ttl=21600), True, jobs.INGEST_INTERVAL)
+
+    _drained(v, run, (v.v_beat, F.pmod(F.unix_seconds("ts"), F.lit(3))), (v.v_outcome, F.pmod(F.unix_seconds("at"), F.lit(3))))
     return sessions.current_sessions(sessions.session_store(v.spark, root), "2024-01-30", ttl=21600)
 
 

@@ -18,6 +18,9 @@ _SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# What a task reads of files or of a shuffle where it sorts its rows several times over.
+_TASK_BYTES = str(8 << 20)
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
@@ -25,6 +28,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_tasks(spark: SparkSession) -> None:
+    """Lets this session's tasks read few bytes each, so that what they sort stays small however large a table is."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", _TASK_BYTES)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", _TASK_BYTES)
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark on one machine."""
     spark = (

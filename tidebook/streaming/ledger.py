@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidebook.operators.integrity import fills
 from tidebook.operators.ledger import ORDER_FIELDS, first_by, ledger_rows, merge_states, state_rows, state_status
+from tidebook.session import small_tasks
 from tidebook.sources.versions import Retirement, Table, VersionStore
 
 PAIR = ["buy_order_id", "sell_order_id"]
@@ -50,7 +51,11 @@ def ledger_job(
     events: DataFrame, executions: DataFrame, root: str, checkpoint: str, order: str = "offset",
     retention: str | None = None, keep: int = 8,
 ):
-    """Writer of the ledger stream; give it a trigger and start it."""
+    """Writer of the ledger stream; give it a trigger and start it.
+
+    The stream takes its session's settings when it starts, those of small tasks among them.
+    """
+    small_tasks(events.sparkSession)
     retire = _retirement(retention)
 
     def step(batch: DataFrame, number: int) -> None:
@@ -71,6 +76,7 @@ def ledger_job(
 
 def current_ledger(store: VersionStore) -> DataFrame:
     """All orders of the stream, the retired ones with them."""
+    small_tasks(store.spark)
     states = store.newest("orders")
     return ledger_rows(merge_states(states.unionByName(store.newest("closed", like=states))))
 
