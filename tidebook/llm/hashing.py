@@ -11,6 +11,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Texts are handled in groups of about so many bytes; longer ones are cut between words.
 BLOCK = 500_000
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_sums: list[np.ndarray] = [np.zeros(1, np.uint64)]
 
 
 def _power_tables(size: int) -> list[np.ndarray]:
@@ -34,18 +35,26 @@ def mix(h: np.ndarray) -> np.ndarray:
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash and start of each word (A-Z lower-cased, cut at ASCII white space)."""
     raw = np.frombuffer(data, np.uint8)
-    inside = np.ones(len(raw) + 2, bool)
-    inside[0] = inside[-1] = False
-    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    size = len(raw)
+    space = raw == 32
+    space |= (raw - np.uint8(9)) <= 4
+    edge = np.ones(size + 1, bool)
+    if size:
+        np.not_equal(space[1:], space[:-1], out=edge[1:-1])
+        edge[0], edge[-1] = not space[0], not space[-1]
+    edges = np.flatnonzero(edge) if size else np.zeros(0, np.int64)
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    lower = raw + ((raw >= 65) & (raw <= 90)) * np.uint8(32)
-    power, inverse = _power_tables(len(raw) + 1)
+    lower = raw | (((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    power, inverse = _power_tables(size + 1)
+    if len(_sums[0]) < size + 1:
+        _sums[0] = np.zeros(size + 1, np.uint64)
+    sums = _sums[0][: size + 1]  # of the worker, as fresh memory of this size costs more than the sums
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+        np.add(lower, np.uint64(1), out=sums[1:], dtype=np.uint64)
+        np.multiply(sums[1:], power[:size], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * inverse[starts]), starts
 
 

@@ -27,20 +27,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import hashing
-from tidebook.llm.minhash import bit_of, bitmap, compare
+from tidebook.llm.minhash import FILTER_BITS, bit_of, bitmap, bitmap_slots, compare, marked
+from tidebook.llm.tables import batches_by_rows, narrow, wide
 from tidebook.session import cut
 
 SLOTS = 1 << 20
 SLICES = 64
+GROUPS = 8  # of tasks whose tables are added up first
 WINDOW = 512
 TRIED = 8  # partners in the window that a row is tried with before it is looked at again
 WIDE = 64  # lines of more words have 128 parity bits
 BLOCK_ROWS = 1024
 LAST = (1 << 63) - 1
+ORDER = ["doc_id", "line_no", "key"]  # of lines; the key where rows of one id differ at a place
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -60,10 +63,10 @@ def _line_words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
     """Groups of lines: text and number of each line, and hash and line of each word."""
     def made(data: bytes, owner: list[int], first_number: list[int], lines: list[int]):
         hashes, starts = hashing.words(data)
-        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        number_of = np.cumsum(np.frombuffer(data, np.uint8) == 10, dtype=np.int32)
         text = np.repeat(owner, lines)
         number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines) + np.repeat(first_number, lines)
-        return text, number, hashes, np.searchsorted(ends, starts)
+        return text, number, hashes, number_of[starts]
 
     waiting: list[int] = []
     held = 0
@@ -93,38 +96,53 @@ def rarity(docs: DataFrame) -> bytes:
 
     Tasks count into whole tables, which are added up slice by slice, in groups of tasks first.
     """
+    size = SLOTS // SLICES
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.int64)
+        waiting, held = [], 0
         for batch in batches:
             for _, _, hashes, _ in hashing.document_words([t or b"" for t in batch.column(0).to_pylist()]):
-                table += np.bincount(_slot(hashes), minlength=SLOTS)
-        parts = [p.tobytes() for p in table.reshape(SLICES, -1)]
+                waiting.append(_slot(hashes))
+                held += len(hashes)
+                if held > SLOTS:  # a pass over the table for that many words, not for each group of texts
+                    table += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+                    waiting, held = [], 0
+        if waiting:
+            table += np.bincount(np.concatenate(waiting), minlength=SLOTS)
+        parts = [narrow(p) for p in table.reshape(SLICES, -1)]
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
             [pa.array([task] * SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["task", "slice", "counts"]
         )
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int64) for c in group["counts"])
-        return pd.DataFrame({"slice": group["slice"].iloc[:1], "counts": [total.tobytes()]})
+        total = sum(wide(c, size) for c in group["counts"])
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "counts": [narrow(total)]})
 
     counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "task bigint, slice int, counts binary")
-    near = counted.groupBy("slice", F.pmod("task", F.lit(64)).alias("part")).applyInPandas(add, "slice int, counts binary")
+    near = counted.groupBy("slice", F.pmod("task", F.lit(GROUPS)).alias("part")).applyInPandas(add, "slice int, counts binary")
     rows = near.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
     table = np.zeros(SLOTS, np.int64)
-    for row in rows:  # 8 bytes a slot
-        size = SLOTS // SLICES
-        table[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["counts"], np.int64)
+    for row in rows:  # 8 bytes a slot at most
+        table[row["slice"] * size : (row["slice"] + 1) * size] = wide(row["counts"], size)
     return np.minimum(8 * np.log2(1 + table), 255).astype(np.uint8).tobytes()
 
 
+def _by_line(member: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by line, then member. Equal words of a line are one, so only the second sort has to be stable."""
+    order = np.argsort(member)
+    of = line[order]
+    return order[np.argsort(of.astype(np.uint16) if of.max(initial=0) < 1 << 16 else of, kind="stable")]
+
+
 def _line_sets(texts: list[bytes], ranks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """Text, number, members (rare ones first), begins and key of each line with words."""
     for text, number, hashes, line in _line_words(texts):
         if not len(hashes):
             continue
         member = (ranks[_slot(hashes)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
-        order = np.lexsort((member, line))
+        order = _by_line(member, line)
         member, line = member[order], line[order]
         fresh = np.ones(len(member), bool)
         fresh[1:] = (member[1:] != member[:-1]) | (line[1:] != line[:-1])
@@ -181,8 +199,18 @@ def _possible(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> tuple[np.nd
     return fits & (shared >= need) & ((total - apart) // 2 >= need), apart
 
 
+def _by_word(lines: DataFrame) -> DataFrame:
+    """(word, key, bits, more, place) of each word of the lines' prefixes, the rows of a word together and in order of length.
+
+    `word` holds the token above the length: one number to sort by, which Spark does by radix and not by comparing rows.
+    """
+    rows = lines.select(F.col("uid").alias("key"), "n", "bits", "more", F.posexplode("prefix").alias("place", "token"))
+    word = F.shiftleft(F.col("token").cast("bigint"), 32).bitwiseOR(F.col("n").cast("bigint")).alias("word")
+    return rows.select(word, "key", "bits", "more", "place").repartition(F.shiftright("word", 32)).sortWithinPartitions("word")
+
+
 def _nearest(rows: DataFrame) -> DataFrame:
-    """(key, with, others, open, token) per row with possible earlier partners near it under its word, or more to look at.
+    """(key, with, others, open, token) per row of _by_word with possible earlier partners near it under its word, or more to look at.
 
     `with` is the partner of the most alike parity bits, `others` are up to TRIED of all; open rows have more.
 
@@ -192,7 +220,9 @@ def _nearest(rows: DataFrame) -> DataFrame:
         names = ("token", "n", "place", "bits", "more", "key")
         tail, old = None, 0
         for batch in batches:
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names[2:]}
+            word = batch.column("word").to_numpy(zero_copy_only=False)
+            new |= {"token": (word >> 32).astype(np.int32), "n": (word & 0xFFFFFFFF).astype(np.int32)}
             col = {c: np.concatenate([tail[c], new[c]]) if old else new[c] for c in names}
             for c in ("bits", "more"):
                 col[c] = col[c].view(np.uint64)
@@ -251,35 +281,38 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, with bigint, others array<bigint>, open boolean, token int")
 
 
-def _rows_of(lines: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(key, n, bits, more, place, token) of the lines' words that are among the tokens, and of a few more.
+def _rows_of(table: DataFrame, classes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(key, n, bits, more, place, token) of the classes' words that are among the tokens.
 
-    A bitmap of fixed size over hashed words leaves out most others before rows are made; a join has to follow.
+    A bitmap of fixed size over hashed words leaves out most others before rows are made, so that only those are
+    shuffled; the joins after it are exact.
     """
-    chosen = np.frombuffer(bitmap(tokens), np.uint8)
-    marked = F.transform("prefix", bit_of).alias("marks")
+    # Tokens are hashes already.
+    chosen = np.frombuffer(bitmap(tokens, lambda token: token.cast("bigint").bitwiseAND(F.lit(FILTER_BITS - 1))), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(5).flatten().to_numpy()
-            lengths = batch.column(5).value_lengths().to_numpy()
+            marks = batch.column(6).flatten().to_numpy() & (FILTER_BITS - 1)
+            lengths = batch.column(6).value_lengths().to_numpy()
             line = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(line)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             hit = np.flatnonzero(chosen[marks >> 3] >> (marks & 7) & 1)
-            rows = batch.select([0, 1, 2, 3]).take(pa.array(line[hit]))
+            rows = batch.select([0, 1, 2, 3, 4, 5]).take(pa.array(line[hit]))
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(place[hit].astype(np.int32)), batch.column(4).flatten().take(pa.array(hit))],
-                names=["key", "n", "bits", "more", "place", "token"],
+                [*rows.columns, pa.array(place[hit].astype(np.int32)), batch.column(6).flatten().take(pa.array(hit))],
+                names=["doc_id", "line_no", "key", "n", "bits", "more", "place", "token"],
             )
 
-    made = lines.select(F.col("uid").alias("key"), "n", "bits", "more", "prefix", marked)
-    return made.mapInArrow(run, "key bigint, n int, bits bigint, more bigint, place int, token int")
+    made = table.select(*ORDER, "n", "bits", "more", "prefix").mapInArrow(
+        run, "doc_id bigint, line_no int, key binary, n int, bits bigint, more bigint, place int, token int"
+    )
+    return made.join(tokens, "token", "left_semi").join(classes, ORDER).select(F.col("uid").alias("key"), "n", "bits", "more", "place", "token")
 
 
-def _all_earlier(lines: DataFrame, open_rows: DataFrame) -> DataFrame:
+def _all_earlier(table: DataFrame, classes: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Possible earlier partners of the open (key, token), out of all rows of the word, in blocks."""
     tokens = open_rows.select("token").distinct()
-    rows = cut(_rows_of(lines, tokens).join(tokens, "token", "left_semi"), lines.sparkSession)
+    rows = cut(_rows_of(table, classes, tokens), table.sparkSession)
     sizes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     here = cut(rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), rows.sparkSession)
     names = ["n", "place", "bits", "more"]
@@ -299,21 +332,35 @@ def _all_earlier(lines: DataFrame, open_rows: DataFrame) -> DataFrame:
     return here.join(asking, ["token", "block"]).filter(bounds).select(F.col("later").alias("key"), F.col("key").alias("with")).distinct()
 
 
+def _key_bit(key: Column) -> Column:
+    """A bit of a bitmap for a key; keys are hashes already."""
+    return F.pmod(F.conv(F.hex(F.substring(key, 1, 3)), 16, 10).cast("bigint"), F.lit(FILTER_BITS))
+
+
+def _key_bits(keys: list[bytes]) -> np.ndarray:
+    head = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)[:, :3].astype(np.int64)
+    return (head @ np.array([1 << 16, 1 << 8, 1])) % FILTER_BITS
+
+
 def _chosen_lines(docs: DataFrame, ranks: bytes, wanted: DataFrame) -> DataFrame:
-    """(key, members) of the wanted (key, doc_id): sets made again from the texts that hold them."""
-    chosen = bitmap(wanted.select("doc_id"))
+    """(key, members) of the wanted (key, doc_id): sets made again from the texts that hold them.
+
+    Bitmaps of fixed size over hashed ids and over keys leave out most other texts and lines; the join after them is exact.
+    """
+    of_keys = np.frombuffer(bitmap(wanted.select("key"), _key_bit), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(ranks, np.uint8)
         for batch in batches:
-            here = [i for i, b in enumerate(batch.column(0).to_pylist()) if chosen[b >> 3] >> (b & 7) & 1]
-            texts = [t or b"" for t in batch.column(1).take(pa.array(here, pa.int64())).to_pylist()]
-            for _, _, member, begins, keys in _line_sets(texts, rank):
-                members = [member[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(members, pa.binary())], names=["key", "members"])
+            for _, _, member, begins, keys in _line_sets([t or b"" for t in batch.column(0).to_pylist()], rank):
+                marks = _key_bits(keys)
+                hit = np.flatnonzero(of_keys[marks >> 3] >> (marks & 7) & 1)
+                members = [member[begins[i] : begins[i + 1]].tobytes() for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), pa.array(members, pa.binary())], names=["key", "members"])
 
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    made = docs.select(bit_of(doc).alias("bit"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "key binary, members binary")
+    texts = marked(docs.select(bit_of(doc).alias("bit"), F.col("text").cast("binary").alias("text")), bitmap_slots(wanted.select("doc_id")))
+    made = texts.select("text").mapInArrow(run, "key binary, members binary")
     return made.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("members").alias("members"))
 
 
@@ -325,11 +372,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     doc = F.coalesce("doc_id", F.lit(LAST))
     firsts = table.groupBy("key").agg(F.min(F.struct(doc.alias("doc_id"), "line_no")).alias("r")).select("key", "r.*")
     # Range partitions follow each other, so these numbers are in the order of the lines.
-    order = ["doc_id", "line_no", "key"]
-    classes = cut(firsts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("uid", F.monotonically_increasing_id()), spark)
-    at_first = table.withColumn("doc_id", doc).join(classes, order).select("uid", "n", "bits", "more", "prefix")
-    rows = at_first.select(F.col("uid").alias("key"), "n", "bits", "more", F.posexplode("prefix").alias("place", "token"))
-    first = cut(_nearest(rows.repartition("token").sortWithinPartitions("token", "n")), spark)
+    classes = cut(firsts.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("uid", F.monotonically_increasing_id()), spark)
+    placed = table.withColumn("doc_id", doc)
+    with batches_by_rows(spark):
+        first = cut(_nearest(_by_word(placed.join(classes, ORDER))), spark)
 
     def sets(keys: DataFrame) -> DataFrame:
         wanted = cut(keys.withColumnRenamed("key", "uid").join(classes, "uid").select("uid", "key", "doc_id"), spark)
@@ -343,7 +389,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         matched = cut(matched.union(compare(others, sets).select("key")).distinct(), spark)
     still = cut(first.filter("open").select("key", "token").distinct().join(matched, "key", "left_anti"), spark)
     if not still.isEmpty():
-        asked = _all_earlier(at_first, still).join(best.union(others), ["key", "with"], "left_anti")
+        asked = _all_earlier(placed, classes, still).join(best.union(others), ["key", "with"], "left_anti")
         matched = matched.union(compare(cut(asked, spark), sets).select("key")).distinct()
     fate = classes.select("key", F.col("doc_id").alias("at_doc"), F.col("line_no").alias("at_line"), "uid").join(
         matched.select(F.col("key").alias("uid"), F.lit(True).alias("similar")), "uid", "left"

@@ -124,17 +124,28 @@ def bit_of(column):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def bitmap(values: DataFrame) -> bytes:
-    """Bits of the hashes of a single column, FILTER_BITS of them however many values there are."""
-    slots = values.toDF("v").select(bit_of("v").alias("bit")).groupBy(F.expr("bit div 32768").alias("slot")).agg(
+def bitmap_slots(values: DataFrame, bit=bit_of) -> DataFrame:
+    """(slot, bits): a bitmap of the hashes of a single column in rows of 4096 bytes, FILTER_BITS of them however many values there are."""
+    return values.toDF("v").select(bit(F.col("v")).alias("bit")).groupBy(F.expr("bit div 32768").alias("slot")).agg(
         F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")
     )
+
+
+def bitmap(values: DataFrame, bit=bit_of) -> bytes:
+    """The bits of bitmap_slots in a row."""
     chosen = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in slots.collect():  # FILTER_BITS / 8 bytes at most
+    for row in bitmap_slots(values, bit).collect():  # FILTER_BITS / 8 bytes at most
         chosen[row["slot"] * 4096 : (row["slot"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
     return chosen.tobytes()
 
 
+def marked(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """The rows whose `bit` is set in bitmap_slots; no others reach Python."""
+    byte = "conv(hex(substring(bits, cast((bit % 32768) div 8 + 1 as int), 1)), 16, 10)"
+    met = rows.withColumn("slot", F.expr("bit div 32768")).join(F.broadcast(slots), "slot")
+    return met.filter(F.expr(f"shiftright(cast({byte} as int), cast(bit % 8 as int)) & 1 = 1")).select(*rows.columns)
+
+
 def _chosen_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, members) of the wanted (key, rep): their full sets, made again from the texts.
 

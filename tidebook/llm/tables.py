@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ SCHEMAS = {
     "pages": "page_id bigint, url string, html string",
 }
 BATCH_BYTES = 4 << 20
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +26,22 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Lets this session's Python workers take BATCH_BYTES at once, so that batches of long texts stay small in worker and JVM."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set(_BYTES_PER_BATCH, str(BATCH_BYTES))
+
+
+@contextmanager
+def batches_by_rows(spark: SparkSession) -> Iterator[None]:
+    """Within it Python workers take batches of so many rows, whatever their bytes.
+
+    For jobs over rows of a few numbers: there the number of rows bounds a batch, and Spark would spend most of such a
+    job adding up the bytes of the batch so far, once a row.
+    """
+    before = spark.conf.get(_BYTES_PER_BATCH)
+    spark.conf.set(_BYTES_PER_BATCH, str((1 << 31) - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BYTES_PER_BATCH, before)
 
 
 def values(column: pa.Array, rows: int = 256) -> Iterator:
