@@ -175,7 +175,6 @@ class ChunkCoder:
         found = [kept[x] for x in insides]
         new = list({x for x, ids in zip(insides, found, strict=True) if ids is None})
         if new:
-            self.known.learn_ids(new)
             made = dict(zip(new, map(self.known.ids, new), strict=True))
             for x, ids in made.items():
                 kept.keep(x, ids)
@@ -209,7 +208,6 @@ class ChunkCoder:
                 windows[n] = (whole[a:b], lead, trail, ends)
             missing = list({w for w, *_ in windows.values() if self.joins[w] is None})
             made = dict(zip(missing, self._fresh(missing), strict=True))
-            self.known.learn_ids([x for _, lead, trail, _ in windows.values() for x in (lead, trail)])
             for n, (window, lead, trail, ends) in windows.items():
                 ids = made.get(window) or self.joins[window] or b""
                 before, after = self.known.ids(lead), self.known.ids(trail)

@@ -187,7 +187,6 @@ def pack(
         for batch in batches:
             doc_ids, texts, prompts = (batch.column(i).to_pylist() for i in range(3))
             for a, b in groups([t or b"" for t in texts]):
-                known.learn_ids([t for t in (*texts[a:b], *prompts[a:b]) if t])
                 done: list[list[Item]] = []
                 for doc_id, text, lead in zip(doc_ids[a:b], texts[a:b], prompts[a:b], strict=True):
                     quiet = known.ids(lead) if lead else b""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 from operator import sub
 
@@ -43,6 +44,24 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Pieces(dict):
+    """Ids of pieces, made when a piece is first asked for. trim() holds it to MEMO_ENTRIES; pieces not asked for since the trim before go."""
+
+    def __init__(self, made):
+        super().__init__()
+        self.made, self.older = made, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self.older.get(piece)
+        found = self[piece] = self.made(piece) if found is None else found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > MEMO_ENTRIES // 2:
+            self.older = {k: v for k, v in self.items() if len(k) <= LONG_PIECE}
+            self.clear()
+
+
 class Vocabulary:
     """One loaded tokenizer file with its memos."""
 
@@ -56,7 +75,11 @@ class Vocabulary:
         self.model = self.library.model
         self.symbols = _byte_symbols()
         self._to_symbols = str.maketrans({chr(b): s for b, s in self.symbols.items()})
-        self.ids_of: dict[bytes, bytes] = {}
+        self.ids_of = Pieces(self.encode)
+        self._marks = {"": b""}
+        self._byte_symbols = "".join(self.symbols[b] for b in range(256))
+        self._lower = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+        self._id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size() + 1)]
         self.steps_of: dict[bytes, bytes] = {}
         self._fragments: dict[str, int] = {}
         self._check_shape()
@@ -74,29 +97,29 @@ class Vocabulary:
     def _letters(self, word: str) -> str:
         return word if word.isascii() else word.encode().decode("latin-1").translate(self._to_symbols)
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> bytes:
+        """Little-endian 32-bit ids of a piece."""
         text = piece.decode("utf-8", "replace")
         plain = _PLAIN.fullmatch(text)
         if plain is None:
-            return self.library.encode(text, add_special_tokens=False).ids
-        ids = [t.id for t in self.model.tokenize(self._letters(plain[1].lower()))]
-        return ids + [t.id for t in self.model.tokenize(plain[2])] if plain[2] else ids
-
-    def learn_ids(self, texts: list[bytes]) -> None:
-        """Have ids_of hold every piece of the texts, as little-endian 32-bit ids."""
-        need: set[bytes] = set()
-        for text in texts:
-            need.update(text.split())
-        missing = need.difference(self.ids_of)
-        if len(self.ids_of) + len(missing) > MEMO_ENTRIES:
-            self.ids_of = {k: v for k, v in self.ids_of.items() if k in need and len(k) <= LONG_PIECE}
-        for piece in missing:
-            found = array("I", self.encode(piece))
+            ids = array("I", self.library.encode(text, add_special_tokens=False).ids)
             if sys.byteorder == "big":
-                found.byteswap()
-            self.ids_of[piece] = found.tobytes()
+                ids.byteswap()
+            return ids.tobytes()
+        mark = plain[2]
+        # In UTF-8 each byte of these letters has one lower case.
+        word = (piece[:-1] if mark else piece).translate(self._lower)
+        found = self._marks.get(mark)
+        if found is None:
+            found = self._marks[mark] = b"".join(self._id_bytes[t.id] for t in self.model.tokenize(mark))
+        if word != piece and (kept := self.ids_of.get(word) or self.ids_of.older.get(word)):
+            return kept + found
+        known = self._id_bytes
+        return b"".join([known[t.id] for t in self.model.tokenize(charmap_decode(word, "strict", self._byte_symbols)[0])]) + found
 
     def ids(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a text; it is split once, and its new pieces are encoded on the way."""
+        self.ids_of.trim()
         return b"".join(map(self.ids_of.__getitem__, text.split()))
 
     # ---- prefix counts -------------------------------------------------------------------
