@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.97
 
 
+def test_counted_entries_are_handed_on(spark, monkeypatch):
+    """A task holds a bounded number of entries, however many a batch of texts has, and loses none."""
+    monkeypatch.setattr(toxicity, "FLUSH", 50, raising=False)
+    tasks = []
+
+    class Rows:
+        def mapInArrow(self, run, _):  # noqa: N802
+            tasks.append(run)
+            return self
+
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        agg = groupBy
+
+    toxicity._counted(Rows(), toxicity.stems)
+    texts = [f"stem{i:04} other{i % 9}" for i in range(300)] + [None, ""]
+    flags = [i % 2 for i in range(302)]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(flags, pa.int32())], names=["text", "toxic"])
+    told = list(tasks[0](iter([whole.slice(0, 200), whole.slice(200)])))
+    assert max(b.num_rows for b in told) <= 50 + 20
+    expected = [collections.Counter(), collections.Counter()]
+    for text, toxic in zip(texts, flags, strict=True):
+        expected[toxic].update(toxicity.stems(toxicity.fold(text)))
+    found = [collections.Counter(), collections.Counter()]
+    for b in told:
+        for entry, in_toxic, in_clean in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found[1][entry] += in_toxic
+            found[0][entry] += in_clean
+    assert [+f for f in found] == expected
+
+
 def test_mixture(documents, nothing):
     rows = mixing.mixture(documents).collect()
     assert len(rows) == documents.count()

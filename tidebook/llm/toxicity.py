@@ -35,6 +35,7 @@ LEXICON = 5_000
 PURITY = 0.8  # least share of toxic texts among the training texts that have an entry
 EXCEPTIONS = 1_000
 STEM_LETTERS = range(3, 13)
+FLUSH = 1 << 16  # entries a task counts before it hands them on
 
 # Letters of other scripts and signs that look like Latin letters, in the order of the letters.
 _LOOKALIKES = {
@@ -144,17 +145,23 @@ def stems(folded: str) -> set[str]:
 
 
 def _counted(rows: DataFrame, make) -> DataFrame:
-    """Sums of (entry, toxic, clean) that `make(folded text)` yields for each training row, pre-summed by batch."""
+    """Sums of (entry, toxic, clean) that `make(folded text)` yields for each training row, pre-summed by about FLUSH entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            entries = list(sums[0].keys() | sums[1].keys())
+            columns = [pa.array(entries, pa.string()), *(pa.array([sums[k][e] for e in entries], pa.int64()) for k in (1, 0))]
+            return pa.RecordBatch.from_arrays(columns, names=["entry", "in_toxic", "in_clean"])
+
         for batch in batches:
-            sums = (Counter(), Counter())
             for text, toxic in zip(values(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 sums[toxic].update(make(fold(text)))
-            entries = list(sums[0] | sums[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(entries, pa.string()), pa.array([sums[1][e] for e in entries], pa.int64()), pa.array([sums[0][e] for e in entries], pa.int64())],
-                names=["entry", "in_toxic", "in_clean"],
-            )
+                if len(sums[0]) + len(sums[1]) > FLUSH:
+                    yield told()
+                    for counts in sums:
+                        counts.clear()
+        yield told()
 
     return (
         rows.mapInArrow(run, "entry string, in_toxic bigint, in_clean bigint")
