@@ -246,6 +246,39 @@ def test_language_model_is_normalised():
     assert abs(np.exp(model.log_probabilities(before, np.arange(language_model.CLASSES))).sum() - 1) < 1e-5
 
 
+@pytest.mark.parametrize("scale", [1, 300])
+def test_language_model_scores_in_slices_with_and_without_a_shift(scale):
+    model = language_model.Model(np.full(language_model.CLASSES, 1 / language_model.CLASSES))
+    rng = np.random.default_rng(3)
+    model.target *= scale
+    model.bias[:] = rng.normal(0, scale, language_model.CLASSES)
+    size = language_model.SLICE + 7
+    before, classes = rng.integers(0, language_model.CLASSES + 1, (size, language_model.CONTEXT)), rng.integers(0, language_model.CLASSES, size)
+    context = (model.context[before].astype(float) * model.position).sum(axis=1)
+    scores = context @ model.target.T.astype(float) + model.bias
+    top = scores.max(axis=1)
+    expected = scores[np.arange(size), classes] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    assert model.log_probabilities(before, classes) == pytest.approx(expected, rel=1e-5, abs=1e-4)
+
+
+def test_language_model_lone_words_meet_counts_once_a_text(spark, monkeypatch):
+    """Words outside the table are counted by text where they are found, not by a shuffle of their occurrences."""
+    monkeypatch.setattr(language_model, "FREQUENT", 3)
+    docs = spark.createDataFrame([(i, "the of and " * 9 + f"lone{i} Lone{i}. lone{i} " * 3) for i in range(20)], "doc_id bigint, text string")
+    found = language_model.scored(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    rows = found.collect()
+    learned = [i for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2]
+    total, types = len(learned) * 37, 4 + 2 * len(learned)
+    for r in rows:
+        lone = [6, 3] if r.doc_id in learned else [0, 0]
+        counts = {9 * len(learned): 27, len(learned): 1}
+        base = sum(k * math.log10((n + 1) / (total + types + 1)) for n, k in counts.items())
+        base += sum(k * math.log10((n + 1) / (total + types + 1)) for n, k in zip(lone, (6, 3), strict=True))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (37, 37 if r.doc_id in learned else 28, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+
+
 def test_language_model_beats_base_on_held_out(spark):
     rows = language_model.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

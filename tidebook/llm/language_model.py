@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ FREQUENT = 150_000  # words whose counts tasks hold in memory, at most
 WIDTH, CONTEXT = 16, 3
 BATCH, NOISE, RATE = 2048, 64, 0.1
 FLUSH = 400_000  # words a task counts before it hands them on
+SLICE = 512  # tokens scored at once: their scores of all classes stay in a core's cache
+SAFE = 60.0  # float32 holds the sum of exp of scores within this bound
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -73,15 +76,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("n").alias("n"), F.first("ending").alias("ending"))
 
 
-class Table(dict):
-    """A dictionary that makes values for other words without keeping them."""
-
-    def __init__(self, values: dict[bytes, int], other):
-        super().__init__(values)
-        self.other = other
-
-    def __missing__(self, word: bytes) -> int:
-        return self.other(word)
+def looked_up(table: dict[bytes, int], held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' values, -1 for those outside the table, and where these stand."""
+    ids = np.fromiter(map(table.get, held, repeat(-1)), np.int64, len(held))
+    return ids, np.flatnonzero(ids < 0)
 
 
 class Words:
@@ -161,17 +159,31 @@ class Model:
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """Context vectors (batch x width) from the classes before each token (batch x CONTEXT)."""
-        return np.einsum("bcw,cw->bw", self.context[before], self.position)
+        weighted = self.context * self.position[:, None]
+        out = weighted[0].take(before[:, 0], axis=0)
+        for c in range(1, CONTEXT):
+            out += weighted[c].take(before[:, c], axis=0)
+        return out
 
     def log_probabilities(self, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Natural log of the normalised probability of each class."""
-        scores = self.predicted(before) @ self.target.T
-        scores += self.bias
-        chosen = scores[np.arange(len(classes)), classes].astype(np.float64)
-        top = scores.max(axis=1, keepdims=True)
-        scores -= top
-        np.exp(scores, out=scores)
-        return chosen - top[:, 0] - np.log(scores.sum(axis=1, dtype=np.float64))
+        context = self.predicted(before)
+        bias = self.bias[:, None]
+        # |scores| by Cauchy-Schwarz: below the bound none need be shifted before exp.
+        longest = np.sqrt((context**2).sum(axis=1).max(initial=0) * (self.target**2).sum(axis=1).max()) + np.abs(self.bias).max()
+        out = np.empty(len(classes))
+        for at in range(0, len(classes), SLICE):
+            some = classes[at : at + SLICE]
+            scores = self.target @ context[at : at + SLICE].T  # classes x tokens, so that sums run along whole rows
+            scores += bias
+            value = scores[some, np.arange(len(some))].astype(np.float64)
+            if not longest < SAFE:
+                top = scores.max(axis=0)
+                scores -= top
+                value -= top
+            np.exp(scores, out=scores)
+            out[at : at + SLICE] = value - np.log(scores.sum(axis=0, dtype=np.float64))
+        return out
 
 
 class Trainer:
@@ -186,13 +198,18 @@ class Trainer:
     def step(self, before: np.ndarray, classes: np.ndarray) -> None:
         m, size = self.model, len(classes)
         sampled = self.rng.choice(CLASSES, NOISE, p=self.noise)
-        vectors = m.context[before]
+        vectors, own = m.context[before], m.target[classes]
         q = np.einsum("bcw,cw->bw", vectors, m.position)
-        real = (q * m.target[classes]).sum(axis=1) + m.bias[classes] - self.log_noise[classes]
-        false = q @ m.target[sampled].T + m.bias[sampled] - self.log_noise[sampled]
+        real = (q * own).sum(axis=1) + m.bias[classes] - self.log_noise[classes]
+        false = q @ m.target[sampled].T
+        false += m.bias[sampled]
+        false -= self.log_noise[sampled]
         up = 1 - 1 / (1 + np.exp(-np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        dq = up[:, None] * m.target[classes] + down @ m.target[sampled]
+        np.negative(np.clip(false, -30, 30, out=false), out=false)
+        np.exp(false, out=false)
+        false += 1
+        down = np.divide(-1, false, out=false)
+        dq = up[:, None] * own + down @ m.target[sampled]
         target = _summed(classes, up[:, None] * q, CLASSES)
         np.add.at(target, sampled, down.T @ q)
         bias = np.bincount(classes, up, CLASSES) + np.bincount(sampled, down.sum(axis=0), CLASSES)
@@ -204,8 +221,11 @@ class Trainer:
             part += RATE * gradient / np.sqrt(past)
 
 
+_PLACES = np.arange((CLASSES + 1) * WIDTH).reshape(-1, WIDTH)
+
+
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    at = (rows[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    at = _PLACES.take(rows, axis=0).ravel()
     return np.bincount(at, values.ravel(), size * WIDTH).reshape(size, WIDTH)
 
 
@@ -235,7 +255,7 @@ def _batches(texts: Iterator[list[bytes]]) -> Iterator[tuple[list[bytes], np.nda
 
 def train(docs: DataFrame, words: Words) -> Model:
     noise = words.noise()
-    table = Table({w: words.class_of(w) for w in words.count}, ending_class)
+    table = {w: words.class_of(w) for w in words.count}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(noise)
@@ -243,7 +263,8 @@ def train(docs: DataFrame, words: Words) -> Model:
         texts = (tokens(t or b"") for batch in batches for t in batch.column(0).to_pylist())
         order = np.random.default_rng(37)
         for held, begins in _batches(texts):
-            classes = np.fromiter(map(table.__getitem__, held), np.int64, len(held))
+            classes, rare = looked_up(table, held)
+            classes[rare] = [ending_class(held[i]) for i in rare.tolist()]
             before = contexts(classes, begins)
             mixed = order.permutation(len(classes))
             for at in range(0, len(mixed), BATCH):
@@ -280,7 +301,7 @@ def scored(docs: DataFrame) -> DataFrame:
     known = {w: (words.class_of(w), words.base(n), words.within(n, words.class_of(w))) for w, n in words.count.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table({w: i for i, w in enumerate(known)}, lambda _: -1)
+        table = {w: i for i, w in enumerate(known)}
         klass = np.array([v[0] for v in known.values()] + [0], np.int64)
         base = np.array([v[1] for v in known.values()] + [0.0])
         inner = np.array([v[2] for v in known.values()] + [0.0])
@@ -289,33 +310,38 @@ def scored(docs: DataFrame) -> DataFrame:
             doc_ids = batch.column(0).to_pylist()
             at = 0
             for held, begins in _batches(tokens(t or b"") for t in batch.column(1).to_pylist()):
-                ids = np.fromiter(map(table.__getitem__, held), np.int64, len(held))
+                ids, rare = looked_up(table, held)
                 classes = klass[ids]
-                rare = np.flatnonzero(ids < 0)
-                rare_words = [held[i] for i in rare]
+                rare_words = [held[i] for i in rare.tolist()]
                 classes[rare] = [ending_class(w) for w in rare_words]
                 before = contexts(classes, begins)
                 value = inner[ids]
                 for i in range(0, len(ids), BATCH):
                     value[i : i + BATCH] += model.log_probabilities(before[i : i + BATCH], classes[i : i + BATCH]) / np.log(10)
                 count = len(begins) - 1
-                offsets = np.searchsorted(rare, begins)
+                # A text's words outside the table, each once with how often it occurs.
+                lone: list[tuple[bytes, int, int]] = []
+                offsets = [0]
+                for i, j in pairwise(np.searchsorted(rare, begins).tolist()):
+                    lone += ((w, ending_class(w), times) for w, times in Counter(rare_words[i:j]).items())
+                    offsets.append(len(lone))
+                lone_words, endings, times = zip(*lone, strict=True) if lone else ((), (), ())
+                offsets = pa.array(offsets, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(range(uid, uid + count), pa.int64()), pa.array(doc_ids[at : at + count], pa.int64()), pa.array(np.diff(begins)),
                         pa.array(np.add.reduceat((ids >= 0).astype(np.int64), begins[:-1])), pa.array(np.add.reduceat(base[ids], begins[:-1])),
-                        pa.array(np.add.reduceat(value, begins[:-1])), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare_words, pa.binary())),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(classes[rare].astype(np.int32))),
+                        pa.array(np.add.reduceat(value, begins[:-1])), *(pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((lone_words, pa.binary()), (endings, pa.int32()), (times, pa.int64()))),
                     ],
-                    names=["uid", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "endings"],
+                    names=["uid", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "endings", "times"],
                 )
                 uid += count
                 at += count
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    parts = cut(rows.mapInArrow(run, "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<binary>, endings array<int>"), spark)
+    parts = cut(rows.mapInArrow(run, "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<binary>, endings array<int>, times array<bigint>"), spark)
     # Words outside the table are rare, so none of them is a hot key.
-    lone = parts.select("uid", F.explode(F.arrays_zip("rare", "endings")).alias("r")).groupBy("uid", F.col("r.rare").alias("token"), F.col("r.endings").alias("ending")).agg(F.count(F.lit(1)).alias("times"))
+    lone = parts.select("uid", F.inline(F.arrays_zip(F.col("rare").alias("token"), F.col("endings").alias("ending"), "times")))
     stat = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("ending") + 1)
     n = F.coalesce("n", F.lit(0))
     met = lone.join(counts.select("token", "n"), "token", "left").withColumns({"mass": stat(words.mass), "kinds": stat(words.kinds), "discount": stat(words.discount)})
@@ -325,7 +351,7 @@ def scored(docs: DataFrame) -> DataFrame:
         F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(words.total + words.types + 1)))).alias("more_base"),
         F.sum(F.when(F.col("mass") > 0, F.col("times") * F.log10(share / F.col("mass"))).otherwise(0.0)).alias("more_score"),
     )
-    return parts.drop("rare", "endings").join(summed, "uid", "left").select(
+    return parts.drop("rare", "endings", "times").join(summed, "uid", "left").select(
         "doc_id", (~training(F.col("doc_id"))).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(words.total).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
