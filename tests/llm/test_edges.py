@@ -247,7 +247,7 @@ def test_language_model_is_normalised():
 
 
 @pytest.mark.parametrize("scale", [1, 300])
-def test_language_model_scores_in_slices_with_and_without_a_shift(scale):
+def test_language_model_scores_in_slices(scale):
     model = language_model.Model(np.full(language_model.CLASSES, 1 / language_model.CLASSES))
     rng = np.random.default_rng(3)
     model.target *= scale

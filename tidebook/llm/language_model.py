@@ -38,7 +38,6 @@ WIDTH, CONTEXT = 16, 3
 BATCH, NOISE, RATE = 2048, 64, 0.1
 FLUSH = 400_000  # words a task counts before it hands them on
 SLICE = 512  # tokens scored at once: their scores of all classes stay in a core's cache
-SAFE = 60.0  # float32 holds the sum of exp of scores within this bound
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -167,22 +166,17 @@ class Model:
 
     def log_probabilities(self, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Natural log of the normalised probability of each class."""
-        context = self.predicted(before)
-        bias = self.bias[:, None]
-        # |scores| by Cauchy-Schwarz: below the bound none need be shifted before exp.
-        longest = np.sqrt((context**2).sum(axis=1).max(initial=0) * (self.target**2).sum(axis=1).max()) + np.abs(self.bias).max()
+        context, bias = self.predicted(before), self.bias[:, None]
         out = np.empty(len(classes))
         for at in range(0, len(classes), SLICE):
             some = classes[at : at + SLICE]
-            scores = self.target @ context[at : at + SLICE].T  # classes x tokens, so that sums run along whole rows
+            scores = self.target @ context[at : at + SLICE].T  # classes x tokens, so that maxima and sums run along whole rows
             scores += bias
             value = scores[some, np.arange(len(some))].astype(np.float64)
-            if not longest < SAFE:
-                top = scores.max(axis=0)
-                scores -= top
-                value -= top
+            top = scores.max(axis=0)
+            scores -= top
             np.exp(scores, out=scores)
-            out[at : at + SLICE] = value - np.log(scores.sum(axis=0, dtype=np.float64))
+            out[at : at + SLICE] = value - top - np.log(scores.sum(axis=0, dtype=np.float64))
         return out
 
 
